@@ -1,6 +1,7 @@
 from faultline.learning.model import (
     evaluate,
     fault_pipeline,
+    fit,
     flattened_frame,
     training_frame,
 )
@@ -15,6 +16,7 @@ from faultline.learning.registry import (
 __all__ = [
     "evaluate",
     "fault_pipeline",
+    "fit",
     "flattened_frame",
     "latest_model_path",
     "latest_models",

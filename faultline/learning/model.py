@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -82,6 +83,16 @@ def fault_pipeline(
     )
 
 
+def fit(pipeline: Pipeline, rows: DataFrame, rows_per_task: int = 100_000) -> PipelineModel:
+    """Fit on ``rows``, which should be cached.
+
+    Every step of the optimiser is a job over all of them, so they are put into
+    as few tasks as their number allows.
+    """
+    tasks = math.ceil(rows.count() / rows_per_task)
+    return pipeline.fit(rows.coalesce(max(1, tasks)))
+
+
 def evaluate(scored: DataFrame, by: str = "split") -> DataFrame:
     """(``by``, metric, value) rows: log_loss, accuracy and weighted f1.
 

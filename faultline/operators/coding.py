@@ -19,18 +19,18 @@ def code_rows(
 ) -> DataFrame:
     """Normalise ``label`` in place and add bus, phase letters and class number.
 
-    One projection over the scan: no shuffle and no Python worker, and columns
-    a query does not ask for are never computed.
+    No shuffle and no Python worker, and columns a query does not ask for are
+    never computed.
     """
-    clean = normalised_label(F.col(label))
-    letters = phase_letters(clean)
-    return df.withColumns(
-        {
-            label: clean,
-            "Bus_loc": bus_location(clean),
-            "extracted_letters": letters,
-            "fault_type_coded": fault_code(letters, codes),
-        }
+    return (
+        df.withColumn(label, normalised_label(F.col(label)))
+        .withColumns(
+            {
+                "Bus_loc": bus_location(F.col(label)),
+                "extracted_letters": phase_letters(F.col(label)),
+            }
+        )
+        .withColumn("fault_type_coded", fault_code(F.col("extracted_letters"), codes))
     )
 
 

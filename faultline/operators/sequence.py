@@ -12,7 +12,7 @@ however many lost executors, agrees on which row is in which batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from faultline.schema import BATCH_SIZE
 from faultline.sources.scratch import scratch_path
 
+# Adds columns to a frame without moving, dropping or multiplying rows.
+RowLocal = Callable[[DataFrame], DataFrame]
+
 INDEX = "row_index"
 TOTAL = "row_total"
 
@@ -32,39 +35,37 @@ def add_row_index(
     df: DataFrame,
     order_by: Sequence[str],
     keep: Sequence[str] | None = None,
+    derive: RowLocal | None = None,
     unique: bool = False,
 ) -> DataFrame:
     """Add ``row_index`` (0-based, by ``order_by``, nulls first) and ``row_total``.
 
-    Only ``keep`` (default: all columns) is stored and returned. Runs one job.
+    Runs one job. ``derive`` adds row-local columns after the rows are in order,
+    so that they are computed once and not again when the range partitioner
+    samples its input. Only ``keep`` (default: all columns) is stored and
+    returned; columns not needed for it are not read.
 
-    Rows equal in ``order_by`` are ordered by a hash of the kept columns, so the
-    result depends on the table alone; full copies are interchangeable and are
-    spread over partitions by their place in the scan. That needs a frame made
-    of a scan and row-local steps, whose row order repeats when a task is
-    retried. Pass ``unique=True`` when no two rows agree in ``order_by``; then
-    any frame will do.
+    ``order_by`` should tell rows apart. Rows that agree in it stay in scan
+    order, which also spreads copies of one row over several partitions. That
+    takes a frame made of a scan and row-local steps, whose row order repeats
+    when a task is retried. With ``unique=True``, a promise that no two rows
+    agree, any frame will do.
     """
     spark = df.sparkSession
-    keep = list(df.columns if keep is None else keep)
     key = list(order_by)
-    rows = df.select(*dict.fromkeys([*keep, *key]))
+    rows = df
     if not unique:
-        payload = [c for c in keep if c not in key]
-        rows = rows.withColumns(
-            {
-                "_tie": F.xxhash64(*payload) if payload else F.lit(0),
-                "_copy": F.monotonically_increasing_id(),
-            }
-        )
-        key += ["_tie", "_copy"]
+        rows = rows.withColumn("_scan_order", F.monotonically_increasing_id())
+        key.append("_scan_order")
+
+    ordered = rows.repartitionByRange(*key).sortWithinPartitions(*key)
+    placed = ordered.withColumn("_place", F.monotonically_increasing_id())
+    if derive is not None:
+        placed = derive(placed)
+    keep = list(keep or [c for c in placed.columns if c not in ("_scan_order", "_place")])
 
     path = scratch_path(spark, "indexed")
-    placed = (
-        rows.repartitionByRange(*key)
-        .sortWithinPartitions(*key)
-        .select(*keep, F.monotonically_increasing_id().alias("_place"))
-    )
+    placed = placed.select(*keep, "_place")
     placed.write.parquet(path)
     stored = spark.read.schema(placed.schema).parquet(path).withColumns(
         {
@@ -97,12 +98,14 @@ def add_batches(
     order_by: Sequence[str],
     size: int = BATCH_SIZE,
     keep: Sequence[str] | None = None,
+    derive: RowLocal | None = None,
 ) -> DataFrame:
     """Cut the ordered rows into batches of ``size``, numbered from 1.
 
-    Adds ``row_index``, ``row_total`` and ``batch_id``.
+    Adds ``row_index``, ``row_total`` and ``batch_id``. ``keep`` and ``derive``
+    are as in ``add_row_index``.
     """
-    rows = add_row_index(df, order_by, keep)
+    rows = add_row_index(df, order_by, keep, derive)
     return rows.withColumn("batch_id", _batch_of(INDEX, size))
 
 

@@ -53,17 +53,19 @@ def sweep_grouped(
     output: T.StructType,
     key: str = "Ron",
     run_id: str = "id",
+    tasks: int | None = None,
     max_runs: int = 1024,
 ) -> DataFrame:
     """Call ``simulate`` on the runs that share a ``key``.
 
     Runs are independent, so a key with very many of them is cut into slices of
     ``max_runs`` run numbers; with unique numbers no call sees more rows than
-    that.
+    that. ``tasks`` as in ``sweep_mapped``.
     """
     _check_output(output, key, run_id)
-    slice_ = F.floor(F.col(run_id) / F.lit(max_runs)).alias("_slice")
-    return params.groupBy(F.col(key), slice_).applyInPandas(simulate, output)
+    slice_of_key = [F.col(key), F.floor(F.col(run_id) / F.lit(max_runs)).alias("_slice")]
+    spread = _spread(params, tasks, *slice_of_key)
+    return spread.groupBy(*slice_of_key).applyInPandas(simulate, output)
 
 
 def sweep_mapped(
@@ -75,8 +77,8 @@ def sweep_mapped(
 ) -> DataFrame:
     """Call ``simulate`` on Arrow batches of runs, with no grouping.
 
-    ``tasks`` spreads the few, expensive parameter rows over that many tasks by
-    run number.
+    Parameter rows are few and small but each is expensive to run, so they are
+    spread over ``tasks`` tasks (default: the session's shuffle partitions).
     """
     _check_output(output, run_id)
 
@@ -84,8 +86,14 @@ def sweep_mapped(
         for frame in frames:
             yield simulate(frame)
 
-    spread = params if tasks is None else params.repartition(tasks, run_id)
-    return spread.mapInPandas(batches, output)
+    return _spread(params, tasks, run_id).mapInPandas(batches, output)
+
+
+def _spread(params: DataFrame, tasks: int | None, *by: str | Column) -> DataFrame:
+    # an explicit number, as adaptive execution would merge such small partitions
+    if tasks is None:
+        tasks = int(params.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return params.repartition(tasks, *by)
 
 
 def _check_output(output: T.StructType, *columns: str) -> None:

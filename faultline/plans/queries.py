@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from faultline.functions.vectors import argmax_label
 from faultline.learning import (
     evaluate,
     fault_pipeline,
+    fit,
     latest_models,
     load_latest,
     save_version,
@@ -46,8 +48,9 @@ def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _batches(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:
-    """Coded rows in full batches; only ``keep`` is sorted and stored."""
-    return ops.full_batches(ops.add_batches(_coded(spark, sf_dir), KEY, keep=keep))
+    """Coded rows in full batches; only ``keep`` is stored."""
+    rows = _simulation(spark, sf_dir)
+    return ops.full_batches(ops.add_batches(rows, KEY, keep=keep, derive=ops.code_rows))
 
 
 def _shares(target: DataFrame, *others: str) -> DataFrame:
@@ -91,7 +94,7 @@ def q07_code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q08_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ops.add_batches(_coded(spark, sf_dir), KEY, keep=SHOWN_KEY)
+    rows = ops.add_batches(_simulation(spark, sf_dir), KEY, keep=SHOWN_KEY)
     return rows.select(*SHOWN_KEY, "row_index", "batch_id")
 
 
@@ -109,7 +112,7 @@ def q09_full_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q09b_drop_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ops.add_batches(_coded(spark, sf_dir), KEY, keep=SHOWN_KEY)
+    rows = ops.add_batches(_simulation(spark, sf_dir), KEY, keep=SHOWN_KEY)
     return ops.drop_batches(rows, [41]).select(*SHOWN_KEY, "batch_id")
 
 
@@ -196,13 +199,19 @@ def closed_form_runs(steps: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     An inner function travels to the Python workers by value, so they need not
     have this package installed.
     """
-    columns = SWEEP_OUTPUT.names
 
     def simulate(params: pd.DataFrame) -> pd.DataFrame:
-        runs = params.loc[params.index.repeat(steps), ["id", "Ron", "Rg"]]
-        step = pd.Series(list(range(steps)) * len(params), index=runs.index, dtype="int32")
-        value = runs["Ron"] * (step + 1) + runs["Rg"] * step * step
-        return runs.assign(step=step, value=value)[columns]
+        step = np.tile(np.arange(steps, dtype="int32"), len(params))
+        ron = np.repeat(params["Ron"].to_numpy(), steps)
+        rg = np.repeat(params["Rg"].to_numpy(), steps)
+        return pd.DataFrame(
+            {
+                "id": np.repeat(params["id"].to_numpy(), steps),
+                "Ron": ron,
+                "step": step,
+                "value": ron * (step + 1) + rg * step * step,
+            }
+        )
 
     return simulate
 
@@ -220,10 +229,9 @@ def q20_sweep_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q21_sweep_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     params = _sweep(spark, sf_dir)
     simulate = closed_form_runs(SWEEP_STEPS)
-    return _rounded_runs(ops.sweep_mapped(params, simulate, SWEEP_OUTPUT, tasks=tasks))
+    return _rounded_runs(ops.sweep_mapped(params, simulate, SWEEP_OUTPUT))
 
 
 def q22_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,17 +261,20 @@ def _training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q25_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = _training_frame(spark, sf_dir)
-    frame = ops.assign_split(frame, frame.select("batch_id"))
     with ops.cached(frame) as rows:
-        model = fault_pipeline().fit(rows.filter(F.col("split") == "train"))
-    return evaluate(model.transform(frame))
+        rows = ops.assign_split(rows, rows.select("batch_id"))
+        model = fit(fault_pipeline(), rows.filter(F.col("split") == "train"))
+        scored = model.transform(rows)
+        path = scratch_path(spark, "metrics")
+        evaluate(scored).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def q26_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = _training_frame(spark, sf_dir)
     root = scratch_path(spark, "registry")
     with ops.cached(frame) as rows:
-        save_version(fault_pipeline().fit(rows), spark, root, "fault_prediction")
+        save_version(fit(fault_pipeline(), rows), spark, root, "fault_prediction")
     scored = load_latest(spark, root, "fault_prediction").transform(frame)
     return scored.select("batch_id", "label", "prediction")
 
