@@ -3,6 +3,7 @@ from faultline.learning.model import (
     fault_pipeline,
     fit,
     flattened_frame,
+    score,
     training_frame,
 )
 from faultline.learning.registry import (
@@ -23,5 +24,6 @@ __all__ = [
     "load_latest",
     "read_models",
     "save_version",
+    "score",
     "training_frame",
 ]

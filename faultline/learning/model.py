@@ -9,17 +9,21 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.functions.vectors import argmax_label, class_probabilities
 from faultline.operators.features import summary_columns, summary_names
 from faultline.operators.targets import count_columns, count_names
-from faultline.schema import CLASSES, MEASURES
+from faultline.schema import CLASSES, MEASURES, check_schema
 
 # --- fixed values: widths of the hidden layers
 HIDDEN_LAYERS = (120, 60)
 
+FLATTENED = "flattened"
+
 _SMALLEST_PROBABILITY = 1e-15
 
 
@@ -47,7 +51,7 @@ def flattened_frame(rows: DataFrame) -> DataFrame:
     values = F.flatten("features").cast("array<double>")
     return rows.filter(F.col("label").isNotNull()).select(
         "batch_id",
-        array_to_vector(values).alias("flattened"),
+        array_to_vector(values).alias(FLATTENED),
         F.col("label").cast("double").alias("label"),
     )
 
@@ -93,6 +97,21 @@ def fit(pipeline: Pipeline, rows: DataFrame, rows_per_task: int = 100_000) -> Pi
     return pipeline.fit(rows.coalesce(max(1, tasks)))
 
 
+def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
+    """``frame`` with ``prediction`` (0-based class) and ``probabilities``.
+
+    Inputs the model was not fitted for fail here by name, and not inside a task.
+    """
+    inputs = model.stages[0].getInputCols()
+    kind = VectorUDT() if inputs == [FLATTENED] else T.DoubleType()
+    check_schema(frame, T.StructType([T.StructField(name, kind) for name in inputs]))
+    return (
+        model.transform(frame)
+        .withColumn("probabilities", vector_to_array("probability", "float32"))
+        .select(*frame.columns, "probabilities", "prediction")
+    )
+
+
 def evaluate(scored: DataFrame, by: str = "split") -> DataFrame:
     """(``by``, metric, value) rows: log_loss, accuracy and weighted f1.
 

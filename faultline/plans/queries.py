@@ -19,6 +19,7 @@ from faultline.learning import (
     latest_models,
     load_latest,
     save_version,
+    score,
     training_frame,
 )
 from faultline.plans import views
@@ -275,7 +276,7 @@ def q26_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "registry")
     with ops.cached(frame) as rows:
         save_version(fit(fault_pipeline(), rows), spark, root, "fault_prediction")
-    scored = load_latest(spark, root, "fault_prediction").transform(frame)
+    scored = score(load_latest(spark, root, "fault_prediction"), frame)
     return scored.select("batch_id", "label", "prediction")
 
 
