@@ -1,4 +1,5 @@
 from faultline.learning.model import (
+    FLATTENED,
     evaluate,
     fault_pipeline,
     fit,
@@ -15,6 +16,7 @@ from faultline.learning.registry import (
 )
 
 __all__ = [
+    "FLATTENED",
     "evaluate",
     "fault_pipeline",
     "fit",

@@ -47,12 +47,13 @@ def training_frame(
 
 
 def flattened_frame(rows: DataFrame) -> DataFrame:
-    """Model rows with all steps of all channels as one vector, for ``fault_pipeline``."""
+    """Model rows with all steps of all channels as one vector in ``flattened``."""
     values = F.flatten("features").cast("array<double>")
-    return rows.filter(F.col("label").isNotNull()).select(
-        "batch_id",
-        array_to_vector(values).alias(FLATTENED),
-        F.col("label").cast("double").alias("label"),
+    return (
+        rows.filter(F.col("label").isNotNull())
+        .withColumn(FLATTENED, array_to_vector(values))
+        .withColumn("label", F.col("label").cast("double"))
+        .drop("features")
     )
 
 
@@ -87,13 +88,16 @@ def fault_pipeline(
     )
 
 
-def fit(pipeline: Pipeline, rows: DataFrame, rows_per_task: int = 100_000) -> PipelineModel:
+def fit(
+    pipeline: Pipeline, rows: DataFrame, values_per_task: int = 1_000_000
+) -> PipelineModel:
     """Fit on ``rows``, which should be cached.
 
     Every step of the optimiser is a job over all of them, so they are put into
-    as few tasks as their number allows.
+    as few tasks as the number of input values allows.
     """
-    tasks = math.ceil(rows.count() / rows_per_task)
+    width = pipeline.getStages()[-1].getLayers()[0]
+    tasks = math.ceil(rows.count() * width / values_per_task)
     return pipeline.fit(rows.coalesce(max(1, tasks)))
 
 

@@ -13,6 +13,7 @@ from faultline.operators.sequence import (
     add_batches,
     add_keyed_batches,
     add_row_index,
+    check_unique,
     drop_batches,
     full_batches,
 )
@@ -29,6 +30,7 @@ __all__ = [
     "batch_summary",
     "build_dataset",
     "cached",
+    "check_unique",
     "class_counts",
     "class_counts_pivoted",
     "class_target",

@@ -43,7 +43,8 @@ def build_dataset(
 def model_rows(
     dataset: DataFrame, size: int = BATCH_SIZE, channels: int = len(MEASURES)
 ) -> DataFrame:
-    """Channel-first float features and the hard label, as a model takes them.
+    """Channel-first float features and the hard label, as a model takes them,
+    after the other columns of ``dataset``.
 
     The length of each sequence is checked on the way: a wrong one fails the
     query instead of reaching a model.
@@ -55,8 +56,9 @@ def model_rows(
         F.lit(f" does not have {size} steps"),
     )
     steps = F.when(right, F.col("features")).otherwise(F.raise_error(message))
+    others = [c for c in dataset.columns if c not in ("features", "fault_type")]
     return dataset.select(
-        "batch_id",
+        *others,
         transposed(steps, channels).alias("features"),
         argmax_label(F.col("fault_type")).alias("label"),
     )

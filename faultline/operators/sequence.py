@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.schema import BATCH_SIZE
-from faultline.sources.scratch import scratch_path
+from faultline.sources.scratch import stored
 
 # Adds columns to a frame without moving, dropping or multiplying rows.
 RowLocal = Callable[[DataFrame], DataFrame]
@@ -51,7 +51,6 @@ def add_row_index(
     when a task is retried. With ``unique=True``, a promise that no two rows
     agree, any frame will do.
     """
-    spark = df.sparkSession
     key = list(order_by)
     rows = df
     if not unique:
@@ -64,10 +63,7 @@ def add_row_index(
         placed = derive(placed)
     keep = list(keep or [c for c in placed.columns if c not in ("_scan_order", "_place")])
 
-    path = scratch_path(spark, "indexed")
-    placed = placed.select(*keep, "_place")
-    placed.write.parquet(path)
-    stored = spark.read.schema(placed.schema).parquet(path).withColumns(
+    placed = stored(placed.select(*keep, "_place"), "indexed").withColumns(
         {
             "_part": F.shiftright("_place", _PLACE_BITS),
             "_place": F.col("_place").bitwiseAND((1 << _PLACE_BITS) - 1),
@@ -75,7 +71,7 @@ def add_row_index(
     )
 
     # One row per range partition, whatever the data: small enough to broadcast.
-    sizes = stored.groupBy("_part").agg(F.count("*").alias("_rows"))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
     in_order = Window.orderBy("_part")
     earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -84,11 +80,24 @@ def add_row_index(
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_rows").over(whole).alias(TOTAL),
     )
-    return stored.join(F.broadcast(offsets), "_part").select(
+    return placed.join(F.broadcast(offsets), "_part").select(
         *keep, (F.col("_before") + F.col("_place")).alias(INDEX), TOTAL
     )
 
 
+def check_unique(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Return ``df`` unchanged, or fail if two rows agree in ``key``.
+
+    Counts on the map side, so copies of one row do not meet in one task first.
+    """
+    repeated = df.groupBy(*key).agg(F.count("*").alias("_rows")).filter("_rows > 1")
+    example = repeated.first()
+    if example is not None:
+        values = {c: example[c] for c in key}
+        raise ValueError(f"{example['_rows']} rows have the key {values}")
+    return df
+
+
 def _batch_of(index, size: int):
     return F.expr(f"{index} div {size}") + 1
 

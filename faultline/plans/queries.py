@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,9 +14,11 @@ from pyspark.sql import types as T
 from faultline import operators as ops
 from faultline.functions.vectors import argmax_label
 from faultline.learning import (
+    FLATTENED,
     evaluate,
     fault_pipeline,
     fit,
+    flattened_frame,
     latest_models,
     load_latest,
     save_version,
@@ -24,8 +27,8 @@ from faultline.learning import (
 )
 from faultline.plans import views
 from faultline.plans.views import KEY, SHOWN_KEY
-from faultline.schema import CLASSES, LOCATIONS, MEASURES, SIMULATION, check_schema
-from faultline.sources import overwrite_table, schema_in_use, scratch_path
+from faultline.schema import BATCH_SIZE, CLASSES, LOCATIONS, MEASURES, SIMULATION, check_schema
+from faultline.sources import overwrite_table, schema_in_use, scratch_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -257,18 +260,26 @@ def q24_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_frame(_batches(spark, sf_dir, ["fault_type_coded", *MEASURES]))
+    rows = _batches(spark, sf_dir, ["fault_type_coded", *MEASURES])
+    return stored(training_frame(rows), "training")
+
+
+def _train_and_evaluate(frame: DataFrame, pipeline: Pipeline) -> DataFrame:
+    frame = ops.assign_split(frame, frame.select("batch_id"))
+    with ops.cached(frame.filter(F.col("split") == "train")) as rows:
+        model = fit(pipeline, rows)
+    return evaluate(model.transform(frame))
 
 
 def q25_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = _training_frame(spark, sf_dir)
-    with ops.cached(frame) as rows:
-        rows = ops.assign_split(rows, rows.select("batch_id"))
-        model = fit(fault_pipeline(), rows.filter(F.col("split") == "train"))
-        scored = model.transform(rows)
-        path = scratch_path(spark, "metrics")
-        evaluate(scored).write.parquet(path)
-    return spark.read.parquet(path)
+    return _train_and_evaluate(_training_frame(spark, sf_dir), fault_pipeline())
+
+
+def q25b_train_eval_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _batches(spark, sf_dir, ["fault_type_coded", *MEASURES])
+    frame = stored(flattened_frame(ops.model_rows(ops.build_dataset(rows))), "training")
+    width = BATCH_SIZE * len(MEASURES)
+    return _train_and_evaluate(frame, fault_pipeline([FLATTENED], width, max_iter=5))
 
 
 def q26_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,6 +329,7 @@ def queries() -> dict[str, Query]:
             q23_split,
             q24_summary,
             q25_train_eval,
+            q25b_train_eval_steps,
             q26_batch_score,
             q27_latest_model,
         )

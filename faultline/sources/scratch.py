@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -24,3 +24,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-"))
         root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/faultline/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder once and return the table read back.
+
+    Later jobs start from the files: nothing before them runs again, also not
+    when an executor is lost.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,8 +5,8 @@ import pytest
 from faultline.plans.queries import queries
 from tests.helpers import plan
 
-PYTHON_NODES = ["BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"]
-LEARNED = {"q25_train_eval", "q26_batch_score"}
+PYTHON_NODES = ["BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsIn", "MapIn"]
+LEARNED = {"q25_train_eval", "q25b_train_eval_steps", "q26_batch_score"}
 
 
 @pytest.fixture(scope="module")

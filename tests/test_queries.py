@@ -42,7 +42,11 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 
 def test_only_learned_results_have_no_sql():
-    assert set(QUERIES) - set(ORACLES) == {"q25_train_eval", "q26_batch_score"}
+    assert set(QUERIES) - set(ORACLES) == {
+        "q25_train_eval",
+        "q25b_train_eval_steps",
+        "q26_batch_score",
+    }
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -52,8 +56,9 @@ def test_flagship(spark):
     assert df.count() == 10
 
 
-def test_train_eval(spark, sf_dir):
-    rows = QUERIES["q25_train_eval"](spark, sf_dir).collect()
+@pytest.mark.parametrize("name", ["q25_train_eval", "q25b_train_eval_steps"])
+def test_train_eval(spark, sf_dir, name):
+    rows = QUERIES[name](spark, sf_dir).collect()
     assert {(r.split, r.metric) for r in rows} == {
         (s, m) for s in ("train", "val", "test") for m in ("log_loss", "accuracy", "f1")
     }

@@ -9,10 +9,12 @@ from faultline.operators import (
     add_batches,
     add_keyed_batches,
     add_row_index,
+    check_unique,
     code_rows,
     drop_batches,
     full_batches,
 )
+from faultline.sources import scratch
 from tests.helpers import plan, read_schemas, set_conf
 
 FEW = settings(
@@ -87,6 +89,13 @@ def test_rows_with_equal_keys_each_get_a_number(spark, tmp_path):
     assert sorted(r.v for r in rows) == [float(i) for i in range(300)]
 
 
+def test_repeated_keys_can_be_refused(spark):
+    df = frame(spark, [(1, 1, 0.0), (1, 2, 0.0), (2, 1, 0.0)])
+    assert check_unique(df, ["a", "b"]) is df
+    with pytest.raises(ValueError, match="2 rows have the key {'a': 1}"):
+        check_unique(df, ["a"])
+
+
 def largest_share(indexed):
     """Largest number of rows one task stored, from the stored files."""
     files = indexed.groupBy(F.col("_metadata.file_path")).count()
@@ -105,11 +114,9 @@ def test_hot_rows_are_spread_over_tasks(spark, tmp_path, monkeypatch, copies):
     rows.repartition(6, F.rand(1)).write.parquet(path)
 
     paths = []
-    import faultline.operators.sequence as sequence
-
-    real = sequence.scratch_path
+    real = scratch.scratch_path
     monkeypatch.setattr(
-        sequence, "scratch_path", lambda *a: paths.append(real(*a)) or paths[-1]
+        scratch, "scratch_path", lambda *a: paths.append(real(*a)) or paths[-1]
     )
     with set_conf(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
         indexed = add_row_index(spark.read.parquet(path), ["a", "b"])

@@ -90,3 +90,16 @@ def test_output_must_keep_key_and_run(spark):
         sweep_grouped(params, simulator(1), T.StructType([OUTPUT["id"]]))
     with pytest.raises(TypeError, match="StructType"):
         sweep_mapped(params, simulator(1), "id long")
+
+
+@pytest.mark.parametrize("change", ["drop", "add"])
+def test_other_columns_than_declared_fail(spark, change):
+    right = simulator(1)
+
+    def wrong(params):
+        result = right(params)
+        return result.drop(columns="step") if change == "drop" else result.assign(extra=1)
+
+    params = log_sweep(run_ids(spark, 2), 2)
+    with pytest.raises(Exception, match="got columns"):
+        sweep_grouped(params, wrong, OUTPUT).collect()
