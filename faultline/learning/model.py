@@ -65,10 +65,12 @@ def fault_pipeline(
     max_iter: int = 20,
     seed: int = 0,
     solver: str = "l-bfgs",
+    step_size: float = 0.03,
 ) -> Pipeline:
     """Scale ``inputs`` (default: the summaries) and fit a perceptron on them.
 
     ``width`` is the number of values in ``inputs`` when some are vectors.
+    ``step_size`` is used by the gradient descent solver, ``"gd"``.
     """
     inputs = list(summary_names() if inputs is None else inputs)
     layers = [width or len(inputs), *hidden, n_classes]
@@ -83,6 +85,7 @@ def fault_pipeline(
                 maxIter=max_iter,
                 seed=seed,
                 solver=solver,
+                stepSize=step_size,
             ),
         ]
     )

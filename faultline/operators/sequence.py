@@ -61,7 +61,8 @@ def add_row_index(
     placed = ordered.withColumn("_place", F.monotonically_increasing_id())
     if derive is not None:
         placed = derive(placed)
-    keep = list(keep or [c for c in placed.columns if c not in ("_scan_order", "_place")])
+    if keep is None:
+        keep = [c for c in placed.columns if c not in ("_scan_order", "_place")]
 
     placed = stored(placed.select(*keep, "_place"), "indexed").withColumns(
         {

@@ -20,6 +20,9 @@ Simulator = Callable[[pd.DataFrame], pd.DataFrame]
 EXPONENTS = {"Ron": 1.0, "Rg": 2.0}
 CONSTANTS = {"StopTime": 1.0}
 
+# Most runs in one call of a simulator, to bound the memory its results take.
+MAX_RUNS = 1024
+
 
 def run_ids(spark: SparkSession, n: int) -> DataFrame:
     """Run numbers 0 .. n-1 in a column ``id``."""
@@ -55,14 +58,15 @@ def sweep_grouped(
     key: str = "Ron",
     run_id: str = "id",
     tasks: int | None = None,
-    max_runs: int = 1024,
+    max_runs: int = MAX_RUNS,
 ) -> DataFrame:
     """Call ``simulate`` on the runs that share a ``key``.
 
     Runs are independent, so a key with very many of them is cut into slices of
     ``max_runs`` run numbers; with unique numbers no call sees more rows than
-    that. ``tasks`` as in ``sweep_mapped``. Groups travel as Arrow tables, which
-    for groups of a few rows costs a quarter of what pandas groups do.
+    that. Groups are spread over ``tasks`` tasks (default: the session's shuffle
+    partitions). They travel as Arrow tables, which for groups of a few rows
+    costs a quarter of what pandas groups do.
     """
     _check_output(output, key, run_id)
     columns = params.sparkSession.createDataFrame([], output).toArrow().schema
@@ -74,7 +78,7 @@ def sweep_grouped(
         return pa.Table.from_pandas(result, schema=columns, preserve_index=False)
 
     slice_of_key = [F.col(key), F.floor(F.col(run_id) / F.lit(max_runs)).alias("_slice")]
-    spread = _spread(params, tasks, *slice_of_key)
+    spread = params.repartition(_tasks(params, tasks), *slice_of_key)
     return spread.groupBy(*slice_of_key).applyInArrow(call, output)
 
 
@@ -84,26 +88,29 @@ def sweep_mapped(
     output: T.StructType,
     run_id: str = "id",
     tasks: int | None = None,
+    max_runs: int = MAX_RUNS,
 ) -> DataFrame:
-    """Call ``simulate`` on Arrow batches of runs, with no grouping.
+    """Call ``simulate`` on up to ``max_runs`` runs at a time, with no grouping.
 
-    Parameter rows are few and small but each is expensive to run, so they are
-    spread over ``tasks`` tasks (default: the session's shuffle partitions).
+    Parameter rows are few and small but each may take minutes to run, so they
+    are dealt out evenly to ``tasks`` tasks (default: the session's shuffle
+    partitions).
     """
     _check_output(output, run_id)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield simulate(frame)
+            for start in range(0, len(frame), max_runs):
+                yield simulate(frame.iloc[start : start + max_runs])
 
-    return _spread(params, tasks, run_id).mapInPandas(batches, output)
+    return params.repartition(_tasks(params, tasks)).mapInPandas(batches, output)
 
 
-def _spread(params: DataFrame, tasks: int | None, *by: str | Column) -> DataFrame:
+def _tasks(params: DataFrame, tasks: int | None) -> int:
     # an explicit number, as adaptive execution would merge such small partitions
-    if tasks is None:
-        tasks = int(params.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return params.repartition(tasks, *by)
+    if tasks is not None:
+        return tasks
+    return int(params.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _check_output(output: T.StructType, *columns: str) -> None:

@@ -1,6 +1,11 @@
+import re
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
-from faultline.operators import code_counts, code_rows
+from faultline.operators import add_batches, code_counts, code_rows
+from faultline.schema import BATCHED, CODED, SIMULATION, check_schema
 
 EDGE_ROWS = [
     # raw label, normalised, bus, letters, code
@@ -34,6 +39,25 @@ def test_edge_rows(spark, row):
     assert tuple(got) == row[1:]
 
 
+@settings(
+    max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(st.lists(st.text(alphabet="abZ_19 é-", max_size=14), min_size=1, max_size=80))
+def test_any_label_text(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "fault_class string")
+    for row in code_rows(df).collect():
+        parts = row.fault_class.split("_")
+        assert row.Bus_loc == (parts[1] if len(parts) > 1 else None)
+        letters = re.findall("(?<=_)[a-zA-Z]+", row.fault_class)
+        assert row.extracted_letters == "_".join(letters)
+
+
+def test_row_shapes(spark):
+    rows = spark.createDataFrame([(*[0.0] * 12, "unfaulted")], SIMULATION)
+    check_schema(code_rows(rows), CODED)
+    check_schema(add_batches(rows, ["V1mag_13"], derive=code_rows), BATCHED)
+
+
 def test_every_class(spark):
     rows = [(f"CB1_5_{letters}",) for letters, _ in ALL_CLASSES]
     df = code_rows(spark.createDataFrame(rows, "fault_class string"))

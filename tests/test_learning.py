@@ -108,6 +108,12 @@ def test_whole_sequences_as_inputs(batched):
         assert score(model, data).select("prediction").count() == 40
 
 
+def test_gradient_descent(batched):
+    with cached(training_frame(batched)) as rows:
+        model = fit(fault_pipeline(hidden=(4,), max_iter=2, solver="gd", step_size=1e-4), rows)
+        assert model.transform(rows).filter("prediction NOT BETWEEN 0 AND 7").count() == 0
+
+
 def test_cache_ends_with_the_block(spark):
     df = spark.range(3)
     with cached(df):

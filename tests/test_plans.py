@@ -41,3 +41,46 @@ def test_row_local_queries_do_not_shuffle(plans):
 def test_counts_are_aggregated_before_the_shuffle(plans):
     for name in ("q07_code_counts", "q11_class_counts", "q12_class_prob", "q24_summary", "q27_latest_model"):
         assert "partial_" in plans[name], name
+
+
+@pytest.fixture
+def ordered(monkeypatch):
+    """Plans of the frames that were put in order and stored."""
+    import faultline.operators.sequence as sequence
+
+    texts, real = [], sequence.stored
+
+    def watched(df, label):
+        texts.append(plan(df))
+        return real(df, label)
+
+    monkeypatch.setattr(sequence, "stored", watched)
+    return texts
+
+
+def test_ordering_reads_only_what_is_kept(spark, sf_dir, ordered):
+    queries()["q12_class_prob"](spark, sf_dir)
+    (text,) = ordered
+    read = text.split("ReadSchema: ")[1].splitlines()[0]
+    assert "l_shipdate" in read and "l_quantity" not in read
+
+
+def test_ordering_is_one_range_shuffle(spark, sf_dir, ordered):
+    queries()["q15_dataset"](spark, sf_dir)
+    (text,) = ordered
+    tree = text.split("\n\n")[0]
+    assert tree.count("Exchange") == 1
+    assert "rangepartitioning(l_orderkey" in text and "SinglePartition" not in text
+
+
+def test_labels_are_worked_out_after_the_shuffle(spark, sf_dir, ordered):
+    queries()["q12_class_prob"](spark, sf_dir)
+    (text,) = ordered
+    exchange = next(line for line in text.splitlines() if ") Exchange" in line and "(" == line[0])
+    number = int(exchange[1 : exchange.index(")")])
+    labels = [
+        int(part.split(")")[0])
+        for part in text.split("\n(")[1:]
+        if "regexp_extract_all" in part
+    ]
+    assert labels and min(labels) > number

@@ -73,6 +73,14 @@ def test_hot_key_is_cut_into_slices(spark):
     assert max(r.rows_in_call for r in got) == 10
 
 
+def test_mapped_calls_are_bounded_and_evenly_dealt(spark):
+    params = log_sweep(run_ids(spark, 64), 64)
+    got = sweep_mapped(params, simulator(1), OUTPUT, tasks=4, max_runs=5)
+    assert max(r.rows_in_call for r in got.collect()) == 5
+    dealt = got.groupBy(F.spark_partition_id()).count().collect()
+    assert {r["count"] for r in dealt} == {16}
+
+
 def test_one_shuffle_that_stays_spread(spark):
     params = log_sweep(run_ids(spark, 10), 10)
     for df in (
