@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +33,14 @@ def latest_model_path(models: DataFrame, name: str) -> str:
 
 def save_version(model: PipelineModel, spark: SparkSession, root: str, name: str) -> int:
     """Save ``model`` as the next version of ``name`` and return the version."""
-    spark.createDataFrame([], MODELS).write.mode("append").parquet(f"{root}/models")
-    saved = read_models(spark, root).filter(F.col("name") == name)
-    version = (saved.agg(F.max("version")).first()[0] or 0) + 1
+    try:
+        saved = read_models(spark, root).filter(F.col("name") == name)
+        newest = saved.agg(F.max("version")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        newest = None  # the first model of all
+    version = (newest or 0) + 1
     path = f"{root}/{name}/{version}"
     model.write().overwrite().save(path)
     entry = [(name, version, path, datetime.now(timezone.utc))]

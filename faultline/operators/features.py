@@ -53,12 +53,12 @@ def long_steps(df: DataFrame, features: Column, names: tuple[str, str]) -> DataF
 def summary_columns(measures: Sequence[str] = MEASURES) -> list[Column]:
     """Aggregates: sum, minimum and maximum of each measure.
 
-    Sums are taken over whole millionths, so they do not depend on the order in
-    which partial results arrive.
+    Sums are taken over whole millionths (halves to the even one), so they do
+    not depend on the order in which partial results arrive.
     """
     columns = []
     for m in measures:
-        millionths = F.round(F.col(m) * _MICRO).cast("long")
+        millionths = F.rint(F.col(m) * _MICRO).cast("long")
         columns += [
             (F.sum(millionths) / _MICRO).alias(f"{m}_sum"),
             F.min(m).alias(f"{m}_min"),

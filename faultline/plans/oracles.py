@@ -93,7 +93,7 @@ shuffled AS (
   FROM labels)"""
 
 _SUMMARY = ", ".join(
-    f"sum(CAST(round({m} * 1000000) AS BIGINT))::DOUBLE / 1000000 AS {m}_sum, "
+    f"sum(CAST(round_even({m} * 1000000, 0) AS BIGINT))::DOUBLE / 1000000 AS {m}_sum, "
     f"min({m}) AS {m}_min, max({m}) AS {m}_max"
     for m in MEASURES
 )
