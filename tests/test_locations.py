@@ -36,13 +36,15 @@ def test_size_decides_on_the_broadcast(spark, sf_dir):
         assert "SortMergeJoin LeftOuter" in plan(q.q19_row_distance(spark, sf_dir))
 
 
-def test_hot_bus_is_split(spark, places):
-    """The rows of a bus that has most of them are joined in several tasks."""
+@pytest.mark.parametrize("faulted", [True, False], ids=["hot bus", "many rows without a bus"])
+def test_hot_partition_is_split(spark, places, faulted):
+    """Rows of one bus, or of none, that are two in three are joined in several tasks."""
     n = 200_000
+    hot = F.col("id") % 3 > 0
     rows = spark.range(n, numPartitions=8).select(
         "id",
-        F.when(F.col("id") % 3 > 0, "13").otherwise(F.col("id").cast("string")).alias("Bus_loc"),
-        F.lit(4).alias("fault_type_coded"),
+        F.when(hot, "13").otherwise(F.col("id").cast("string")).alias("Bus_loc"),
+        F.when(hot, 4 if faulted else 1).otherwise(4).alias("fault_type_coded"),
         F.sha2(F.col("id").cast("string"), 512).alias("payload"),
     )
     with set_conf(
@@ -58,6 +60,6 @@ def test_hot_bus_is_split(spark, places):
         found, total, _ = counted.collect()[0]
         text = counted._jdf.queryExecution().executedPlan().toString()
     assert total == n
-    # bus 13 itself, and run 0 at bus "0"
-    assert found == sum(i % 3 > 0 for i in range(n)) + 1
+    # bus 13 if it is faulted, and run 0 at bus "0"
+    assert found == (sum(i % 3 > 0 for i in range(n)) if faulted else 0) + 1
     assert "skew=true" in text

@@ -180,3 +180,28 @@ def test_keyed_batches(spark, tmp_path, broadcast):
         keyed = add_keyed_batches(df, "a", ["b"], size=10)
         got = {r.b: (r.a, r.row_index, r.batch_id) for r in keyed.collect()}
     assert got == expected
+
+
+def test_hot_key_is_split(spark, tmp_path):
+    n = 200_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000 + 10).alias("a"),
+        F.col("id").alias("b"),
+        F.sha2(F.col("id").cast("string"), 512).alias("payload"),
+    )
+    rows.write.parquet(str(tmp_path / "hot"))
+    with set_conf(
+        spark,
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="1MB",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="1MB",
+        spark__sql__adaptive__coalescePartitions__parallelismFirst="false",
+    ):
+        keyed = add_keyed_batches(spark.read.parquet(str(tmp_path / "hot")), "a", ["b"], 100)
+        largest = keyed.filter("a = 7").agg(F.max("row_index"), F.count_distinct("row_index"))
+        assert tuple(largest.first()) == ((n + 2) // 3 - 1, (n + 2) // 3)
+        total = keyed.agg(F.count("*"), F.max("payload"), F.max("batch_id"))
+        assert total.collect()[0][0] == n
+        text = total._jdf.queryExecution().executedPlan().toString()
+    assert "skew=true" in text

@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.schema import LOCATIONS, SIMULATION, SchemaError
-from faultline.sources import overwrite_table, read_table, schema_in_use, scratch_path
+from faultline.sources import overwrite_table, read_table, schema_in_use, scratch_path, stored
 from tests.helpers import plan
 
 
@@ -73,7 +74,42 @@ def test_schema_is_restored_after_an_error(spark):
     assert spark.catalog.currentDatabase() == "default"
 
 
+class StubSession:
+    """As much of a session without the setting as ``scratch_path`` looks at."""
+
+    def __init__(self, master):
+        self.master, self.folder = master, None
+        self.conf = self.sparkContext = self
+
+    def get(self, name, default):
+        return default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_cluster_without_shared_folder_is_refused():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_path(StubSession("spark://host:7077"), "x")
+
+
+def test_local_session_falls_back_to_a_temporary_folder():
+    session = StubSession("local[2]")
+    assert scratch_path(session, "x").startswith(session.folder)
+
+
 def test_scratch_is_in_the_named_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert first.startswith(root) and first != second
+
+
+def test_stored_frame_starts_from_files(spark):
+    df = spark.range(10).repartition(3).withColumn("x", F.rand())
+    once = stored(df, "test")
+    assert once.schema.simpleString() == df.schema.simpleString()
+    assert sorted(once.collect()) == sorted(once.collect())
+    assert "Exchange" not in plan(once) and "Range" not in plan(once)
