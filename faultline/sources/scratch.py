@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir`` for one intermediate table.
+def application_folder(spark: SparkSession) -> str:
+    """This application's folder under ``spark.checkpoint.dir``.
 
     Every executor must see the folder, so a cluster session that names none is
     an error. Only a local session falls back to a temporary folder.
@@ -23,7 +23,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-"))
         root = context.getCheckpointDir()
-    return f"{root.rstrip('/')}/faultline/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/faultline/{context.applicationId}"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the application's folder for one intermediate table."""
+    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -35,3 +40,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no frame needs them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(folder, True)

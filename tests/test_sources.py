@@ -3,7 +3,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.schema import LOCATIONS, SIMULATION, SchemaError
-from faultline.sources import overwrite_table, read_table, schema_in_use, scratch_path, stored
+from faultline.sources import (
+    clear_scratch,
+    overwrite_table,
+    read_table,
+    schema_in_use,
+    scratch,
+    scratch_path,
+    stored,
+)
 from tests.helpers import plan
 
 
@@ -78,7 +86,7 @@ class StubSession:
     """As much of a session without the setting as ``scratch_path`` looks at."""
 
     def __init__(self, master):
-        self.master, self.folder = master, None
+        self.master, self.folder, self.applicationId = master, None, "app-1"
         self.conf = self.sparkContext = self
 
     def get(self, name, default):
@@ -113,3 +121,13 @@ def test_stored_frame_starts_from_files(spark):
     assert once.schema.simpleString() == df.schema.simpleString()
     assert sorted(once.collect()) == sorted(once.collect())
     assert "Exchange" not in plan(once) and "Range" not in plan(once)
+
+
+def test_clearing_deletes_this_folder_only(spark, tmp_path, monkeypatch):
+    mine, other = tmp_path / "faultline" / "mine", tmp_path / "faultline" / "other"
+    other.mkdir(parents=True)
+    monkeypatch.setattr(scratch, "application_folder", lambda _: str(mine))
+    assert stored(spark.range(3), "test").count() == 3
+    assert mine.exists()
+    clear_scratch(spark)
+    assert not mine.exists() and other.exists()
