@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.schema import BATCH_SIZE
@@ -99,7 +99,7 @@ def check_unique(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df
 
 
-def _batch_of(index, size: int):
+def _batch_of(index: str, size: int) -> Column:
     return F.expr(f"{index} div {size}") + 1
 
 

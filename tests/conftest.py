@@ -2,10 +2,15 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+# the same examples in every run
+settings.register_profile("repeatable", derandomize=True)
+settings.load_profile("repeatable")
+
 SF_DIR = "/root/testdata/sf0.001"
 
 
