@@ -246,8 +246,8 @@ def q22_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     with schema_in_use(spark, schema, location=path):
         table = f"{schema}.coded_rows"
         overwrite_table(coded.select(*SHOWN_KEY), table)
-        stored = overwrite_table(coded.select(*kept), table, provenance=True)
-    return stored.select(*kept)
+        second = overwrite_table(coded.select(*kept), table, provenance=True)
+    return second.select(*kept)
 
 
 def q23_split(spark: SparkSession, sf_dir: str) -> DataFrame:
