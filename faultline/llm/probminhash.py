@@ -21,8 +21,9 @@ Steps, each over narrow tables:
    Links join into classes.
 4. What a bucket still holds of other classes than its most frequent one is
    compared with all members of other classes in the bucket, so that no link
-   between classes is lost. Few are left there, as a bucket's members agree in a
-   band.
+   between classes is lost: by signatures of 512 components in blocks of bounded
+   size, and then by the texts where these come near ``SIMILARITY``. Pairs that
+   do not come near are never rows.
 
 Defined cases. Words are compared with A-Z in lower case. Texts of under five
 words have no shingles and are only alike if their words are equal. Null texts
@@ -50,6 +51,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 24
 BAND_ROWS = 6
+MARKS = 512  # components of the long signatures
+REST_BLOCK = 256
+OTHER_BLOCK = 4096
 
 
 def weighted_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,7 +245,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     links = _verified(stars, texts)
 
     placed = stored(_labelled(members, links), "placed")
-    left = _across(placed).join(stars.unionAll(stars.select("other", "node")), ["node", "other"], "anti")
+    left = _across(placed, nodes, texts).join(stars.unionAll(stars.select("other", "node")), ["node", "other"], "anti")
     links = links.unionAll(_verified(left, texts))
 
     labelled = stored(_labelled(nodes.select("node", "_first"), links), "labelled")
@@ -255,25 +259,83 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     )
 
 
-def _across(placed: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different classes, but for those that could only
-    link two members of the bucket's most frequent class."""
+def mark_column(text: Column) -> Column:
+    """A long signature of each text, 16 bits for each of ``MARKS`` components."""
+
+    def mark(column: pa.Array) -> pa.Array:
+        texts, out = byte_texts(column), []
+        for a, b in text_slices(texts):
+            text_of, elements, weights = weighted_shingles(texts[a:b])
+            found = signatures(text_of, elements, weights, b - a, MARKS).astype(np.uint16)
+            out += [row.tobytes() for row in found]
+        return pa.array(out, pa.binary())
+
+    return F.arrow_udf(mark, "binary").asNondeterministic()(text)
+
+
+def _across(placed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of one bucket in different classes that may be similar.
+
+    Members of a bucket's most frequent class are compared with all others, but
+    not with each other. Long signatures are compared in blocks inside the tasks,
+    and only pairs within four standard deviations of ``SIMILARITY`` come out, each
+    in the first of the buckets that both share.
+    """
     sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("_n"))
     largest = sizes.groupBy("bucket").agg(
-        F.max(F.struct("_n", "label"))["label"].alias("_largest"), F.count("*").alias("_classes")
+        F.max(F.struct("_n", "label"))["label"].alias("_largest"),
+        F.max("_n").alias("_most"),
+        F.sum("_n").alias("_all"),
+        F.count("*").alias("_classes"),
     )
-    mixed_buckets = largest.filter("_classes > 1").select("bucket", "_largest")
-    inside = placed.join(mixed_buckets, "bucket").select("bucket", "node", "label", "_largest")
-    rest = inside.filter("label != _largest").select("bucket", "node", "label")
-    others = inside.select(
-        "bucket", F.col("node").alias("other"), F.col("label").alias("_label"), "_largest"
+    several = largest.filter("_classes > 1").select(
+        "bucket",
+        "_largest",
+        F.ceil((F.col("_all") - F.col("_most")) / REST_BLOCK).cast("int").alias("_a"),
+        F.ceil(F.col("_all") / OTHER_BLOCK).cast("int").alias("_b"),
     )
-    return (
-        rest.join(others, "bucket")
-        .filter("label != _label AND (_label = _largest OR node < other)")
-        .select("node", "other")
-        .distinct()
+    inside = stored(placed.select("bucket", "node", "label").join(several, "bucket"), "inside")
+    marked = inside.select("node").distinct().join(texts, "node")
+    marks = marked.select("node", mark_column(F.col("_text")).alias("mark"))
+    marks = marks.join(nodes.select("node", "buckets"), "node")
+    rows = inside.join(stored(marks, "marks"), "node")
+    is_rest = F.col("label") != F.col("_largest")
+    spread = lambda n: F.sequence(F.lit(0), n - 1)
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    own = ["bucket", "node", "label", "mark", "buckets", is_rest.alias("is_rest")]
+    rest = rows.filter(is_rest).select(
+        *own, F.lit(True).alias("left"), block(F.col("_a")).alias("a"), F.explode(spread(F.col("_b"))).alias("b")
+    )
+    others = rows.select(
+        *own, F.lit(False).alias("left"), F.explode(spread(F.col("_a"))).alias("a"), block(F.col("_b")).alias("b")
+    )
+    least = int(MARKS * SIMILARITY - 4 * (MARKS * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
+
+    def compare(group: pa.Table) -> pa.Table:
+        side = group.column("left").to_numpy()
+        nodes = np.array(group.column("node").to_pylist() + [None], dtype=object)[:-1]
+        labels = pd.factorize(np.array(group.column("label").to_pylist() + [None], dtype=object))[0]
+        resting = group.column("is_rest").to_numpy()
+        marks = np.frombuffer(b"".join(group.column("mark").to_pylist()), np.uint16)
+        marks = marks.reshape(len(side), MARKS)
+        buckets = np.array(group.column("buckets").to_pylist(), np.int64).reshape(len(side), -1)
+        here = group.column("bucket")[0].as_py()
+        right = np.flatnonzero(~side)
+        found: tuple[list, list] = ([], [])
+        for i in np.flatnonzero(side):
+            agree = (marks[right] == marks[i]).sum(axis=1) >= least
+            for j in right[agree & (labels[right] != labels[i])]:
+                first = buckets[i][np.argmax(buckets[i] == buckets[j])]
+                # two that both rest meet twice
+                if first == here and (not resting[j] or nodes[i] < nodes[j]):
+                    found[0].append(nodes[i])
+                    found[1].append(nodes[j])
+        return pa.table([pa.array(x, pa.binary()) for x in found], ["node", "other"])
+
+    pairs = rest.unionAll(others).groupBy("bucket", "a", "b").applyInArrow(
+        compare, "node binary, other binary"
     )
+    return pairs.distinct()
 
 
 def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
