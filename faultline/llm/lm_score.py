@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +40,9 @@ from faultline.llm import ngram_trie
 from faultline.llm.tokens import byte_texts, hashes_of, mixed, text_slices, words_of
 
 MU = 100.0
-SHARD_TOKENS = 3_000_000
-HOT = 500_000
+SHARD_TOKENS = 2_500_000
+HOT = 2_500_000
+SLICE_BYTES = 10 << 20  # texts dealt out together
 
 # Keys of the end and the start of a text: no word is white space.
 END, START = (hashes_of([b" "])[0], hashes_of([b"\t"])[0])
@@ -49,22 +51,25 @@ U = np.uint64
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of all tokens, of the token before each, and their texts."""
-    keys, counts = [np.empty(0, U)], [np.empty(0, np.int64)]
-    for a, b in text_slices(texts):
-        words = words_of([t.lower() for t in texts[a:b]])
-        keys.append(hashes_of(words.distinct)[words.codes] if len(words.codes) else np.empty(0, U))
-        counts.append(words.counts)
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    text_of = np.repeat(np.arange(len(texts)), counts + 1)
+    words = words_of([t.lower() for t in texts])
+    counts = words.counts
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), counts + 1)
     ends = np.cumsum(counts + 1) - 1
     tokens = np.empty(len(text_of), U)
     inner = np.ones(len(tokens), bool)
     inner[ends] = False
-    tokens[inner], tokens[ends] = keys, END
+    tokens[ends] = END
+    if len(words.codes):
+        tokens[inner] = hashes_of(words.distinct)[words.codes]
     before = np.empty(len(tokens), U)
     before[1:] = tokens[:-1]
     before[ends - counts] = START
-    return tokens, before >> U(64 - ngram_trie.CONTEXT_BITS), text_of
+    before >>= U(64 - ngram_trie.CONTEXT_BITS)
+    return tokens, before, text_of
+
+
+def _summed(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(parts).groupby(["t", "b"], sort=False).sum().reset_index()
 
 
 def _rows(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -75,21 +80,41 @@ def _rows(df: DataFrame, text: str, key: str) -> DataFrame:
 def _counted(rows: DataFrame, hot: np.ndarray | None) -> DataFrame:
     """(token, before, n, trained) combined per batch.
 
-    Without ``hot``, of all tokens (``before`` is 0); else of the bigrams of the
-    tokens in ``hot``.
+    Without ``hot``, of all tokens (``before`` is 0); else of the bigrams whose
+    words are both in ``hot``.
     """
 
+    def word_counts(texts: list[bytes], trained: np.ndarray) -> pd.DataFrame:
+        words = words_of([t.lower() for t in texts])
+        size = len(words.distinct)
+        learned = np.repeat(trained, words.counts)
+        found = {
+            "t": np.append(hashes_of(words.distinct), END),
+            "b": np.zeros(size + 1, U),
+            "n": np.append(np.bincount(words.codes, minlength=size), len(texts)),
+            "k": np.append(np.bincount(words.codes[learned], minlength=size), trained.sum()),
+        }
+        return pd.DataFrame(found)
+
+    def pair_counts(texts: list[bytes], trained: np.ndarray) -> pd.DataFrame:
+        tokens, before, text_of = _tokens(texts)
+        # a bigram is as rare as the rarer of its words
+        some = np.isin(tokens, hot) & np.isin(before, before_hot)
+        found = {"t": tokens[some], "b": before[some], "n": 1, "k": trained[text_of[some]] * 1}
+        return _summed([pd.DataFrame(found)])
+
+    shift = U(64 - ngram_trie.CONTEXT_BITS)
+    before_hot = None if hot is None else np.append(hot, START) >> shift
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, before, text_of = _tokens(byte_texts(batch.column("text")))
-            if hot is None:
-                before = np.zeros(len(tokens), U)
-            else:
-                some = np.isin(tokens, hot)
-                tokens, before, text_of = tokens[some], before[some], text_of[some]
+            texts = byte_texts(batch.column("text"))
             trained = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-            frame = pd.DataFrame({"t": tokens, "b": before, "n": 1, "k": trained[text_of]})
-            sums = frame.groupby(["t", "b"], sort=False).sum().reset_index()
+            of = word_counts if hot is None else pair_counts
+            parts = [of(texts[a:b], trained[a:b]) for a, b in text_slices(texts)]
+            if not parts:
+                continue
+            sums = _summed(parts)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(sums["t"].to_numpy(U).view(np.int64)),
@@ -138,89 +163,91 @@ def _dealt(rows: DataFrame, shards: int, hot_words: np.ndarray, hot_pairs: np.nd
         "n_tokens bigint, " + ", ".join(f"{c} binary" for c in _BLOB)
     )
 
+    def packed(texts: list[bytes], held: np.ndarray, name: int) -> list[tuple]:
+        """(shard, blobs) of the occurrences in some texts."""
+        tokens, before, text_of = _tokens(texts)
+        # sorting by a word's mixed hash puts its shard's words together
+        part = mixed(tokens)
+        times = None
+        special = np.isin(tokens, hot_words)
+        if special.any():
+            # repeated bigrams of one text count as one entry
+            frame = pd.DataFrame({"t": tokens, "b": before, "x": text_of})[special]
+            sums = frame.groupby(["t", "b", "x"], sort=False).size().reset_index(name="n")
+            own, previous = sums["t"].to_numpy(U), sums["b"].to_numpy(U)
+            pair = mixed(own ^ mixed(previous))
+            pair = np.where(np.isin(pair, hot_pairs), mixed(pair + U(name)), pair)
+            plain = ~special
+            times = np.concatenate([np.ones(plain.sum(), np.int64), sums["n"].to_numpy()])
+            tokens = np.concatenate([tokens[plain], own])
+            before = np.concatenate([before[plain], previous])
+            text_of = np.concatenate([text_of[plain], sums["x"].to_numpy()])
+            part = np.concatenate([part[plain], pair])
+        order = np.argsort(part)
+        shard = ((part[order] >> U(32)) * U(shards) >> U(32)).astype(np.int64)
+        del part
+        tokens, before, text_of = tokens[order], before[order], text_of[order]
+        times = np.ones(len(tokens), np.uint8) if times is None else times[order]
+        edges = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
+        trained, out = np.packbits(~held).tobytes(), []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own = tokens[a:b]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            blobs = (
+                own[first].tobytes(),
+                _small(np.diff(np.append(first, b - a))),
+                (before[a:b] & U(0xFFFFFFFF)).astype(np.uint32).tobytes(),
+                (before[a:b] >> U(32)).astype(np.uint16).tobytes(),
+                _small(text_of[a:b]),
+                _small(times[a:b]),
+                trained,
+            )
+            out.append((int(shard[a]), *blobs))
+        return out
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(batches):
-            name = (TaskContext.get().partitionId() << 32) + number
+        number = 0
+        for batch in batches:
             texts = byte_texts(batch.column("text"))
-            tokens, before, text_of = _tokens(texts)
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
-            n, blank = len(texts), pa.nulls(len(texts), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, -1 - name)),
-                    pa.array(np.full(n, name)),
-                    pa.array(np.arange(n, dtype=np.int32)),
-                    batch.column("key"),
-                    batch.column("held_out"),
-                    pa.array(np.bincount(text_of, minlength=n)),
-                    *[blank] * len(_BLOB),
-                ],
-                names=names,
-            )
-            trained = np.packbits(~held).tobytes()
-            # the hash's own range decides the shard, so sorting by it deals it out
-            part = mixed(tokens)
-            special = np.isin(tokens, hot_words)
-            pair = mixed(tokens ^ mixed(before))
-            pair = np.where(np.isin(pair, hot_pairs), mixed(pair + U(name)), pair)
-            part = np.where(special, pair, part)
-            shard = ((part >> U(32)) * U(shards) >> U(32)).astype(np.int64)
-            times = np.ones(len(tokens), np.int64)
-            if special.any():
-                # repeated bigrams of one text count as one entry
-                frame = pd.DataFrame(
-                    {"t": tokens, "b": before, "x": text_of, "s": shard}
-                )[special]
-                sums = frame.groupby(["t", "b", "x", "s"], sort=False).size().reset_index(name="n")
-                plain = ~special
-                tokens = np.concatenate([tokens[plain], sums["t"].to_numpy(U)])
-                before = np.concatenate([before[plain], sums["b"].to_numpy(U)])
-                text_of = np.concatenate([text_of[plain], sums["x"].to_numpy()])
-                shard = np.concatenate([shard[plain], sums["s"].to_numpy()])
-                times = np.concatenate([times[plain], sums["n"].to_numpy()])
-            order = np.argsort(tokens)
-            order = order[np.argsort(shard[order].astype(np.uint32), kind="stable")]
-            tokens, before, text_of = tokens[order], before[order], text_of[order]
-            shard, times = shard[order], times[order]
-            edges = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
-            out = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                own = tokens[a:b]
-                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                sizes = np.diff(np.append(first, b - a))
-                out.append(
-                    (
-                        int(shard[a]),
-                        own[first].tobytes(),
-                        _small(sizes),
-                        (before[a:b] & U(0xFFFFFFFF)).astype(np.uint32).tobytes(),
-                        (before[a:b] >> U(32)).astype(np.uint16).tobytes(),
-                        _small(text_of[a:b]),
-                        _small(times[a:b]),
-                        trained,
-                    )
+            for a, b in text_slices(texts, SLICE_BYTES):
+                name = (TaskContext.get().partitionId() << 32) + number
+                number, n = number + 1, b - a
+                counts = [len(t.split()) + 1 for t in texts[a:b]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n, -1 - name)),
+                        pa.array(np.full(n, name)),
+                        pa.array(np.arange(n, dtype=np.int32)),
+                        batch.column("key")[a:b],
+                        batch.column("held_out")[a:b],
+                        pa.array(counts, pa.int64()),
+                        *[pa.nulls(n, pa.binary())] * len(_BLOB),
+                    ],
+                    names=names,
+                )
+                out = packed(texts[a:b], held[a:b], name)
+                m = len(out)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([x[0] for x in out], pa.int64()),
+                        pa.array(np.full(m, name)),
+                        pa.nulls(m, pa.int32()),
+                        pa.nulls(m, batch.column("key").type),
+                        pa.nulls(m, pa.bool_()),
+                        pa.nulls(m, pa.int64()),
+                        *[pa.array([x[i] for x in out], pa.binary()) for i in range(1, 8)],
+                    ],
+                    names=names,
                 )
-            m = len(out)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in out], pa.int64()),
-                    pa.array(np.full(m, name)),
-                    pa.nulls(m, pa.int32()),
-                    pa.nulls(m, batch.column("key").type),
-                    pa.nulls(m, pa.bool_()),
-                    pa.nulls(m, pa.int64()),
-                    *[pa.array([x[i] for x in out], pa.binary()) for i in range(1, 8)],
-                ],
-                names=names,
-            )
 
     names = ["shard", "batch", "place", "key", "held_out", "n_tokens", *_BLOB]
     return rows.mapInArrow(deal, schema)
 
 
 def _occurrences(group: pa.Table):
-    """(word, before, text, times, trained) of a shard, and the (batch, place) of
-    its texts."""
+    """(word, before, text, times, trained) of a shard, and (batch, places) of its
+    texts in their order."""
     parts, names, at = [], [], 0
     for row in group.to_pylist():
         words = np.frombuffer(row["words"], U)
@@ -231,29 +258,39 @@ def _occurrences(group: pa.Table):
         texts = _wide(row["texts"], n)
         trained = np.unpackbits(np.frombuffer(row["trained"], np.uint8)).astype(bool)
         seen, local = np.unique(texts, return_inverse=True)
-        names.append((np.full(len(seen), row["batch"]), seen))
+        names.append((row["batch"], seen))
+        times = _wide(row["times"], n).astype(np.int32)
         parts.append(
-            (np.repeat(words, sizes), before, at + local, _wide(row["times"], n), trained[texts])
+            (np.repeat(words, sizes), before, (at + local).astype(np.int32), times, trained[texts])
         )
         at += len(seen)
-    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    return columns, [np.concatenate(x) for x in zip(*names, strict=True)]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)], names
 
 
 def _score_shard(group, mu, n_train, n_words, hot_words, hot_pairs):
-    """(batch, place, known, base, score) of the texts of one shard."""
-    (word, before, text, times, trained), (batch, place) = _occurrences(group)
+    """(batch, places, known, base, score) for each batch of texts in one shard."""
+    (word, before, text, times, trained), names = _occurrences(group)
     trained_times = np.where(trained, times, 0)
 
     words, word_of = np.unique(word, return_inverse=True)
     counts = np.bincount(word_of, weights=trained_times).astype(np.int64)
     for token, _, n in hot_words:
         counts[words == U(token % 2**64)] = n
+    word_of = word_of.astype(np.int32)
     pair_key = mixed(word ^ mixed(before))
-    pairs, first, pair_of = np.unique(pair_key, return_index=True, return_inverse=True)
+    del word
+    order = np.argsort(pair_key)
+    new = np.append(True, np.diff(pair_key[order]) != 0)
+    pair_of = np.empty(len(order), np.int32)
+    pair_of[order] = np.cumsum(new, dtype=np.int32) - 1
+    first = order[new]
+    pairs = pair_key[first]
+    del order, new, pair_key
     if (before[first][pair_of] != before).any() or (word_of[first][pair_of] != word_of).any():
         raise RuntimeError("two bigrams have one hash")
+    before, word_at = before[first], word_of[first]
     pair_counts = np.bincount(pair_of, weights=trained_times).astype(np.int64)
+    del trained_times
     for token, previous, n in hot_pairs:
         key = mixed(np.array([token % 2**64], U) ^ mixed(np.array([previous], U)))[0]
         pair_counts[pairs == key] = n
@@ -262,30 +299,32 @@ def _score_shard(group, mu, n_train, n_words, hot_words, hot_pairs):
     known = counts > 0
     rank_of = np.cumsum(known) - 1
     learned = np.flatnonzero(pair_counts > 0)
-    owner, previous = rank_of[word_of[first[learned]]], before[first[learned]]
+    owner, previous = rank_of[word_at[learned]], before[learned]
     order = np.lexsort((previous, owner))
     learned, owner, previous = learned[order], owner[order], previous[order]
     whole = n_train + n_words + 1
     prior = mu * (counts + 1) / whole
-    logs = np.log10(pair_counts[learned] + prior[word_of[first[learned]]])
+    logs = np.log10(pair_counts[learned] + prior[word_at[learned]])
     trie = ngram_trie.mapped(ngram_trie.build(words[known], owner, previous, logs))
 
-    rank, found = ngram_trie.lookup(trie, word[first], before[first])
-    backed_off = np.log10(prior[word_of[first]])
-    pair_log = backed_off.copy()
+    rank, found = ngram_trie.lookup(trie, words[word_at], before)
+    pair_log = np.log10(prior[word_at])
     hit = found >= 0
     pair_log[hit] = ngram_trie.log_of(trie, found[hit])
     as_context = np.where(words == END, 0.0, np.log10(counts + mu))
 
-    n_texts = len(batch)
+    n_texts = sum(len(places) for _, places in names)
     sums = lambda x: np.bincount(text, weights=times * x, minlength=n_texts)
-    return (
-        batch,
-        place,
-        sums((rank >= 0)[pair_of]).astype(np.int64),
+    results = (
+        sums((rank >= 0)[pair_of]),
         sums(np.log10(counts + 1)[word_of]),
         sums(pair_log[pair_of] - as_context[word_of]),
     )
+    out, at = [], 0
+    for batch, places in names:
+        out.append((batch, places, *(x[at : at + len(places)] for x in results)))
+        at += len(places)
+    return out
 
 
 def lm_scores(
@@ -314,48 +353,64 @@ def lm_scores(
     shards = max(1, -(-total // shard_tokens))
     key_type = rows.schema["key"].dataType.simpleString()
 
-    names = ["batch", "place", "key", "held_out", "n_tokens", "n_known", "base", "score"]
+    header = ["batch", "place", "key", "held_out", "n_tokens"]
+    sums = ["places", "known", "base", "score"]
 
     def score(group: pa.Table) -> pa.Table:
-        if group.column("shard")[0].as_py() < 0:
+        """Headers as they are; partial sums packed, a row per batch of texts."""
+        shard = group.column("shard")[0].as_py()
+        if shard < 0:
             n = group.num_rows
-            zeros = pa.array(np.zeros(n))
-            kept = [group.column(c) for c in names[:5]]
-            return pa.Table.from_arrays([*kept, pa.array(np.zeros(n, np.int64)), zeros, zeros], names)
-        batch, place, known, base, own = _score_shard(
-            group, mu, n_train, n_words, hot_words, hot_pairs
-        )
-        n = len(batch)
+            blank = [pa.nulls(n, pa.binary())] * len(sums)
+            kept = [group.column(c) for c in header]
+            return pa.Table.from_arrays([pa.array(np.full(n, shard)), *kept, *blank], names)
+        found = _score_shard(group, mu, n_train, n_words, hot_words, hot_pairs)
+        n = len(found)
+        blank = [pa.nulls(n, group.column(c).type) for c in header[1:]]
+        blobs = [[x[0] for x in found], [_small(x[1]) for x in found]]
+        blobs.append([_small(x[2].astype(np.int64)) for x in found])
+        blobs += [[x[i].tobytes() for x in found] for i in (3, 4)]
+        columns = [pa.array(b, pa.binary()) for b in blobs[1:]]
+        first = [pa.array(np.full(n, shard)), pa.array(blobs[0], pa.int64())]
+        return pa.Table.from_arrays([*first, *blank, *columns], names)
+
+    def merge(group: pa.Table) -> pa.Table:
+        """The texts of one batch with the sums of all shards, in their order."""
+        group = group.sort_by([("shard", "ascending"), ("place", "ascending")])
+        blobs = group.filter(pa.compute.is_valid(group.column("places")))
+        texts = group.filter(pa.compute.is_valid(group.column("place")))
+        totals = np.zeros((3, texts.num_rows))
+        for row in blobs.select(sums).to_pylist():
+            n = len(row["base"]) // 8
+            at = _wide(row["places"], n)
+            totals[0, at] += _wide(row["known"], n)
+            totals[1, at] += np.frombuffer(row["base"], np.float64)
+            totals[2, at] += np.frombuffer(row["score"], np.float64)
         return pa.Table.from_arrays(
             [
-                pa.array(batch),
-                pa.array(place.astype(np.int32)),
-                pa.nulls(n, group.column("key").type),
-                pa.nulls(n, pa.bool_()),
-                pa.nulls(n, pa.int64()),
-                pa.array(known),
-                pa.array(base),
-                pa.array(own),
+                *[texts.column(c) for c in header[2:]],
+                pa.array(np.rint(totals[0]).astype(np.int64)),
+                pa.array(totals[1]),
+                pa.array(totals[2]),
             ],
-            names,
+            ["key", "held_out", "n_tokens", "n_known", "base", "score"],
         )
 
-    schema = (
-        f"batch bigint, place int, key {key_type}, held_out boolean, n_tokens bigint, "
-        "n_known bigint, base double, score double"
+    names = ["shard", *header, *sums]
+    partial = (
+        f"shard bigint, batch bigint, place int, key {key_type}, held_out boolean, n_tokens bigint, "
+        + ", ".join(f"{c} binary" for c in sums)
     )
-    dealt = _dealt(rows, shards, hot_tokens, pair_keys)
-    sums = dealt.groupBy("shard").applyInArrow(score, schema).groupBy("batch", "place").agg(
-        F.max("key").alias("key"),
-        F.max("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"),
-        F.sum("base").alias("base"),
-        F.sum("score").alias("score"),
+    whole_rows = (
+        f"key {key_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, "
+        "score double"
     )
+    dealt = _dealt(rows, shards, hot_tokens, pair_keys)
+    parts = dealt.groupBy("shard").applyInArrow(score, partial)
+    scored = parts.groupBy("batch").applyInArrow(merge, whole_rows)
     start = float(np.log10(trained_texts + mu))
     whole = float(np.log10(n_train + n_words + 1))
-    return sums.select(
+    return scored.select(
         F.col("key").alias(key),
         "held_out",
         "n_tokens",

@@ -158,8 +158,19 @@ def build(words: np.ndarray, owner: np.ndarray, before: np.ndarray, logs: np.nda
     return Trie(encode(words), encode(ends), encode(before, owner), codes, (least, step))
 
 
+LOOKUPS = 1 << 17  # bigrams looked up together
+
+
 def lookup(trie: Trie, words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each bigram its word's rank and its own place; -1 if unknown."""
+    rank, place = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+    for a in range(0, len(words), LOOKUPS):
+        part = slice(a, a + LOOKUPS)
+        rank[part], place[part] = _lookup(trie, words[part], before[part])
+    return rank, place
+
+
+def _lookup(trie: Trie, words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = trie.words.size
     if not n:
         return np.full(len(words), -1), np.full(len(words), -1)
