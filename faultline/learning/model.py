@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -10,7 +9,7 @@ from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,32 +90,60 @@ def fault_pipeline(
     )
 
 
-def fit(
-    pipeline: Pipeline, rows: DataFrame, values_per_task: int = 1_000_000
-) -> PipelineModel:
-    """Fit on ``rows``, which should be cached.
+def fit(pipeline: Pipeline, rows: DataFrame, tasks: int | None = None) -> PipelineModel:
+    """Fit on ``rows``, which should be stored or cached.
 
-    Every step of the optimiser is a job over all of them, so they are put into
-    as few tasks as the number of input values allows.
+    Every step of the optimiser is a job over all of them in which each task
+    sends a gradient as long as the weights. So the number of tasks is that of
+    the session's cores (``tasks`` gives another), whatever the rows.
     """
-    width = pipeline.getStages()[-1].getLayers()[0]
-    tasks = math.ceil(rows.count() * width / values_per_task)
-    return pipeline.fit(rows.coalesce(max(1, tasks)))
+    tasks = tasks or rows.sparkSession.sparkContext.defaultParallelism
+    return pipeline.fit(rows.coalesce(tasks))
 
 
 def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
     """``frame`` with ``prediction`` (0-based class) and ``probabilities``.
 
-    Inputs the model was not fitted for fail here by name, and not inside a task.
+    Columns the model was not fitted for fail here by name. Vectors of another
+    length, and results with another number of probabilities than the model's
+    classes, fail by name in the task that meets them.
     """
     inputs = model.stages[0].getInputCols()
-    kind = VectorUDT() if inputs == [FLATTENED] else T.DoubleType()
-    check_schema(frame, T.StructType([T.StructField(name, kind) for name in inputs]))
-    return (
-        model.transform(frame)
-        .withColumn("probabilities", vector_to_array("probability", "float32"))
-        .select(*frame.columns, "probabilities", "prediction")
+    layers = model.stages[-1].getLayers()
+    wanted = [
+        T.StructField(name, frame.schema[name].dataType)
+        if name in frame.columns and isinstance(frame.schema[name].dataType, VectorUDT)
+        else T.StructField(name, T.DoubleType())
+        for name in inputs
+    ]
+    check_schema(frame, T.StructType(wanted))
+    vectors = [f.name for f in wanted if isinstance(f.dataType, VectorUDT)]
+    if not vectors and len(inputs) != layers[0]:
+        raise ValueError(f"{len(inputs)} inputs for a model of {layers[0]}")
+    checked = frame
+    if len(vectors) == 1:
+        length = layers[0] - (len(inputs) - 1)
+        checked = checked.withColumn(
+            vectors[0], _of_length(vectors[0], F.col(vectors[0]), length)
+        )
+    scored = model.transform(checked).withColumn(
+        "probabilities", vector_to_array("probability", "float32")
+    )
+    n = F.size("probabilities")
+    message = F.concat(F.lit(f"probabilities: expected {layers[-1]}, got "), n.cast("string"))
+    right = F.when(n == layers[-1], F.col("probabilities")).otherwise(
+        F.raise_error(message).cast("array<float>")
     )
+    return scored.withColumn("probabilities", right).select(
+        *frame.columns, "probabilities", "prediction"
+    )
+
+
+def _of_length(name: str, vector: Column, length: int) -> Column:
+    values = vector_to_array(vector)
+    message = F.concat(F.lit(f"{name}: expected {length} values, got "), F.size(values).cast("string"))
+    wrong = array_to_vector(F.raise_error(message).cast("array<double>"))
+    return F.when(F.size(values) == length, vector).otherwise(wrong)
 
 
 def evaluate(scored: DataFrame, by: str = "split") -> DataFrame:

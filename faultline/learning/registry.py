@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def latest_model_path(models: DataFrame, name: str) -> str:
 
 
 def save_version(model: PipelineModel, spark: SparkSession, root: str, name: str) -> int:
-    """Save ``model`` as the next version of ``name`` and return the version."""
+    """Save ``model`` as the next free version of ``name`` and return the version."""
     try:
         saved = read_models(spark, root).filter(F.col("name") == name)
         newest = saved.agg(F.max("version")).first()[0]
@@ -41,8 +42,16 @@ def save_version(model: PipelineModel, spark: SparkSession, root: str, name: str
             raise
         newest = None  # the first model of all
     version = (newest or 0) + 1
-    path = f"{root}/{name}/{version}"
-    model.write().overwrite().save(path)
+    while True:
+        path = f"{root}/{name}/{version}"
+        try:
+            model.write().save(path)
+            break
+        except (Py4JJavaError, IllegalArgumentException, AnalysisException) as error:
+            # another writer has this version: never replace its model
+            if "already exists" not in str(error):
+                raise
+            version += 1
     entry = [(name, version, path, datetime.now(timezone.utc))]
     spark.createDataFrame(entry, MODELS).write.mode("append").parquet(f"{root}/models")
     return version

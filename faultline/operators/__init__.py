@@ -15,6 +15,7 @@ from faultline.operators.sequence import (
     add_row_index,
     check_unique,
     drop_batches,
+    full_batch_ids,
     full_batches,
 )
 from faultline.operators.splits import assign_split
@@ -38,6 +39,7 @@ __all__ = [
     "code_rows",
     "drop_batches",
     "feature_sizes",
+    "full_batch_ids",
     "full_batches",
     "join_target",
     "log_sweep",

@@ -11,8 +11,6 @@ from faultline.functions.vectors import ordered_steps
 from faultline.operators.sequence import INDEX
 from faultline.schema import MEASURES
 
-_MICRO = 1_000_000
-
 
 def rounded(
     df: DataFrame,
@@ -33,12 +31,16 @@ def sequences(df: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
 
 
 def feature_sizes(df: DataFrame) -> DataFrame:
-    """Number of batches by sequence length; one row if all are the same."""
-    return (
-        df.select(F.size("features").alias("feature_size"))
-        .groupBy("feature_size")
-        .agg(F.count("*").alias("n_batches"))
-    )
+    """Number of batches by sequence length; one row if all are the same.
+
+    Takes either sequences or the rows they would be made of. Rows are counted,
+    combined before the shuffle, and no measure is read.
+    """
+    if "features" not in df.columns:
+        df = df.groupBy("batch_id").agg(F.count("*").cast("int").alias("feature_size"))
+    else:
+        df = df.select(F.size("features").alias("feature_size"))
+    return df.groupBy("feature_size").agg(F.count("*").alias("n_batches"))
 
 
 def long_steps(df: DataFrame, features: Column, names: tuple[str, str]) -> DataFrame:
@@ -53,14 +55,13 @@ def long_steps(df: DataFrame, features: Column, names: tuple[str, str]) -> DataF
 def summary_columns(measures: Sequence[str] = MEASURES) -> list[Column]:
     """Aggregates: sum, minimum and maximum of each measure.
 
-    Sums are taken over whole millionths (halves to the even one), so they do
-    not depend on the order in which partial results arrive.
+    Sums are of doubles: their last digits depend on the order in which partial
+    results arrive. NaN and infinity come through as such.
     """
     columns = []
     for m in measures:
-        millionths = F.rint(F.col(m) * _MICRO).cast("long")
         columns += [
-            (F.sum(millionths) / _MICRO).alias(f"{m}_sum"),
+            F.sum(m).alias(f"{m}_sum"),
             F.min(m).alias(f"{m}_min"),
             F.max(m).alias(f"{m}_max"),
         ]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.vectors import distance_from_origin
+from faultline.operators.sequence import check_unique
 from faultline.schema import UNFAULTED_CODE
 
 DISTANCE = "distance_sub_station"
@@ -21,13 +22,15 @@ def with_distance(locations: DataFrame) -> DataFrame:
 def attach_distance(rows: DataFrame, locations: DataFrame) -> DataFrame:
     """Coded rows with the distance of their bus; null for unknown or no bus.
 
+    A bus name that repeats in ``locations`` is an error: it would repeat rows.
     Fault-free rows carry a stand-in bus and must not match a real one of the
     same name. The join carries no hint: Spark broadcasts the locations when
     their measured size is under its threshold, and otherwise sort-merges, with
     the partitions of a hot bus (and of the null key) split by adaptive
     execution.
     """
-    places = with_distance(locations).select(F.col("Bus_loc").alias("_bus"), DISTANCE)
+    named = check_unique(locations.filter(F.col("Bus_loc").isNotNull()), ["Bus_loc"])
+    places = with_distance(named).select(F.col("Bus_loc").alias("_bus"), DISTANCE)
     faulted = F.col("fault_type_coded").isNull() | (
         F.col("fault_type_coded") != UNFAULTED_CODE
     )

@@ -36,7 +36,7 @@ def add_row_index(
     order_by: Sequence[str],
     keep: Sequence[str] | None = None,
     derive: RowLocal | None = None,
-    unique: bool = False,
+    ties: str = "fail",
 ) -> DataFrame:
     """Add ``row_index`` (0-based, by ``order_by``, nulls first) and ``row_total``.
 
@@ -45,15 +45,20 @@ def add_row_index(
     samples its input. Only ``keep`` (default: all columns) is stored and
     returned; columns not needed for it are not read.
 
-    ``order_by`` should tell rows apart. Rows that agree in it stay in scan
-    order, which also spreads copies of one row over several partitions. That
-    takes a frame made of a scan and row-local steps, whose row order repeats
-    when a task is retried. With ``unique=True``, a promise that no two rows
-    agree, any frame will do.
+    ``order_by`` must tell rows apart, as equal rows would be numbered by the
+    layout of files. ``ties`` says what about that:
+
+    * ``"fail"``: count the rows of each key first, and fail with one that repeats.
+    * ``"promised"``: the caller knows that no two rows agree; nothing is counted.
+    * ``"scan"``: rows that agree stay in scan order, which also spreads copies of
+      one row over several partitions. That takes a frame made of a scan and
+      row-local steps, whose row order repeats when a task is retried.
     """
+    if ties not in ("fail", "promised", "scan"):
+        raise ValueError(f"ties must be fail, promised or scan, not {ties}")
     key = list(order_by)
-    rows = df
-    if not unique:
+    rows = check_unique(df, key) if ties == "fail" else df
+    if ties == "scan":
         rows = rows.withColumn("_scan_order", F.monotonically_increasing_id())
         key.append("_scan_order")
 
@@ -109,13 +114,14 @@ def add_batches(
     size: int = BATCH_SIZE,
     keep: Sequence[str] | None = None,
     derive: RowLocal | None = None,
+    ties: str = "fail",
 ) -> DataFrame:
     """Cut the ordered rows into batches of ``size``, numbered from 1.
 
-    Adds ``row_index``, ``row_total`` and ``batch_id``. ``keep`` and ``derive``
-    are as in ``add_row_index``.
+    Adds ``row_index``, ``row_total`` and ``batch_id``. ``keep``, ``derive`` and
+    ``ties`` are as in ``add_row_index``.
     """
-    rows = add_row_index(df, order_by, keep, derive)
+    rows = add_row_index(df, order_by, keep, derive, ties)
     return rows.withColumn("batch_id", _batch_of(INDEX, size))
 
 
@@ -125,6 +131,7 @@ def add_keyed_batches(
     order_by: Sequence[str],
     size: int = BATCH_SIZE,
     keep: Sequence[str] | None = None,
+    ties: str = "fail",
 ) -> DataFrame:
     """Cut the rows of each ``key`` into batches of ``size``, numbered from 1.
 
@@ -135,7 +142,7 @@ def add_keyed_batches(
     hot partitions adaptive execution splits.
     """
     keep = list(dict.fromkeys([key, *(df.columns if keep is None else keep)]))
-    rows = add_row_index(df, [key, *order_by], keep)
+    rows = add_row_index(df, [key, *order_by], keep, ties=ties)
     starts = rows.groupBy(F.col(key).alias("_key")).agg(F.min(INDEX).alias("_start"))
     return (
         rows.join(starts, F.col(key).eqNullSafe(F.col("_key")))
@@ -150,6 +157,13 @@ def full_batches(df: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
     return df.filter(F.col("batch_id") <= F.expr(f"{TOTAL} div {size}"))
 
 
+def full_batch_ids(df: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
+    """The ``batch_id`` of every full batch, from the number of rows alone."""
+    first = df.select(TOTAL).first()
+    n = first[TOTAL] // size if first is not None else 0
+    return df.sparkSession.range(1, n + 1).withColumnRenamed("id", "batch_id")
+
+
 def drop_batches(df: DataFrame, ids: Iterable[int]) -> DataFrame:
     """Drop the batches with the listed numbers."""
     return df.filter(~F.col("batch_id").isin(*ids))

@@ -19,7 +19,7 @@ def assign_split(
     """Add ``split`` to ``df``: the first int(train * n) ids of a seeded shuffle
     are ``train``, those up to int((train + val) * n) ``val``, the rest ``test``.
 
-    ``ids`` holds each id of ``df`` once. Only the ids are ranked; the (at most
+    ``ids`` holds each id of ``df`` once, which is checked. Only the ids are ranked; the (at most
     two) ids at the cuts come to the driver, and every row of ``df`` then finds
     its part by comparing its own hash, so wide rows are not shuffled.
     """
@@ -28,7 +28,7 @@ def assign_split(
 
     shuffled = _shuffle_key(id_column, seed)
     ranked = add_row_index(
-        ids.select(id_column, shuffled.alias("_hash")), ["_hash", id_column], unique=True
+        ids.select(id_column, shuffled.alias("_hash")), ["_hash", id_column], ties="fail"
     )
     train_end = F.floor(F.col(TOTAL) * F.lit(float(train)))
     val_end = F.floor(F.col(TOTAL) * F.lit(float(train + val)))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +21,12 @@ Simulator = Callable[[pd.DataFrame], pd.DataFrame]
 EXPONENTS = {"Ron": 1.0, "Rg": 2.0}
 CONSTANTS = {"StopTime": 1.0}
 
-# Most runs in one call of a simulator, to bound the memory its results take.
+# Most runs in one call of ``sweep_mapped``, to bound the memory its results take.
 MAX_RUNS = 1024
 
+# Rows of small results that travel together.
+RESULT_ROWS = 10_000
+
 
 def run_ids(spark: SparkSession, n: int) -> DataFrame:
     """Run numbers 0 .. n-1 in a column ``id``."""
@@ -58,28 +62,74 @@ def sweep_grouped(
     key: str = "Ron",
     run_id: str = "id",
     tasks: int | None = None,
-    max_runs: int = MAX_RUNS,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """Call ``simulate`` on the runs that share a ``key``.
-
-    Runs are independent, so a key with very many of them is cut into slices of
-    ``max_runs`` run numbers; with unique numbers no call sees more rows than
-    that. Groups are spread over ``tasks`` tasks (default: the session's shuffle
-    partitions). They travel as Arrow tables, which for groups of a few rows
-    costs a quarter of what pandas groups do.
+    """Call ``simulate`` once on all the runs that share a ``key``.
+
+    Rows are dealt out by key to ``tasks`` tasks (default: the session's shuffle
+    partitions) and sorted there; each task cuts its stream where the key
+    changes. A null key is a key. A task holds the rows of one key, which a hot
+    key must fit: a call sees its whole group by contract. If the runs are
+    independent, use ``sweep_mapped``, or give ``max_rows``, and a group is handed
+    over in slices of that many rows.
     """
     _check_output(output, key, run_id)
     columns = params.sparkSession.createDataFrame([], output).toArrow().schema
 
-    def call(group: pa.Table) -> pa.Table:
-        result = simulate(group.to_pandas(use_threads=False))
-        if set(result.columns) != set(columns.names):
-            raise ValueError(f"got columns {list(result.columns)}, not {columns.names}")
-        return pa.Table.from_pandas(result, schema=columns, preserve_index=False)
-
-    slice_of_key = [F.col(key), F.floor(F.col(run_id) / F.lit(max_runs)).alias("_slice")]
-    spread = params.repartition(_tasks(params, tasks), *slice_of_key)
-    return spread.groupBy(*slice_of_key).applyInArrow(call, output)
+    def call(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        step = max_rows or len(group)
+        for start in range(0, len(group), step):
+            result = simulate(group.iloc[start : start + step].reset_index(drop=True))
+            if set(result.columns) != set(columns.names):
+                raise ValueError(f"got columns {list(result.columns)}, not {columns.names}")
+            yield result
+
+    # inner functions travel by value: workers need not have this package
+    def same(one: pa.Scalar, other: pa.Scalar) -> bool:
+        a, b = one.as_py(), other.as_py()
+        return a == b or (a is None and b is None) or (a != a and b != b)
+
+    def joined(results: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+        # many small results travel together
+        whole = pd.concat(results, ignore_index=True)
+        table = pa.Table.from_pandas(whole, schema=columns, preserve_index=False)
+        yield from table.to_batches()
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            frame = batch.to_pandas()
+            # equal values, NaN and null have one code each
+            codes = pd.factorize(frame[key], use_na_sentinel=False)[0]
+            missing = batch.column(key).is_null().to_numpy(zero_copy_only=False)
+            codes = codes * 2 + missing
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1), len(frame)]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                part = frame.iloc[start:stop]
+                own = batch.column(key)[start]
+                if held and not same(own, last):
+                    yield pd.concat(held) if len(held) > 1 else held[0]
+                    held = []
+                held.append(part)
+                last = own
+        if held:
+            yield pd.concat(held) if len(held) > 1 else held[0]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pd.DataFrame] = []
+        rows = 0
+        for group in groups(batches):
+            for result in call(group):
+                waiting.append(result)
+                rows += len(result)
+                if rows >= RESULT_ROWS:
+                    yield from joined(waiting)
+                    waiting, rows = [], 0
+        if waiting:
+            yield from joined(waiting)
+
+    spread = params.repartition(_tasks(params, tasks), F.col(key))
+    return spread.sortWithinPartitions(key, run_id).mapInArrow(stream, output)
 
 
 def sweep_mapped(

@@ -93,8 +93,7 @@ shuffled AS (
   FROM labels)"""
 
 _SUMMARY = ", ".join(
-    f"sum(CAST(round_even({m} * 1000000, 0) AS BIGINT))::DOUBLE / 1000000 AS {m}_sum, "
-    f"min({m}) AS {m}_min, max({m}) AS {m}_max"
+    f"round(sum({m}), 6) AS {m}_sum, round(min({m}), 6) AS {m}_min, round(max({m}), 6) AS {m}_max"
     for m in MEASURES
 )
 
@@ -105,6 +104,33 @@ unnested AS (
   FROM batches)"""
 
 
+_PART = """CASE WHEN place < floor(n * 0.7::DOUBLE) THEN 'train'
+                WHEN place < floor(n * 0.85::DOUBLE) THEN 'val' ELSE 'test' END"""
+
+_EVALUATED = f"""scored AS (
+  SELECT CASE WHEN batch_id % 2 = 0 THEN 'even' ELSE 'odd' END AS split, label,
+         (label + CASE WHEN batch_id % 3 = 0 THEN 1 ELSE 0 END) % {len(CLASSES)} AS prediction,
+         list_extract([{_P}], label + 1) AS own
+  FROM labels JOIN shares USING (batch_id) WHERE label IS NOT NULL),
+by_class AS (
+  SELECT a.split, a.label, a.n AS actual, a.hits, coalesce(p.n, 0) AS predicted
+  FROM (SELECT split, label, count(*) AS n, count(*) FILTER (label = prediction) AS hits
+        FROM scored GROUP BY split, label) a
+  LEFT JOIN (SELECT split, prediction, count(*) AS n FROM scored GROUP BY split, prediction) p
+    ON a.split = p.split AND a.label = p.prediction),
+f1s AS (
+  SELECT split, sum(actual * 2.0::DOUBLE * hits / (actual + predicted)) / sum(actual) AS f1
+  FROM by_class GROUP BY split)"""
+
+_METRICS = """
+SELECT split, 'log_loss' AS metric, round(avg(-ln(greatest(own, 1e-15))), 9) AS value
+FROM scored GROUP BY split
+UNION ALL
+SELECT split, 'accuracy', round(avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0 END), 9)
+FROM scored GROUP BY split
+UNION ALL SELECT split, 'f1', round(f1, 9) FROM f1s"""
+
+
 def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
@@ -113,9 +139,8 @@ def oracle_sql() -> dict[str, str]:
     position = f"CAST(row_index % {BATCH_SIZE} AS INTEGER)"
     dataset = _with(
         _COUNTS,
-        f"""SELECT batch_id, feature_size, {_P}
-        FROM (SELECT batch_id, CAST(count(*) AS INTEGER) AS feature_size
-              FROM batches GROUP BY batch_id) LEFT JOIN shares USING (batch_id)""",
+        f"""SELECT batch_id, {position} AS position, {_MEASURES}, {_P}
+        FROM batches LEFT JOIN shares USING (batch_id)""",
     )
     counts = _with(
         _COUNTS, f"SELECT batch_id, {', '.join(f'n{k}' for k in CLASSES)} FROM counts"
@@ -185,18 +210,27 @@ def oracle_sql() -> dict[str, str]:
         ),
         "q20_sweep_grouped": _SWEPT,
         "q21_sweep_map": _SWEPT,
+        "q20b_sweep_groups": """
+            SELECT p_partkey, p_brand, count(*) OVER w AS n_group,
+                   round(p_retailprice - avg(p_retailprice) OVER w, 4) AS off_mean
+            FROM part WINDOW w AS (PARTITION BY p_brand)""",
         "q22_sink": _with(
             _CODED,
-            f"""SELECT {_SHOWN}, fault_class, Bus_loc, extracted_letters, fault_type_coded
+            f"""SELECT {_SHOWN}, fault_class, Bus_loc, extracted_letters, fault_type_coded,
+                       TRUE AS by_user
                 FROM coded""",
         ),
-        "q23_split": _with(
+        "q22b_dataset_sink": _with(
             _SPLIT,
-            """SELECT batch_id, label,
-                      CASE WHEN place < floor(n * 0.7::DOUBLE) THEN 'train'
-                           WHEN place < floor(n * 0.85::DOUBLE) THEN 'val'
-                           ELSE 'test' END AS split
-               FROM shuffled""",
+            f"""SELECT batch_id, {_PART} AS split, {position} AS position, {_MEASURES}, {_P}
+               FROM batches JOIN shuffled USING (batch_id) LEFT JOIN shares USING (batch_id)""",
+        ),
+        "q23_split": _with(_SPLIT, f"SELECT batch_id, label, {_PART} AS split FROM shuffled"),
+        "q25c_evaluate": _with(f"{_LABELS}, {_EVALUATED}", _METRICS),
+        "q26_batch_score": _with(
+            _LABELS,
+            """SELECT batch_id, label, TRUE AS as_fitted, 8 AS n_probabilities
+               FROM labels WHERE label IS NOT NULL""",
         ),
         "q24_summary": _with(
             _NUMBERED, f"SELECT batch_id, {_SUMMARY} FROM batches GROUP BY batch_id"

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import AbstractContextManager
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +30,9 @@ from faultline.learning import (
 from faultline.plans import views
 from faultline.plans.views import KEY, SHOWN_KEY
 from faultline.schema import BATCH_SIZE, CLASSES, LOCATIONS, MEASURES, SIMULATION, check_schema
-from faultline.sources import overwrite_table, schema_in_use, scratch_path, stored
+from faultline.sources import lasting_path, overwrite_table, schema_in_use, stored
+from faultline.sources.scratch import application_folder
+from faultline.sources.sinks import PROVENANCE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,8 +71,8 @@ def q01_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = views.runs(spark, sf_dir)
-    return ops.log_sweep(runs, runs.count())
+    n = views.runs(spark, sf_dir).count()
+    return ops.log_sweep(ops.run_ids(spark, n), n)
 
 
 def q02_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,18 +159,25 @@ def q13_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q14_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.feature_sizes(ops.sequences(_batches(spark, sf_dir, MEASURES)))
+    return ops.feature_sizes(_batches(spark, sf_dir, ["l_orderkey"]))
+
+
+def _steps(dataset: DataFrame, *others: str) -> DataFrame:
+    """One row per step of each sequence, beside the batch's target."""
+    steps = dataset.select(
+        "batch_id", *others, "fault_type", F.posexplode("features").alias("position", "_step")
+    )
+    values = [F.get("_step", F.lit(i)).alias(m) for i, m in enumerate(MEASURES)]
+    return _shares(steps.select("*", *values), *others, "position", *MEASURES)
 
 
 def q15_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _batches(spark, sf_dir, ["fault_type_coded", *MEASURES])
-    dataset = ops.join_target(ops.sequences(rows), _target(rows))
-    return _shares(dataset, F.size("features").alias("feature_size"))
+    return _steps(ops.join_target(ops.sequences(rows), _target(rows)))
 
 
 def q15b_dataset_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dataset = ops.build_dataset(_batches(spark, sf_dir, ["fault_type_coded", *MEASURES]))
-    return _shares(dataset, F.size("features").alias("feature_size"))
+    return _steps(ops.build_dataset(_batches(spark, sf_dir, ["fault_type_coded", *MEASURES])))
 
 
 def q16_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,25 +249,77 @@ def q21_sweep_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_runs(ops.sweep_mapped(params, simulate, SWEEP_OUTPUT))
 
 
+def q20b_sweep_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function that needs its whole group: the distance to the group's mean."""
+
+    def against_mean(group: pd.DataFrame) -> pd.DataFrame:
+        price = group["p_retailprice"]
+        return pd.DataFrame(
+            {
+                "p_partkey": group["p_partkey"],
+                "p_brand": group["p_brand"],
+                "n_group": len(group),
+                "off_mean": price - price.mean(),
+            }
+        )
+
+    output = T.StructType(
+        [
+            T.StructField("p_partkey", T.LongType()),
+            T.StructField("p_brand", T.StringType()),
+            T.StructField("n_group", T.LongType()),
+            T.StructField("off_mean", T.DoubleType()),
+        ]
+    )
+    parts = views.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
+    swept = ops.sweep_grouped(parts, against_mean, output, key="p_brand", run_id="p_partkey")
+    return swept.withColumn("off_mean", F.round("off_mean", 4))
+
+
+# One schema for all sinks, whose tables every run replaces.
+SINK_SCHEMA = "faultline_queries"
+
+
+def _sink(spark: SparkSession) -> AbstractContextManager[None]:
+    return schema_in_use(spark, SINK_SCHEMA, f"{application_folder(spark)}/{SINK_SCHEMA}")
+
+
 def q22_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = _coded(spark, sf_dir)
     kept = [*SHOWN_KEY, "fault_class", "Bus_loc", "extracted_letters", "fault_type_coded"]
-    path = scratch_path(spark, "sink")
-    schema = path.rsplit("/", 1)[1].replace("-", "_")
-    with schema_in_use(spark, schema, location=path):
-        table = f"{schema}.coded_rows"
-        overwrite_table(coded.select(*SHOWN_KEY), table)
-        second = overwrite_table(coded.select(*kept), table, provenance=True)
-    return second.select(*kept)
+    with _sink(spark):
+        overwrite_table(coded.select(*SHOWN_KEY), "coded_rows")
+        overwrite_table(coded.select(*kept), "coded_rows", provenance=True)
+    second = spark.table(f"{SINK_SCHEMA}.coded_rows")
+    return second.select(*kept, (F.col(PROVENANCE) == F.current_user()).alias("by_user"))
+
+
+def q22b_dataset_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences with target and split, stored by split and read back."""
+    rows = _simulation(spark, sf_dir)
+    kept = ["fault_type_coded", *MEASURES]
+    batches = ops.add_batches(rows, KEY, keep=kept, derive=ops.code_rows)
+    ids = ops.full_batch_ids(batches)
+    dataset = ops.assign_split(ops.build_dataset(ops.full_batches(batches)), ids)
+    with _sink(spark):
+        overwrite_table(dataset, "dataset", partition_by=["split"])
+    return _steps(spark.table(f"{SINK_SCHEMA}.dataset"), "split")
 
 
 def q23_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _labels(spark, sf_dir)
-    return ops.assign_split(labels, labels.select("batch_id"))
+    rows = ops.add_batches(
+        _simulation(spark, sf_dir), KEY, keep=["fault_type_coded"], derive=ops.code_rows
+    )
+    target = _target(ops.full_batches(rows))
+    labels = target.select("batch_id", argmax_label(F.col("fault_type")).alias("label"))
+    return ops.assign_split(labels, ops.full_batch_ids(rows))
 
 
 def q24_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.batch_summary(_batches(spark, sf_dir, MEASURES))
+    summary = ops.batch_summary(_batches(spark, sf_dir, MEASURES))
+    return summary.select(
+        "batch_id", *[F.round(c, 6).alias(c) for c in summary.columns if c != "batch_id"]
+    )
 
 
 def _training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,8 +329,8 @@ def _training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _train_and_evaluate(frame: DataFrame, pipeline: Pipeline) -> DataFrame:
     frame = ops.assign_split(frame, frame.select("batch_id"))
-    with ops.cached(frame.filter(F.col("split") == "train")) as rows:
-        model = fit(pipeline, rows)
+    # stored already: not cached as well
+    model = fit(pipeline, frame.filter(F.col("split") == "train"))
     return evaluate(model.transform(frame))
 
 
@@ -282,13 +345,36 @@ def q25b_train_eval_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _train_and_evaluate(frame, fault_pipeline([FLATTENED], width, max_iter=5))
 
 
+def q25c_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of a frame scored by rule: class shares as probabilities, and a
+    prediction that is off by one class in every third batch."""
+    batches = _batches(spark, sf_dir, ["fault_type_coded"])
+    shares = _target(batches).withColumn("label", argmax_label(F.col("fault_type")))
+    off = F.when(F.col("batch_id") % 3 == 0, 1).otherwise(0)
+    part = F.when(F.col("batch_id") % 2 == 0, "even").otherwise("odd")
+    scored = shares.filter("label IS NOT NULL").select(
+        part.alias("split"),
+        F.col("label").cast("double").alias("label"),
+        array_to_vector("fault_type").alias("probability"),
+        ((F.col("label") + off) % len(CLASSES)).cast("double").alias("prediction"),
+    )
+    return evaluate(scored).withColumn("value", F.round("value", 9))
+
+
 def q26_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model saved and reloaded predicts like the one that was fitted."""
     frame = _training_frame(spark, sf_dir)
-    root = scratch_path(spark, "registry")
-    with ops.cached(frame) as rows:
-        save_version(fit(fault_pipeline(), rows), spark, root, "fault_prediction")
+    root = lasting_path(spark, "registry")
+    fitted = fit(fault_pipeline(), frame)
+    save_version(fitted, spark, root, "fault_prediction")
     scored = score(load_latest(spark, root, "fault_prediction"), frame)
-    return scored.select("batch_id", "label", "prediction")
+    own = fitted.transform(frame).select("batch_id", F.col("prediction").alias("_fitted"))
+    return scored.join(own, "batch_id").select(
+        "batch_id",
+        F.col("label").cast("int").alias("label"),
+        (F.col("prediction") == F.col("_fitted")).alias("as_fitted"),
+        F.size("probabilities").alias("n_probabilities"),
+    )
 
 
 def q27_latest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,12 +410,15 @@ def queries() -> dict[str, Query]:
             q18_argmax,
             q19_row_distance,
             q20_sweep_grouped,
+            q20b_sweep_groups,
             q21_sweep_map,
             q22_sink,
+            q22b_dataset_sink,
             q23_split,
             q24_summary,
             q25_train_eval,
             q25b_train_eval_steps,
+            q25c_evaluate,
             q26_batch_score,
             q27_latest_model,
         )

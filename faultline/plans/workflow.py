@@ -19,7 +19,7 @@ from faultline.learning import (
 )
 from faultline.operators.sweep import Simulator
 from faultline.schema import BATCH_SIZE, MEASURES, SIMULATION
-from faultline.sources import overwrite_table, read_table
+from faultline.sources import overwrite_table, read_table, scratch_scope
 
 
 def generate_simulations(
@@ -44,15 +44,19 @@ def prepare_dataset(
     val: float = 0.15,
     seed: int = 0,
 ) -> DataFrame:
-    """Simulation rows -> stored sequences with target, partitioned by split."""
+    """Simulation rows -> stored sequences with target, partitioned by split.
+
+    Leaves no intermediate tables behind.
+    """
     simulation = read_table(spark, source, SIMULATION)
-    rows = ops.add_batches(
-        simulation, order_by, size, keep=["fault_type_coded", *MEASURES], derive=ops.code_rows
-    )
-    rows = ops.full_batches(rows, size)
-    ids = rows.select("batch_id").distinct()
-    dataset = ops.assign_split(ops.build_dataset(rows), ids, train=train, val=val, seed=seed)
-    return overwrite_table(dataset, table, partition_by=["split"])
+    with scratch_scope(spark):
+        rows = ops.add_batches(
+            simulation, order_by, size, keep=["fault_type_coded", *MEASURES], derive=ops.code_rows
+        )
+        ids = ops.full_batch_ids(rows, size)
+        rows = ops.full_batches(rows, size)
+        dataset = ops.assign_split(ops.build_dataset(rows), ids, train=train, val=val, seed=seed)
+        return overwrite_table(dataset, table, partition_by=["split"])
 
 
 def train_classifier(

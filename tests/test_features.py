@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -123,3 +125,13 @@ def test_summary(rows):
     assert (row.V1mag_13_sum, row.V1mag_13_min, row.V1mag_13_max) == (22.0, 4.0, 7.0)
     assert row.I0ph_1_sum == pytest.approx(22.44)
     assert len(row) == 1 + 3 * len(MEASURES)
+
+
+@pytest.mark.parametrize(
+    "values, total",
+    [([1e-7, 1e-7, 1e-7], 3e-7), ([1.0, math.inf], math.inf), ([1.0, math.nan], math.nan)],
+)
+def test_sums_are_of_doubles(spark, values, total):
+    df = spark.createDataFrame([(1, v) for v in values], "batch_id long, x double")
+    got = batch_summary(df, ["x"]).first().x_sum
+    assert got == pytest.approx(total, rel=1e-12, nan_ok=True)

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from faultline.learning import (
@@ -80,6 +81,36 @@ def test_saved_versions(spark, scored, tmp_path):
         latest_model_path(models, "nothing")
 
 
+def test_a_taken_version_is_left_alone(spark, scored, tmp_path):
+    model, _ = scored
+    root = str(tmp_path / "registry")
+    assert save_version(model, spark, root, "faults") == 1
+    # another writer has saved, but not listed yet
+    spark.range(1).write.parquet(f"{root}/faults/2")
+    assert save_version(model, spark, root, "faults") == 3
+    assert spark.read.parquet(f"{root}/faults/2").count() == 1
+
+
+def test_tasks_do_not_follow_the_rows(spark, batched, monkeypatch):
+    used, rows = [], training_frame(batched)
+    real = type(rows).coalesce
+    monkeypatch.setattr(type(rows), "coalesce", lambda df, n: used.append(n) or real(df, n))
+    more = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(10)))).drop("copy")
+    for frame in (rows, more):
+        fit(fault_pipeline(hidden=(4,), max_iter=1), frame)
+    fit(fault_pipeline(hidden=(4,), max_iter=1), rows, tasks=3)
+    assert used == [spark.sparkContext.defaultParallelism] * 2 + [3]
+
+
+def test_vectors_of_another_length_fail_by_name(batched):
+    rows = flattened_frame(model_rows(build_dataset(batched), SIZE))
+    width = SIZE * len(MEASURES)
+    model = fit(fault_pipeline(["flattened"], width, hidden=(6,), max_iter=1), rows)
+    short = rows.withColumn("flattened", array_to_vector(F.array(F.lit(1.0), F.lit(2.0))))
+    with pytest.raises(Exception, match=f"flattened: expected {width} values, got 2"):
+        score(model, short).collect()
+
+
 def test_score_shape_and_contract(scored):
     model, rows = scored
     frame = rows.select("batch_id", *model.stages[0].getInputCols())

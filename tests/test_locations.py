@@ -63,3 +63,10 @@ def test_hot_partition_is_split(spark, places, faulted):
     # bus 13 if it is faulted, and run 0 at bus "0"
     assert found == (sum(i % 3 > 0 for i in range(n)) if faulted else 0) + 1
     assert "skew=true" in text
+
+
+def test_repeated_names_are_refused(spark, places):
+    twice = places.unionAll(spark.createDataFrame([(1.0, 1.0, "13")], places.schema))
+    rows = spark.createDataFrame([("13", 4)], "Bus_loc string, fault_type_coded int")
+    with pytest.raises(ValueError, match="2 rows have the key {'Bus_loc': '13'}"):
+        attach_distance(rows, twice)

@@ -48,7 +48,7 @@ def test_index_agrees_with_a_sort(spark, leads, seed):
     rows = [(lead, i, float(i)) for i, lead in enumerate(leads)]
     shuffled = rows[:]
     random.Random(seed).shuffle(shuffled)
-    indexed = add_row_index(frame(spark, shuffled), ["a", "b"], unique=True).collect()
+    indexed = add_row_index(frame(spark, shuffled), ["a", "b"], ties="promised").collect()
     by_index = sorted(indexed, key=lambda r: r.row_index)
     assert [r.row_index for r in by_index] == list(range(len(rows)))
     assert [(r.a, r.b, r.v) for r in by_index] == in_order(rows)
@@ -84,7 +84,7 @@ def test_drop_listed_batches(spark):
 
 def test_rows_with_equal_keys_each_get_a_number(spark, tmp_path):
     df = stored(spark, [(1, 1, float(i)) for i in range(300)], tmp_path)
-    rows = add_row_index(df, ["a", "b"]).collect()
+    rows = add_row_index(df, ["a", "b"], ties="scan").collect()
     assert sorted(r.row_index for r in rows) == list(range(300))
     assert sorted(r.v for r in rows) == [float(i) for i in range(300)]
 
@@ -94,6 +94,13 @@ def test_repeated_keys_can_be_refused(spark):
     assert check_unique(df, ["a", "b"]) is df
     with pytest.raises(ValueError, match="2 rows have the key {'a': 1}"):
         check_unique(df, ["a"])
+    for number in (add_row_index, add_batches):
+        with pytest.raises(ValueError, match="2 rows have the key {'a': 1}"):
+            number(df, ["a"])
+    with pytest.raises(ValueError, match="'b': 1"):
+        add_keyed_batches(df.unionAll(df.limit(1)), "a", ["b"])
+    with pytest.raises(ValueError, match="ties"):
+        add_row_index(df, ["a"], ties="maybe")
 
 
 def largest_share(indexed):
@@ -119,7 +126,7 @@ def test_hot_rows_are_spread_over_tasks(spark, tmp_path, monkeypatch, copies):
         scratch, "scratch_path", lambda *a: paths.append(real(*a)) or paths[-1]
     )
     with set_conf(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
-        indexed = add_row_index(spark.read.parquet(path), ["a", "b"])
+        indexed = add_row_index(spark.read.parquet(path), ["a", "b"], ties="scan")
         numbers = indexed.agg(F.count_distinct("row_index"), F.max("row_index")).first()
     assert tuple(numbers) == (n, n - 1)
     assert largest_share(spark.read.parquet(paths[0])) < n / 4
@@ -130,7 +137,7 @@ def test_same_numbers_whatever_the_layout(spark, tmp_path):
     results = set()
     for parts in (1, 3, 9):
         df = frame(spark, rows, parts)
-        numbered = add_row_index(df, ["a", "b"], unique=True)
+        numbered = add_row_index(df, ["a", "b"], ties="promised")
         results.add(tuple(sorted((r.b, r.row_index) for r in numbered.collect())))
     assert len(results) == 1
 
@@ -142,7 +149,7 @@ def test_merged_partitions_keep_the_order(spark):
         spark__sql__shuffle__partitions="64",
         spark__sql__adaptive__coalescePartitions__parallelismFirst="false",
     ):
-        numbered = add_row_index(frame(spark, rows), ["a", "b"], unique=True).collect()
+        numbered = add_row_index(frame(spark, rows), ["a", "b"], ties="promised").collect()
     got = [(r.a, r.b) for r in sorted(numbered, key=lambda r: r.row_index)]
     assert got == [(a, b) for a, b, _ in in_order(rows)]
 

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -5,11 +7,13 @@ from pyspark.sql import types as T
 from faultline.schema import LOCATIONS, SIMULATION, SchemaError
 from faultline.sources import (
     clear_scratch,
+    lasting_path,
     overwrite_table,
     read_table,
     schema_in_use,
     scratch,
     scratch_path,
+    scratch_scope,
     stored,
 )
 from tests.helpers import plan
@@ -85,28 +89,30 @@ def test_schema_is_restored_after_an_error(spark):
 class StubSession:
     """As much of a session without the setting as ``scratch_path`` looks at."""
 
-    def __init__(self, master):
-        self.master, self.folder, self.applicationId = master, None, "app-1"
+    applicationId = "app-1"
+
+    def __init__(self):
         self.conf = self.sparkContext = self
 
-    def get(self, name, default):
-        return default
+    def get(self, name, default=None):
+        return "/shared/warehouse" if name == "spark.sql.warehouse.dir" else default
 
     def getCheckpointDir(self):
-        return self.folder
-
-    def setCheckpointDir(self, folder):
-        self.folder = folder
+        return None
 
 
-def test_cluster_without_shared_folder_is_refused():
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch_path(StubSession("spark://host:7077"), "x")
+def test_scratch_falls_back_to_the_warehouse():
+    path = scratch_path(StubSession(), "x")
+    assert path.startswith("/shared/warehouse/_scratch/faultline/app-1/intermediate/x-")
 
 
-def test_local_session_falls_back_to_a_temporary_folder():
-    session = StubSession("local[2]")
-    assert scratch_path(session, "x").startswith(session.folder)
+def test_scope_deletes_what_was_stored_in_it(spark):
+    outside = stored(spark.range(3), "outside")
+    with scratch_scope(spark):
+        inside = stored(spark.range(3), "inside")
+        (file,) = {f.removeprefix("file:") for f in inside.inputFiles()[:1]}
+        assert inside.count() == 3 and Path(file).exists()
+    assert not Path(file).exists() and outside.count() == 3
 
 
 def test_scratch_is_in_the_named_folder(spark):
@@ -128,6 +134,8 @@ def test_clearing_deletes_this_folder_only(spark, tmp_path, monkeypatch):
     other.mkdir(parents=True)
     monkeypatch.setattr(scratch, "application_folder", lambda _: str(mine))
     assert stored(spark.range(3), "test").count() == 3
-    assert mine.exists()
+    spark.range(1).write.parquet(lasting_path(spark, "registry"))
+    assert (mine / "intermediate").exists()
     clear_scratch(spark)
-    assert not mine.exists() and other.exists()
+    assert not (mine / "intermediate").exists() and other.exists()
+    assert [p.name[:8] for p in mine.iterdir()] == ["registry"]

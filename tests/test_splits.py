@@ -63,3 +63,9 @@ def test_shares_are_checked(spark, train, val):
     ids = spark.range(3).withColumnRenamed("id", "batch_id")
     with pytest.raises(ValueError, match="shares"):
         assign_split(ids, ids, train=train, val=val)
+
+
+def test_repeated_ids_are_refused(spark):
+    ids = spark.createDataFrame([(1,), (2,), (2,)], "batch_id long")
+    with pytest.raises(ValueError, match="'batch_id': 2"):
+        assign_split(ids, ids)

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from faultline.operators import log_sweep, run_ids, sweep_grouped, sweep_mapped
 from faultline.schema import SWEEP, check_schema
-from tests.helpers import plan
+from tests.helpers import plan, set_conf
 
 OUTPUT = T.StructType(
     [
@@ -64,13 +64,33 @@ def test_one_call_per_key(spark):
     assert {r.rows_in_call for r in got} == {1}
 
 
-def test_hot_key_is_cut_into_slices(spark):
+def test_hot_key_is_sliced_on_request_only(spark):
     params = spark.range(300).select(
         "id", F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.col("id") + 1.0).alias("Ron")
     )
-    got = sweep_grouped(params, simulator(1), OUTPUT, max_runs=30).collect()
+    got = sweep_grouped(params, simulator(1), OUTPUT).collect()
     assert sorted(r.id for r in got) == list(range(300))
-    assert max(r.rows_in_call for r in got) == 10
+    assert max(r.rows_in_call for r in got) == 100
+    sliced = sweep_grouped(params, simulator(1), OUTPUT, max_rows=30).collect()
+    assert sorted(r.id for r in sliced) == list(range(300))
+    assert max(r.rows_in_call for r in sliced) == 30
+
+
+def test_a_key_is_one_call_whatever_its_ids(spark):
+    params = spark.range(1020, 1028).select("id", F.lit(0.5).alias("Ron"))
+    got = sweep_grouped(params, simulator(1), OUTPUT).collect()
+    assert {r.rows_in_call for r in got} == {8}
+
+
+def test_a_key_over_several_batches_is_one_call(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with set_conf(spark, **{name.replace(".", "__"): "7"}):
+        params = spark.range(60).select(
+            "id", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 3 * 1.0).alias("Ron")
+        )
+        got = sweep_grouped(params, simulator(1), OUTPUT, tasks=2).collect()
+    assert sorted(r.id for r in got) == list(range(60))
+    assert {r.rows_in_call for r in got} == {20}
 
 
 def test_mapped_calls_are_bounded_and_evenly_dealt(spark):

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import types as T
@@ -8,6 +10,7 @@ from faultline.operators import model_rows
 from faultline.plans.workflow import generate_simulations, prepare_dataset, train_classifier
 from faultline.schema import CLASS_CODES, DATASET, MEASURES, SIMULATION, check_schema
 from faultline.sources import schema_in_use
+from faultline.sources.scratch import application_folder
 from tests.helpers import plan
 
 STEPS = 6
@@ -46,6 +49,8 @@ def test_from_sweep_to_scored_batches(spark, tmp_path):
             spark, "workflow_test.simulation", ["id", "step"], "workflow_test.dataset", STEPS
         )
         check_schema(dataset, DATASET)
+        left = Path(application_folder(spark).removeprefix("file:")) / "intermediate"
+        assert not list(left.glob("scope-*"))
         parts = {r.split: r["count"] for r in dataset.groupBy("split").count().collect()}
         assert parts == {"train": 28, "val": 6, "test": 6}
         # one batch is one run, so it has one class for certain
