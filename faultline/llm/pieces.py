@@ -40,7 +40,8 @@ SPACE = "▁"
 DROPOUT = 0.1
 VARIANTS = 8
 LONG_CHUNK = 256
-SLICE_CHARS = 8 << 20  # texts worked out together
+SLICE_CHARS = 4 << 20  # texts worked out together
+CHUNKS = 1 << 17  # chunks cut together
 _NEVER = np.int32(2**31 - 1)
 _SLOTS = 20
 
@@ -192,8 +193,8 @@ def segmented(
     lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
     starts = np.cumsum(lengths) - lengths
     symbols = tables.of_char[points]
-    chunk_of = np.repeat(np.arange(len(chunks)), lengths)
-    place = np.arange(len(points)) - starts[chunk_of]
+    chunk_of = np.repeat(np.arange(len(chunks), dtype=np.int32), lengths)
+    place = (np.arange(len(points)) - starts[chunk_of]).astype(np.int32)
     final: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # chunk, place, symbol
 
     long = np.flatnonzero(lengths > LONG_CHUNK)
@@ -201,7 +202,7 @@ def segmented(
         own = slice(starts[c], starts[c] + lengths[c])
         cut = _segment_long(symbols[own], keys[c], tables, rate)
         ids, at = np.array(cut, np.int64).T
-        final.append((np.full(len(ids), c), at, ids))
+        final.append((np.full(len(ids), c, np.int32), at.astype(np.int32), ids.astype(np.int32)))
     live = ~np.isin(chunk_of, long) if len(long) else np.ones(len(points), bool)
     owner, at, ids = chunk_of[live], place[live], symbols[live]
 
@@ -293,7 +294,12 @@ def encoded(
     words = pairs // variants
     chunk_hashes = hashes_of([x.encode("utf-8", "surrogatepass") for x in distinct], seed)
     keys = mixed(chunk_hashes[words] + (pairs % variants).astype(np.uint64))
-    ids, sizes = segmented([inner[w] for w in words], keys, tables, rate)
+    del lists, flat, spread, variant, codes
+    blocks = [
+        segmented([inner[w] for w in words[i : i + CHUNKS]], keys[i : i + CHUNKS], tables, rate)
+        for i in range(0, len(words), CHUNKS)
+    ]
+    ids, sizes = (np.concatenate(x) for x in zip(*blocks, strict=True))
     starts = np.cumsum(sizes) - sizes
     taken = sizes[which]
     ends = np.cumsum(taken)
@@ -345,9 +351,13 @@ def decode_column(ids: Column, pieces: Pieces) -> Column:
 
     def decode(column: pa.Array) -> pa.Array:
         tables = _tables(pieces)
-        return pa.array(
-            [None if x is None else decoded(x, tables) for x in column.to_pylist()], pa.string()
-        )
+        offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+        missing = column.is_null().to_pylist()
+        texts = [
+            None if none else decoded(values[a:b].tolist(), tables)
+            for a, b, none in zip(offsets[:-1], offsets[1:], missing, strict=True)
+        ]
+        return pa.array(texts, pa.string())
 
     return F.arrow_udf(decode, "string").asNondeterministic()(ids)
 

@@ -65,11 +65,8 @@ GRID = 1024
 FLOORS = (0.4, 0.4, 0.3, 0.8, 0.8)
 SHARE = 0.75  # of a group's rows that the scatter is estimated on
 SHRINK = 0.1
-STARTS = 3
 BINS_PER_OCTAVE = 8
 
-Stratum = ("_stratum",)
-
 
 def _repeated_words(texts: list[bytes]) -> np.ndarray:
     words = words_of(texts)
@@ -212,7 +209,8 @@ def _fit_row(centre: np.ndarray, scatter: np.ndarray, scale: np.ndarray) -> dict
     return row | {"_logdet": float(np.linalg.slogdet(shrunk)[1])}
 
 
-_BIN = F.ceil(F.log2(F.col("_d2") + 2.0**-20) * BINS_PER_OCTAVE).cast("int")
+def _bin() -> Column:
+    return F.ceil(F.log2(F.col("_d2") + 2.0**-20) * BINS_PER_OCTAVE).cast("int")
 
 
 def _moments(prefix: str) -> list[Column]:
@@ -286,7 +284,7 @@ def _concentrated(rows: DataFrame, fits: DataFrame, scales: DataFrame, best: boo
     binned = (
         rows.join(fits.select("_stratum", "_start", *_fit_names()), "_stratum")
         .withColumn("_d2", _distance())
-        .withColumn("_bin", _BIN)
+        .withColumn("_bin", _bin())
         .groupBy("_stratum", "_start", "_bin")
         .agg(*_moments("_x"))
         .join(scales, "_stratum")

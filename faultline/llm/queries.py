@@ -19,7 +19,7 @@ from faultline.llm import (
     secret_scan,
     warc,
 )
-from faultline.sources.scratch import scratch_path
+from faultline.sources.scratch import lasting_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,7 +44,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = scratch_path(spark, "warc")
+    root = lasting_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), root)
     return warc.read_archives(spark, root, payloads=False).select(
         F.col("key").cast("bigint").alias("page_id"),

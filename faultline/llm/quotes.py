@@ -137,7 +137,7 @@ def _offsets(runs: DataFrame) -> DataFrame:
     """
     order = runs.filter("up IS NOT NULL").withColumn("_deep", -F.col("hook"))
     siblings = stored(
-        add_row_index(order, ["up", "_deep", "run"], keep=["up", "run"], unique=True), "siblings"
+        add_row_index(order, ["up", "_deep", "run"], keep=["up", "run"], ties="promised"), "siblings"
     )
     following = siblings.select(
         (F.col(INDEX) - 1).alias(INDEX), F.col("up").alias("_up"), F.col("run").alias("_next")
@@ -199,7 +199,7 @@ def reply_ordered(
         F.col(role).alias("role"),
         F.col(text).alias("text"),
     )
-    numbered = add_row_index(rows, ["conv", "turn", "role", "text"]).withColumnRenamed(INDEX, "m")
+    numbered = add_row_index(rows, ["conv", "turn", "role", "text"], ties="scan").withColumnRenamed(INDEX, "m")
     messages = stored(_with_passages(numbered), "messages")
 
     links = _links(messages)

@@ -222,7 +222,7 @@ def write_archives(
     ).withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload").cast("bigint")})
 
     narrow = pages.select("key", "sha1", "size")
-    numbered = add_row_index(narrow, ["key", "sha1"])
+    numbered = add_row_index(narrow, ["key", "sha1"], ties="scan")
     n, total = numbered.agg(F.count("*"), F.sum("size")).first()
     per_shard = max(1, n * shard_bytes // max(total or 0, shard_bytes)) if n else 1
     cut_rows = numbered.filter((F.col(INDEX) % per_shard == 0) & (F.col(INDEX) > 0))
