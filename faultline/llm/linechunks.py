@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.tokens import byte_texts
+from faultline.sources.scratch import stored
 
 DIVISOR = 4
 MIN_LINES = 2
@@ -127,7 +128,8 @@ def repeated_chunks(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     )
     repeated = counted.filter("_n > 1").select(*same, "_origin")
     chunks = _chunks(df, text, key, body=True).withColumn("_place", place)
-    copies = chunks.join(repeated, same)
+    # only repeated chunks are left: their bytes are sent once and kept
+    copies = stored(chunks.join(repeated, same), "copies")
     origins = copies.filter("_place = _origin").groupBy(*same).agg(F.min("_body").alias("_ours"))
     return (
         copies.filter("_place != _origin")
