@@ -47,15 +47,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids beside what identifies a document, checked to decode losslessly."""
     vocabulary = pieces.read_pieces(PIECE_MODEL)
-    ids = pieces.encode_column(F.col("text"), F.col("doc_id"), vocabulary)
-    encoded = docs.select("doc_id", "lang", "source", "text", ids.alias("pieces"))
-    back = encoded.withColumn("back", pieces.decode_column(F.col("pieces"), vocabulary))
-    return back.select(
-        "doc_id",
-        "lang",
-        "source",
-        "pieces",
-        F.col("back").eqNullSafe(F.col("text")).alias("lossless"),
+    trip = pieces.round_trip_column(F.col("text"), F.col("doc_id"), vocabulary)
+    encoded = docs.select("doc_id", "lang", "source", trip.alias("_trip"))
+    return encoded.select(
+        "doc_id", "lang", "source", F.col("_trip.ids").alias("pieces"), "_trip.lossless"
     )
 
 

@@ -318,6 +318,24 @@ def decoded(ids: list[int], tables: Tables) -> str:
     return raw[1:].decode()
 
 
+def _encoded_array(
+    column: pa.Array, keys: pa.Array, tables: Tables, seed: int, rate: float, variants: int
+) -> tuple[pa.ListArray, list[str | None]]:
+    """Piece ids of a batch of texts, and the texts."""
+    texts = column.to_pylist()
+    row_keys = keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    parts, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    for a, b in text_slices([t or "" for t in texts], SLICE_CHARS):
+        plain = [t or "" for t in texts[a:b]]
+        ids, counts = encoded(plain, row_keys[a:b], tables, seed, rate, variants)
+        parts.append(ids)
+        sizes.append(counts)
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    missing = pa.array([t is None for t in texts], pa.bool_())
+    ids = pa.array(np.concatenate(parts), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids, mask=missing), texts
+
+
 def encode_column(
     text: Column,
     key: Column,
@@ -329,23 +347,40 @@ def encode_column(
     """Piece ids of each text (array of int)."""
 
     def encode(column: pa.Array, keys: pa.Array) -> pa.Array:
-        tables = _tables(pieces)
-        texts = column.to_pylist()
-        row_keys = keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        parts, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-        for a, b in text_slices(plain := [t or "" for t in texts], SLICE_CHARS):
-            ids, counts = encoded(plain[a:b], row_keys[a:b], tables, seed, rate, variants)
-            parts.append(ids)
-            sizes.append(counts)
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        empty = pa.array([t is None for t in texts], pa.bool_())
-        return pa.ListArray.from_arrays(
-            pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts), pa.int32()), mask=empty
-        )
+        return _encoded_array(column, keys, _tables(pieces), seed, rate, variants)[0]
 
     return F.arrow_udf(encode, "array<int>").asNondeterministic()(text, F.xxhash64(key))
 
 
+ROUND_TRIP_TYPE = "struct<ids:array<int>,lossless:boolean>"
+
+
+def round_trip_column(
+    text: Column,
+    key: Column,
+    pieces: Pieces,
+    seed: int = 0,
+    rate: float = DROPOUT,
+    variants: int = VARIANTS,
+) -> Column:
+    """``encode_column`` and whether ``decoded`` gives each text back, in one pass.
+
+    A null text is lossless: it stays null.
+    """
+
+    def encode(column: pa.Array, keys: pa.Array) -> pa.Array:
+        tables = _tables(pieces)
+        ids, texts = _encoded_array(column, keys, tables, seed, rate, variants)
+        offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+        same = [
+            t is None or decoded(values[a:b].tolist(), tables) == t
+            for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True)
+        ]
+        return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], ["ids", "lossless"])
+
+    return F.arrow_udf(encode, ROUND_TRIP_TYPE).asNondeterministic()(text, F.xxhash64(key))
+
+
 def decode_column(ids: Column, pieces: Pieces) -> Column:
     """The text of each list of piece ids."""
 

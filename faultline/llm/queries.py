@@ -88,14 +88,12 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = pieces.read_pieces(PIECE_MODEL)
     documents = _table(spark, sf_dir, "documents")
-    ids = pieces.encode_column(F.col("text"), F.col("doc_id"), vocabulary)
-    encoded = documents.select("doc_id", "text", ids.alias("ids"))
-    back = encoded.withColumn("back", pieces.decode_column(F.col("ids"), vocabulary))
-    return back.select(
+    trip = pieces.round_trip_column(F.col("text"), F.col("doc_id"), vocabulary)
+    return documents.select("doc_id", trip.alias("_trip")).select(
         "doc_id",
-        "ids",
-        F.size("ids").cast("bigint").alias("n_pieces"),
-        F.col("back").eqNullSafe(F.col("text")).alias("lossless"),
+        "_trip.ids",
+        F.size("_trip.ids").cast("bigint").alias("n_pieces"),
+        "_trip.lossless",
     )
 
 
