@@ -39,7 +39,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if state == before:
             break
         before = state
-        stars = _small_star(_large_star(current).distinct()).distinct()
+        stars = _small_star(_large_star(current)).distinct()
         current = stored(stars, "edges")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(roots)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.tokens import byte_texts, mixed, shingles, text_slices
+from faultline.llm.tokens import byte_texts, carried, mixed, shingles, text_slices
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -217,11 +217,11 @@ def decontaminated(
     block: int = ITEM_BLOCK,
 ) -> DataFrame:
     """The rows of ``df`` whose text contains no item."""
-    clean = df
+    clean = carried(df, _text=text)
     for items in item_blocks(benchmark, item_text, item_key, block):
-        clean = clean.withColumn("_matches", match_column(F.col(text), items))
+        clean = clean.withColumn("_matches", match_column(F.col("_text"), items))
         clean = clean.filter(F.size("_matches") == 0).drop("_matches")
-    return clean
+    return clean.select("_row.*")
 
 
 # Exact containment in plain SQL.

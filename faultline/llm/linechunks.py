@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.tokens import byte_texts
+from faultline.llm.tokens import byte_texts, carried
 from faultline.sources.scratch import stored
 
 DIVISOR = 4
@@ -152,8 +152,10 @@ def line_dedup(
         .groupBy("_key", "_hash")
         .agg(F.collect_list(F.struct("_first", "_lines")).alias("_removed"))
     )
-    joined = df.join(
-        removed, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash")), "left"
+    joined = carried(df, _own=key, _text=text).join(
+        removed,
+        F.col("_own").eqNullSafe(F.col("_key")) & (F.xxhash64("_text") == F.col("_hash")),
+        "left",
     )
     dropped = F.flatten(
         F.transform(
@@ -161,12 +163,12 @@ def line_dedup(
         )
     )
     kept = F.filter(
-        F.split(F.col(text), "\n", -1),
+        F.split("_text", "\n", -1),
         lambda line, i: ~F.array_contains(F.col("_dropped"), i),
     )
-    cleaned = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    cleaned = F.when(F.col("_removed").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
     joined = joined.withColumn("_dropped", dropped)
-    columns = [cleaned.alias(c) if c == text else F.col(c) for c in df.columns]
+    columns = [cleaned.alias(c) if c == text else F.col(f"_row.`{c}`") for c in df.columns]
     if counts:
         columns += [
             F.coalesce(F.size("_removed"), F.lit(0)).cast("bigint").alias("n_removed_chunks"),

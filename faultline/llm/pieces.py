@@ -38,10 +38,10 @@ from faultline.llm.tokens import hashes_of, mixed, text_slices
 
 SPACE = "▁"
 DROPOUT = 0.1
-VARIANTS = 8
+VARIANTS = 4
 LONG_CHUNK = 256
-SLICE_CHARS = 4 << 20  # texts worked out together
-CHUNKS = 1 << 17  # chunks cut together
+SLICE_CHARS = 2 << 20  # texts worked out together
+CHUNKS = 1 << 16  # chunks cut together
 _NEVER = np.int32(2**31 - 1)
 _SLOTS = 20
 

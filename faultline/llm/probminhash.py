@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm.components import components
-from faultline.llm.tokens import byte_texts, mixed, shingles, text_slices
+from faultline.llm.tokens import byte_texts, carried, mixed, shingles, text_slices
 from faultline.sources.scratch import stored
 
 SHINGLE = 5
@@ -199,8 +199,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return stored(scored.filter(F.col("s") >= SIMILARITY).select("node", "other"), "links")
 
 
-def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    labels = components(links, "node", "other")
+def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
@@ -244,11 +243,13 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     stars = members.join(centres, "bucket").filter("node != other").select("node", "other").distinct()
     links = _verified(stars, texts)
 
-    placed = stored(_labelled(members, links), "placed")
+    labels = stored(components(links, "node", "other"), "labels")
+    placed = stored(_labelled(members, labels), "placed")
     left = _across(placed, nodes, texts).join(stars.unionAll(stars.select("other", "node")), ["node", "other"], "anti")
-    links = links.unionAll(_verified(left, texts))
-
-    labelled = stored(_labelled(nodes.select("node", "_first"), links), "labelled")
+    # the labels so far are links as well, and already as short as can be
+    more = labels.select("node", F.col("label").alias("other")).unionAll(_verified(left, texts))
+    labels = components(more, "node", "other")
+    labelled = stored(_labelled(nodes.select("node", "_first"), labels), "labelled")
     names = labelled.groupBy("label").agg(F.min("_first").alias("_name"))
     named = labelled.join(names, "label").select("node", "_name")
     return rows.join(named, "node", "left").select(
@@ -349,11 +350,11 @@ def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     )
     # equal rows have equal places; one of them stays
     kept = kept.select("_key", "_hash").distinct()
-    here = df.withColumn("_hash", F.xxhash64(text))
-    empty = F.coalesce(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")), F.lit("")) == ""
+    here = carried(df, _own=key, _text=text).withColumn("_own_hash", F.xxhash64("_text"))
+    empty = F.coalesce(F.trim(F.translate("_text", "\t\n\x0b\x0c\r", "     ")), F.lit("")) == ""
     joined = here.join(
-        kept.withColumnRenamed("_hash", "_h"),
-        F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_h")),
+        kept,
+        F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_own_hash") == F.col("_hash")),
     )
-    single = joined.filter(~empty).dropDuplicates([key, "_hash"])
-    return single.unionAll(joined.filter(empty)).select(*df.columns)
+    single = joined.filter(~empty).dropDuplicates(["_own", "_own_hash"])
+    return single.unionAll(joined.filter(empty)).select("_row.*")

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm.tokens import (
     byte_texts,
+    carried,
     hashes_of,
     per_text,
     text_slices,
@@ -407,10 +408,11 @@ def quality_filter(
     The texts are counted twice, once to fit and once to filter, so that no wide
     row is stored or sent by its key.
     """
-    vectors = quality_vectors(df, text, by)
-    narrow = [c for c in vectors.columns if c.startswith(("_k", "_x")) and c not in df.columns]
+    groups = {f"_by{i}": c for i, c in enumerate(by)}
+    vectors = quality_vectors(carried(df, _text=text, **groups), "_text", list(groups))
+    narrow = [c for c in vectors.columns if c.startswith(("_k", "_x"))]
     fits = fit_outliers(stored(vectors.select(*narrow), "vectors"), min_rows)
-    return judged(vectors, fits, quantile).filter("_kept").select(*[df[c] for c in df.columns])
+    return judged(vectors, fits, quantile).filter("_kept").select("_row.*")
 
 
 def quality_verdicts(

@@ -14,9 +14,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Texts handled together, so that a batch of long texts does not pile up words.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 class Words(NamedTuple):
@@ -96,3 +98,10 @@ def shingles(texts: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray]
     word_hashes = hashes_of(words.distinct)[words.codes] if len(words.codes) else np.empty(0, np.uint64)
     found, _ = windows(word_hashes, words, size)
     return found, np.maximum(words.counts - size + 1, 0)
+
+
+def carried(df: DataFrame, **named: str) -> DataFrame:
+    """The whole row of ``df`` as ``_row``, beside the named columns, so that no
+    column a step adds can clash with one of ``df``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    return df.select(row, *[F.col(c).alias(name) for name, c in named.items()])
