@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.operators.sequence import INDEX, add_row_index
+from faultline.sources.scratch import stored
 
 SHARD_BYTES = 16 << 20  # payload bytes of one shard, on average
 ROLL_BYTES = 4 << 20  # compressed bytes of one file
@@ -191,6 +192,9 @@ def _decided(pages: DataFrame, least: int) -> DataFrame:
     in revisits."""
     same = pages.groupBy("sha1", "size").agg(F.count("*").alias("_n"), F.max("key").alias("_last"))
     same = same.filter((F.col("_n") > 1) & (F.col("size") >= least)).drop("_n")
+    # stored, so that its size is known before the join is planned: wide rows are
+    # only sent by payload where repeated payloads are too many to be sent round
+    same = stored(same, "repeated")
     joined = pages.join(same, ["sha1", "size"], "left")
     revisit = F.col("_last").isNotNull() & ~F.col("key").eqNullSafe(F.col("_last"))
     return joined.select(
