@@ -196,7 +196,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(near, "node").join(far, "other")
     scored = both.select("node", "other", similarity_column(F.col("_near"), F.col("_far")).alias("s"))
     with batches_of(pairs.sparkSession, 500):
-        return stored(scored.filter(F.col("s") >= SIMILARITY).select("node", "other"), "links")
+        # sums of fractions may end just below a limit they reach
+        alike = F.round("s", 9) >= SIMILARITY
+        return stored(scored.filter(alike).select("node", "other"), "links")
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def test_near_duplicates_by_all_pairs(spark, sf_dir, texts):
         for b in ids[i + 1 :]:
             same = words[a] and words[a] == words[b]
             close = len(sets[a] & sets[b]) > 0.3 * min(len(sets[a]), len(sets[b])) and sets[a]
-            if same or (close and similarity(sets[a], sets[b]) >= 0.8):
+            if same or (close and round(similarity(sets[a], sets[b]), 9) >= 0.8):
                 low, high = sorted((root(a), root(b)))
                 label[high] = low
     got = {r.doc_id: r.class_id for r in QUERIES["op5_near_duplicates"](spark, sf_dir).collect()}
