@@ -3,10 +3,11 @@
 A rolling hash over the hashes of the last two lines decides, from their content
 alone, whether a chunk ends there: on average after ``DIVISOR`` lines. An
 inserted line therefore moves only the boundaries beside it, and a passage that
-stands in two texts is cut alike in both. Every chunk of two lines or more that
-occurs more than once in the corpus is removed everywhere but in its first place
-(smallest key, then smallest place), after its bytes were compared with those of
-the first place.
+stands in two texts is cut alike in both. A line of ``LONG_LINE`` words or more is
+a passage in itself: it is always a chunk of its own, whatever stands beside it.
+Every such line, and every chunk of two lines or more, that occurs more than once
+in the corpus is removed everywhere but in its first place (smallest key, then
+smallest place), after its bytes were compared with those of the first place.
 
 Only digests meet to be counted, combined before the shuffle. The bytes of the
 repeated chunks then meet their first copy in a join without a hint, whose hot
@@ -14,7 +15,8 @@ chunks adaptive execution splits, and each text loses its chunks in its own row.
 
 Defined cases. A null text has no chunks and stays null. Lines are separated by
 ``\\n``; a chunk of empty lines counts like any other but needs ``MIN_WORDS``
-words over all its lines to be removed, so that blank or trivial runs stay. What
+words over all its lines to be removed, so that blank or trivial runs stay; a
+single line needs ``LONG_LINE``. What
 is left of a text keeps its lines in order, joined by ``\\n``; a text that loses
 everything becomes empty. Rows with equal key and text are in the same place: of
 such rows the chunks inside stay, and are only removed when they repeat an
@@ -36,6 +38,7 @@ from faultline.sources.scratch import stored
 DIVISOR = 4
 MIN_LINES = 2
 MIN_WORDS = 10
+LONG_LINE = 50
 
 CHUNK_TYPE = (
     "array<struct<first_line:int,n_lines:int,digest:binary,n_words:int,begin:int,size:int>>"
@@ -47,15 +50,18 @@ def line_hash(line: bytes) -> int:
     return int.from_bytes(hashlib.md5(line).digest()[:4], "big")
 
 
-def line_chunks(text: bytes) -> list[tuple[int, int]]:
-    """(first line, number of lines) of each chunk of a text."""
-    chunks, start, before = [], 0, 0
-    lines = text.split(b"\n")
+def line_chunks(lines: list[bytes]) -> list[tuple[int, int, int]]:
+    """(first line, number of lines, words) of each chunk of a text."""
+    chunks, start, before, words = [], 0, 0, 0
     for i, line in enumerate(lines):
-        now = line_hash(line)
-        if (before * 31 + now) % DIVISOR == 0 or i == len(lines) - 1:
-            chunks.append((start, i + 1 - start))
-            start = i + 1
+        now, own = line_hash(line), len(line.split())
+        if own >= LONG_LINE and i > start:
+            chunks.append((start, i - start, words))
+            start, words = i, 0
+        words += own
+        if own >= LONG_LINE or (before * 31 + now) % DIVISOR == 0 or i == len(lines) - 1:
+            chunks.append((start, i + 1 - start, words))
+            start, words = i + 1, 0
         before = now
     return chunks
 
@@ -69,18 +75,13 @@ def chunk_column(text: Column) -> Column:
     def cut(column: pa.Array) -> pa.Array:
         offsets, rows = [0], []
         for raw in byte_texts(column):
-            if raw.count(b"\n") >= MIN_LINES - 1:
-                lines = raw.split(b"\n")
-                ends = np.cumsum([len(x) + 1 for x in lines])
-                for first, n in line_chunks(raw):
-                    if n < MIN_LINES:
-                        continue
+            lines = raw.split(b"\n")
+            ends = np.cumsum([len(x) + 1 for x in lines])
+            for first, n, n_words in line_chunks(lines):
+                if n_words >= (MIN_WORDS if n >= MIN_LINES else LONG_LINE):
                     begin, end = int(ends[first - 1]) if first else 0, int(ends[first + n - 1]) - 1
-                    body = raw[begin:end]
-                    n_words = len(body.split())
-                    if n_words >= MIN_WORDS:
-                        digest = hashlib.md5(body).digest()
-                        rows.append((first, n, digest, n_words, begin, end - begin))
+                    digest = hashlib.md5(raw[begin:end]).digest()
+                    rows.append((first, n, digest, n_words, begin, end - begin))
             offsets.append(len(rows))
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
         names = ["first_line", "n_lines", "digest", "n_words", "begin", "size"]
@@ -150,29 +151,28 @@ def line_dedup(
         repeated_chunks(df, text, key)
         .distinct()
         .groupBy("_key", "_hash")
-        .agg(F.collect_list(F.struct("_first", "_lines")).alias("_removed"))
+        .agg(F.sort_array(F.collect_list(F.struct("_first", "_lines"))).alias("_removed"))
     )
     joined = carried(df, _own=key, _text=text).join(
         removed,
         F.col("_own").eqNullSafe(F.col("_key")) & (F.xxhash64("_text") == F.col("_hash")),
         "left",
     )
-    dropped = F.flatten(
-        F.transform(
-            "_removed", lambda c: F.sequence(c["_first"], c["_first"] + c["_lines"] - 1)
-        )
+    # the lines between one removed chunk and the next
+    ends = F.concat(
+        F.array(F.lit(0)), F.transform("_removed", lambda c: c["_first"] + c["_lines"])
     )
-    kept = F.filter(
-        F.split("_text", "\n", -1),
-        lambda line, i: ~F.array_contains(F.col("_dropped"), i),
-    )
-    cleaned = F.when(F.col("_removed").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
-    joined = joined.withColumn("_dropped", dropped)
+    starts = F.concat(F.transform("_removed", lambda c: c["_first"]), F.array(F.size("_split")))
+    between = F.zip_with(ends, starts, lambda e, s: F.slice("_split", e + 1, s - e))
+    kept = F.array_join(F.flatten(between), "\n")
+    cleaned = F.when(F.col("_removed").isNull(), F.col("_text")).otherwise(kept)
+    joined = joined.withColumn("_split", F.split("_text", "\n", -1))
     columns = [cleaned.alias(c) if c == text else F.col(f"_row.`{c}`") for c in df.columns]
     if counts:
+        n_lines = F.aggregate("_removed", F.lit(0), lambda n, c: n + c["_lines"])
         columns += [
             F.coalesce(F.size("_removed"), F.lit(0)).cast("bigint").alias("n_removed_chunks"),
-            F.coalesce(F.size("_dropped"), F.lit(0)).cast("bigint").alias("n_removed_lines"),
+            F.coalesce(n_lines, F.lit(0)).cast("bigint").alias("n_removed_lines"),
         ]
     return joined.select(*columns)
 
@@ -184,23 +184,25 @@ WITH lines AS (
          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
   FROM documents WHERE text IS NOT NULL),
 hashed AS (
-  SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines),
+  SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h,
+         len(list_filter(regexp_split_to_array(line, '[ \\t\\n\\x0b\\f\\r]+'),
+             lambda x: x <> '')) AS words
+  FROM lines),
 ends AS (
-  SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % {DIVISOR} = 0 AS cut
+  SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % {DIVISOR} = 0 OR words >= {LONG_LINE}
+         OR coalesce(lead(words) OVER w, 0) >= {LONG_LINE} AS cut
   FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (
   SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
   FROM ends),
 chunks AS (
-  SELECT doc_id, chunk, min(i) AS first, count(*) AS n,
+  SELECT doc_id, chunk, min(i) AS first, count(*) AS n, sum(words) AS words,
          string_agg(line, chr(10) ORDER BY i) AS body
   FROM numbered GROUP BY doc_id, chunk),
 long AS (
   SELECT * FROM chunks
-  WHERE n >= {MIN_LINES}
-    AND len(list_filter(regexp_split_to_array(body, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> ''))
-        >= {MIN_WORDS}),
+  WHERE words >= CASE WHEN n >= {MIN_LINES} THEN {MIN_WORDS} ELSE {LONG_LINE} END),
 removed AS (
   SELECT doc_id, chunk, n FROM (
     SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS place FROM long)

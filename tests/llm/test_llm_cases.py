@@ -94,6 +94,27 @@ def test_one_of_each_class_stays(odd):
     assert left == [0, 1, 3, 4, 5, 6, 7, 8]
 
 
+def test_long_lines_go_alone(spark):
+    passage = " ".join(f"p{i}" for i in range(50))
+    short = " ".join(f"s{i}" for i in range(49))
+    rows = [(i, f"{short}\nown a{i}\n{passage}\nown b{i}\n") for i in range(3)] + [(3, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in linechunks.line_dedup(df, counts=True).collect()}
+    assert got[0].text == rows[0][1] and got[3].text == ""
+    assert all(got[i].text == f"{short}\nown a{i}\nown b{i}\n" for i in (1, 2))
+    assert all((got[i].n_removed_chunks, got[i].n_removed_lines) == (1, 1) for i in (1, 2, 3))
+
+
+def test_similarity_at_the_limit(spark):
+    # 40 of 50 shingles in common: exactly 0.8
+    words = [f"w{i}" for i in range(60)]
+    texts = [words[:49], [*words[:44], *words[50:55]], words[5:49]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r._key: r.class_key for r in probminhash.near_duplicates(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 0}
+
+
 def test_pieces_of_odd_texts(odd, vocabulary):
     trip = pieces.round_trip_column(F.col("text"), F.col("doc_id"), vocabulary, rate=0.3)
     got = odd.select("text", trip.alias("p")).collect()
