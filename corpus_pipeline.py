@@ -27,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated line chunks; ``n_chars`` follows the text."""
-    cleaned = linechunks.line_dedup(docs)
+    """Texts without repeated line chunks and passages; ``n_chars`` follows the text."""
+    cleaned = linechunks.line_dedup(docs, passages=True)
     if "n_chars" not in docs.columns:
         return cleaned
     kind = docs.schema["n_chars"].dataType

@@ -13,6 +13,15 @@ Only digests meet to be counted, combined before the shuffle. The bytes of the
 repeated chunks then meet their first copy in a join without a hint, whose hot
 chunks adaptive execution splits, and each text loses its chunks in its own row.
 
+The edges of a chunk hang on the lines beside it, so a repeated passage of short
+lines keeps its head and tail, or all of it. ``passages=True`` takes those too:
+from each line on, and back from each line, the least run of lines with over
+``PASSAGE_WORDS`` words is a window, known by its SHA-256. Whatever stands beside
+a passage, its windows are the same and cover it, so every run of whole lines of
+over ``PASSAGE_WORDS`` words goes everywhere but in its first place. Windows and
+chunks may overlap; of a run that repeats itself the first period stays. The
+query ``op3_line_dedup`` leaves it off, as its SQL has the chunk rule alone.
+
 Defined cases. A null text has no chunks and stays null. Lines are separated by
 ``\\n``; a chunk of empty lines counts like any other but needs ``MIN_WORDS``
 words over all its lines to be removed, so that blank or trivial runs stay; a
@@ -39,6 +48,7 @@ DIVISOR = 4
 MIN_LINES = 2
 MIN_WORDS = 10
 LONG_LINE = 50
+PASSAGE_WORDS = 50  # a passage has more
 
 CHUNK_TYPE = (
     "array<struct<first_line:int,n_lines:int,digest:binary,n_words:int,begin:int,size:int>>"
@@ -92,6 +102,72 @@ def chunk_column(text: Column) -> Column:
     return F.arrow_udf(cut, CHUNK_TYPE).asNondeterministic()(text)
 
 
+def passage_windows(words: list[int]) -> list[tuple[int, int]]:
+    """(first line, number of lines) of the windows of a text, by its lines' words.
+
+    Windows of one line are left out: they are chunks.
+    """
+    found, start, total = set(), 0, 0
+    for i, n in enumerate(words):
+        total += n
+        # each start whose least run ends here
+        while total > PASSAGE_WORDS:
+            found.add((start, i + 1 - start))
+            total -= words[start]
+            start += 1
+        # the least run back from here starts one line earlier
+        if start and total + words[start - 1] > PASSAGE_WORDS:
+            found.add((start - 1, i + 2 - start))
+    return sorted(x for x in found if x[1] > 1)
+
+
+WINDOW_TYPE = "array<struct<first_line:int,n_lines:int,digest:binary>>"
+
+
+def window_column(text: Column) -> Column:
+    """The windows of each text."""
+
+    def cut(column: pa.Array) -> pa.Array:
+        offsets, first, lines, digests = [0], [], [], []
+        for raw in byte_texts(column):
+            parts = raw.split(b"\n")
+            ends = np.cumsum([len(x) + 1 for x in parts]).tolist()
+            for start, n in passage_windows([len(x.split()) for x in parts]):
+                begin, end = ends[start - 1] if start else 0, ends[start + n - 1] - 1
+                first.append(start)
+                lines.append(n)
+                digests.append(hashlib.sha256(raw[begin:end]).digest())
+            offsets.append(len(first))
+        columns = [pa.array(first, pa.int32()), pa.array(lines, pa.int32()), pa.array(digests, pa.binary())]
+        values = pa.StructArray.from_arrays(columns, ["first_line", "n_lines", "digest"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+    return F.arrow_udf(cut, WINDOW_TYPE).asNondeterministic()(text)
+
+
+RUN_TYPE = "array<struct<_first:int,_lines:int>>"
+
+
+def _merged(runs: Column) -> Column:
+    """Sorted runs of lines, those that overlap made one."""
+
+    def merge(column: pa.Array) -> pa.Array:
+        merged = []
+        for row in column.to_pylist():
+            out: list[dict] = []
+            for run in row or []:
+                if out and run["_first"] < out[-1]["_first"] + out[-1]["_lines"]:
+                    end = max(out[-1]["_first"] + out[-1]["_lines"], run["_first"] + run["_lines"])
+                    out[-1]["_lines"] = end - out[-1]["_first"]
+                else:
+                    out.append(run)
+            merged.append(out)
+        kind = pa.list_(pa.struct([("_first", pa.int32()), ("_lines", pa.int32())]))
+        return pa.array(merged, kind)
+
+    return F.arrow_udf(merge, RUN_TYPE)(runs)
+
+
 def _place(key: str, text: str) -> list[Column]:
     """Identity of a row: its key and its text."""
     return [F.col(key).alias("_key"), F.xxhash64(text).alias("_hash")]
@@ -140,19 +216,53 @@ def repeated_chunks(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     )
 
 
+def repeated_windows(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Windows to remove, like ``repeated_chunks``."""
+    rows = df.filter(F.col(text).isNotNull()).select(
+        *_place(key, text), window_column(F.col(text)).alias("_windows")
+    )
+    window = F.col("_window")
+    windows = rows.select("*", F.explode("_windows").alias("_window")).select(
+        "_key",
+        "_hash",
+        window["first_line"].alias("_first"),
+        window["n_lines"].alias("_lines"),
+        window["digest"].alias("_digest"),
+    )
+    place = F.struct(F.col("_key").isNotNull().alias("k0"), "_key", "_hash", "_first")
+    counted = windows.groupBy("_digest").agg(F.count("*").alias("_n"), F.min(place).alias("_origin"))
+    repeated = counted.filter("_n > 1").select("_digest", "_origin")
+    return (
+        windows.withColumn("_place", place)
+        .join(repeated, "_digest")
+        .filter("_place != _origin")
+        .select("_key", "_hash", "_first", "_lines")
+    )
+
+
 def line_dedup(
-    df: DataFrame, text: str = "text", key: str = "doc_id", counts: bool = False
+    df: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    counts: bool = False,
+    passages: bool = False,
 ) -> DataFrame:
     """``df`` with the repeated chunks cut out of ``text``.
 
-    ``counts`` adds ``n_removed_chunks`` and ``n_removed_lines``.
+    ``passages`` cuts out all other repeated runs of over ``PASSAGE_WORDS`` words,
+    too. ``counts`` adds ``n_removed_chunks`` (with ``passages`` runs) and
+    ``n_removed_lines``.
     """
+    repeated = repeated_chunks(df, text, key)
+    if passages:
+        repeated = repeated.unionAll(repeated_windows(df, text, key))
     removed = (
-        repeated_chunks(df, text, key)
-        .distinct()
+        repeated.distinct()
         .groupBy("_key", "_hash")
         .agg(F.sort_array(F.collect_list(F.struct("_first", "_lines"))).alias("_removed"))
     )
+    if passages:
+        removed = removed.withColumn("_removed", _merged(F.col("_removed")))
     joined = carried(df, _own=key, _text=text).join(
         removed,
         F.col("_own").eqNullSafe(F.col("_key")) & (F.xxhash64("_text") == F.col("_hash")),

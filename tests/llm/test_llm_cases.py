@@ -105,6 +105,38 @@ def test_long_lines_go_alone(spark):
     assert all((got[i].n_removed_chunks, got[i].n_removed_lines) == (1, 1) for i in (1, 2, 3))
 
 
+@pytest.mark.parametrize("n_lines", range(2, 11))
+def test_repeated_passages_go_whole(spark, n_lines):
+    def line(tag, n):
+        return " ".join(f"{tag}w{i}" for i in range(n))
+
+    rows, width = [], 50 // n_lines + 1
+    for trial in range(40):
+        passage = [line(f"p{trial}l{i}", width) for i in range(n_lines)]
+        for copy in range(2):
+            own = [line(f"o{trial}c{copy}n{i}", 9) for i in range(4)]
+            rows.append((2 * trial + copy, "\n".join([*own[:2], *passage, *own[2:]])))
+    # fifty words are no passage; a copy that starts a text and one that ends it
+    rows.append((900, "\n".join([line("x", 25), line("y", 25)])))
+    rows.append((901, "\n".join([line("z", 5), line("x", 25), line("y", 25), line("v", 5)])))
+    rows.append((902, rows[0][1].split("\n", 2)[2] + "\n" + rows[2][1].rsplit("\n", 2)[0]))
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    got = {r.doc_id: r.text.split("\n") for r in linechunks.line_dedup(df, passages=True).collect()}
+    for trial in range(40):
+        lines = rows[2 * trial + 1][1].split("\n")
+        assert got[2 * trial] == rows[2 * trial][1].split("\n")
+        assert got[2 * trial + 1] == lines[:2] + lines[-2:]
+    assert got[900] == rows[-3][1].split("\n") and got[901] == rows[-2][1].split("\n")
+    assert got[902] == [""]
+
+
+def test_windows_from_both_sides():
+    windows = linechunks.passage_windows
+    assert windows([20, 20, 20]) == [(0, 3)]
+    assert windows([25, 25]) == [] and windows([60]) == []
+    assert windows([30, 30, 5, 0, 30]) == [(0, 2), (0, 3), (0, 4), (1, 4)]
+
+
 def test_similarity_at_the_limit(spark):
     # 40 of 50 shingles in common: exactly 0.8
     words = [f"w{i}" for i in range(60)]
