@@ -3,19 +3,22 @@
 The vocabulary and the order of merges are those of a SentencePiece model file.
 Adjacent symbols whose union is a piece are candidates; the agenda takes the
 best-ranked candidate of a chunk, the leftmost on ties, until none is left. A
-candidate is skipped for good if a keyed hash of (seed, variant, chunk, place,
-piece) falls under the dropout rate. The decision depends on the key alone, so a
-text is cut alike in every run and after every lost executor, while another seed
-cuts it differently. Occurrences of a word in one text or in several differ too:
-each takes one of ``variants`` keys by the hash of its row key and place.
+candidate is skipped for good if a keyed hash of (seed, chunk, row key, place of
+the chunk, place in it, piece) falls under the dropout rate. The decision depends
+on the key alone, so a text is cut alike in every run and after every lost
+executor, while another seed cuts it differently. Every occurrence of a word, in
+one text or in several, has draws of its own.
 
 Spaces become U+2581 with one in front, as the model wants it. Characters
 outside the vocabulary become byte pieces, and so does U+2581 itself, which the
 model would read as a space: every text comes back unchanged.
 
 No piece of the model joins across a space, so chunks are cut there and worked
-out together, one merge of every chunk at a time; equal chunks of the same
-variant once. Very long chunks run through a heap one by one.
+out together, one merge of every chunk at a time. A run of the agenda notes the
+candidates it came by; another occurrence of the chunk whose draws agree on all of
+them has the same pieces. So a repeated chunk is run once without dropout, then
+once for each set of candidates dropped in that run, and what agrees with neither
+by itself. Very long chunks run through a heap one by one.
 
 Defined cases: a null text has null pieces, an empty one none. The row key may be
 null or repeated; rows that agree in key and text are cut alike.
@@ -38,10 +41,9 @@ from faultline.llm.tokens import hashes_of, mixed, text_slices
 
 SPACE = "▁"
 DROPOUT = 0.1
-VARIANTS = 4
 LONG_CHUNK = 256
 SLICE_CHARS = 2 << 20  # texts worked out together
-CHUNKS = 1 << 16  # chunks cut together
+CHUNKS = 1 << 16  # chunks cut or compared together
 _NEVER = np.int32(2**31 - 1)
 _SLOTS = 20
 
@@ -186,9 +188,17 @@ def _segment_long(symbols: np.ndarray, key: np.uint64, tables: Tables, rate: flo
 
 
 def segmented(
-    chunks: list[str], keys: np.ndarray, tables: Tables, rate: float
+    chunks: list[str],
+    keys: np.ndarray,
+    tables: Tables,
+    rate: float,
+    offered: list[tuple[np.ndarray, ...]] | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all chunks, chunk after chunk, and how many each has."""
+    """Piece ids of all chunks, chunk after chunk, and how many each has.
+
+    ``offered`` takes up (chunk, place, piece, dropped) of all candidates, but for
+    chunks of over ``LONG_CHUNK`` characters.
+    """
     points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
     starts = np.cumsum(lengths) - lengths
@@ -215,7 +225,10 @@ def segmented(
         piece = tables.merged(ids[left], ids[left + 1])
         ok = piece >= 0
         left, inside, piece = left[ok], inside[ok], piece[ok]
-        stays = ~_dropped(keys[owner[left]], at[left], piece, rate)
+        dropped = _dropped(keys[owner[left]], at[left], piece, rate)
+        if offered is not None:
+            offered.append((owner[left], at[left], piece, dropped))
+        stays = ~dropped
         rank[inside[stays]] = tables.ranks[piece[stays]]
         return rank
 
@@ -271,10 +284,88 @@ def _with_bytes(owner, ids, points, n_chunks, tables) -> tuple[np.ndarray, np.nd
     return out, np.bincount(owner, weights=width, minlength=n_chunks).astype(np.int64)
 
 
+def _agreeing(
+    offered: list[tuple[np.ndarray, ...]], runs: np.ndarray, keys: np.ndarray, rate: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key draws what the run in ``runs`` did, and a mark of what it drops."""
+    owner, at, piece, dropped = (np.concatenate(x) for x in zip(*offered, strict=True))
+    order = np.argsort(owner, kind="stable")
+    at, piece, dropped = at[order], piece[order], dropped[order]
+    sizes = np.bincount(owner, minlength=int(runs.max()) + 1)
+    starts = np.cumsum(sizes) - sizes
+    agree, marks = [], []
+    for i in range(0, len(runs), CHUNKS):
+        run = runs[i : i + CHUNKS]
+        n = sizes[run]
+        own = np.repeat(np.arange(len(run)), n)
+        places = np.arange(len(own)) - np.repeat(np.cumsum(n) - n - starts[run], n)
+        drawn = _dropped(keys[i : i + CHUNKS][own], at[places], piece[places], rate)
+        agree.append(np.bincount(own[drawn != dropped[places]], minlength=len(run)) == 0)
+        weights = (mixed(places[drawn].astype(np.uint64) + np.uint64(1)) >> np.uint64(11)).astype(float)
+        marks.append(np.bincount(own[drawn], weights=weights, minlength=len(run)))
+    return np.concatenate(agree), np.concatenate(marks)
+
+
+def _drawn(
+    chunks: np.ndarray, codes: np.ndarray, keys: np.ndarray, tables: Tables, rate: float, block: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece ids of runs of the agenda, how many each has, and the run of each
+    occurrence: a place in ``chunks`` and a key."""
+    parts, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    which = np.full(len(codes), -1)
+
+    def run(words: np.ndarray, own: np.ndarray, share: float, offered: list | None = None) -> int:
+        """Number of the first of these runs."""
+        first = sum(map(len, sizes))
+        for i in range(0, len(words), block):
+            seen = None if offered is None else []
+            ids, n = segmented(
+                chunks[words[i : i + block]].tolist(), own[i : i + block], tables, share, seen
+            )
+            parts.append(ids)
+            sizes.append(n)
+            if seen:
+                offered += [(owner + i, *others) for owner, *others in seen]
+        return first
+
+    lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    uses = np.bincount(codes, minlength=len(chunks))
+    # without dropout a chunk is run once for all its occurrences
+    shared = (lengths <= LONG_CHUNK) & (uses > 1) if rate > 0 else uses > 0
+    words = np.flatnonzero(shared)
+    numbers = np.cumsum(shared) - 1
+    offered: list[tuple[np.ndarray, ...]] = []
+    first = run(words, np.zeros(len(words), np.uint64), 0.0, offered)
+    open_ = np.flatnonzero(shared[codes])
+    if rate <= 0 or not offered:
+        which[open_] = first + numbers[codes[open_]]
+        open_ = open_[:0]
+    if len(open_):
+        agree, marks = _agreeing(offered, numbers[codes[open_]], keys[open_], rate)
+        which[open_[agree]] = first + numbers[codes[open_[agree]]]
+        open_ = open_[~agree]
+        of_mark, distinct = pd.factorize(marks[~agree])
+        group, _ = pd.factorize(codes[open_] * max(1, len(distinct)) + of_mark)
+        ones = open_[np.unique(group, return_index=True)[1]]
+        offered = []
+        first = run(codes[ones], keys[ones], rate, offered)
+        if offered:
+            agree, _ = _agreeing(offered, group, keys[open_], rate)
+            which[open_[agree]] = first + group[agree]
+    rest = np.flatnonzero(which < 0)
+    which[rest] = run(codes[rest], keys[rest], rate) + np.arange(len(rest))
+    return np.concatenate(parts), np.concatenate(sizes), which
+
+
 def encoded(
-    texts: list[str], row_keys: np.ndarray, tables: Tables, seed: int, rate: float, variants: int
+    texts: list[str],
+    row_keys: np.ndarray,
+    tables: Tables,
+    seed: int,
+    rate: float,
+    block: int = CHUNKS,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all texts, and how many each has."""
+    """Piece ids of all texts, and how many each has. ``block`` chunks are cut together."""
     find = tables.chunk.findall
     lists = [find(" " + t) if t else [] for t in texts]
     counts = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -284,22 +375,14 @@ def encoded(
         return np.empty(0, np.int32), counts
     codes, distinct = pd.factorize(flat)
     # a literal U+2581 is a chunk of its own; it must not look like a space
-    inner = [SPACE_LITERAL if x == SPACE else x.replace(" ", SPACE) for x in distinct]
+    inner = np.empty(len(distinct), dtype=object)
+    inner[:] = [SPACE_LITERAL if x == SPACE else x.replace(" ", SPACE) for x in distinct]
     place = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
     spread = mixed(np.repeat(row_keys, counts) + place.astype(np.uint64))
-    variant = (mixed(spread + np.uint64(seed)) % np.uint64(variants)).astype(np.int64)
-    if rate <= 0:
-        variant[:] = 0
-    which, pairs = pd.factorize(codes * variants + variant)
-    words = pairs // variants
     chunk_hashes = hashes_of([x.encode("utf-8", "surrogatepass") for x in distinct], seed)
-    keys = mixed(chunk_hashes[words] + (pairs % variants).astype(np.uint64))
-    del lists, flat, spread, variant, codes
-    blocks = [
-        segmented([inner[w] for w in words[i : i + CHUNKS]], keys[i : i + CHUNKS], tables, rate)
-        for i in range(0, len(words), CHUNKS)
-    ]
-    ids, sizes = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    keys = mixed(chunk_hashes[codes] + spread)
+    del lists, flat, spread, place
+    ids, sizes, which = _drawn(inner, codes, keys, tables, rate, block)
     starts = np.cumsum(sizes) - sizes
     taken = sizes[which]
     ends = np.cumsum(taken)
@@ -319,7 +402,7 @@ def decoded(ids: list[int], tables: Tables) -> str:
 
 
 def _encoded_array(
-    column: pa.Array, keys: pa.Array, tables: Tables, seed: int, rate: float, variants: int
+    column: pa.Array, keys: pa.Array, tables: Tables, seed: int, rate: float
 ) -> tuple[pa.ListArray, list[str | None]]:
     """Piece ids of a batch of texts, and the texts."""
     texts = column.to_pylist()
@@ -327,7 +410,7 @@ def _encoded_array(
     parts, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
     for a, b in text_slices([t or "" for t in texts], SLICE_CHARS):
         plain = [t or "" for t in texts[a:b]]
-        ids, counts = encoded(plain, row_keys[a:b], tables, seed, rate, variants)
+        ids, counts = encoded(plain, row_keys[a:b], tables, seed, rate)
         parts.append(ids)
         sizes.append(counts)
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
@@ -342,12 +425,11 @@ def encode_column(
     pieces: Pieces,
     seed: int = 0,
     rate: float = DROPOUT,
-    variants: int = VARIANTS,
 ) -> Column:
     """Piece ids of each text (array of int)."""
 
     def encode(column: pa.Array, keys: pa.Array) -> pa.Array:
-        return _encoded_array(column, keys, _tables(pieces), seed, rate, variants)[0]
+        return _encoded_array(column, keys, _tables(pieces), seed, rate)[0]
 
     return F.arrow_udf(encode, "array<int>").asNondeterministic()(text, F.xxhash64(key))
 
@@ -361,7 +443,6 @@ def round_trip_column(
     pieces: Pieces,
     seed: int = 0,
     rate: float = DROPOUT,
-    variants: int = VARIANTS,
 ) -> Column:
     """``encode_column`` and whether ``decoded`` gives each text back, in one pass.
 
@@ -370,7 +451,7 @@ def round_trip_column(
 
     def encode(column: pa.Array, keys: pa.Array) -> pa.Array:
         tables = _tables(pieces)
-        ids, texts = _encoded_array(column, keys, tables, seed, rate, variants)
+        ids, texts = _encoded_array(column, keys, tables, seed, rate)
         offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
         same = [
             t is None or decoded(values[a:b].tolist(), tables) == t

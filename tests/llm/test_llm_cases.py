@@ -167,6 +167,34 @@ def test_without_dropout_as_the_library(vocabulary):
     assert ids.tolist() == [i for x in expected for i in x]
 
 
+def test_every_occurrence_draws_for_itself(vocabulary):
+    import numpy as np
+
+    tables, n = pieces.Tables(vocabulary), 4000
+    text = " ".join(["international words stay"] * n) + " onceonly " + "y" * 300
+    row_keys = np.array([17, 18], np.uint64)
+    ids, counts = pieces.encoded([text, text], row_keys, tables, 5, 0.1)
+    again, _ = pieces.encoded([text, text], row_keys, tables, 5, 0.1)
+    assert ids.tolist() == again.tolist()
+    assert pieces.decoded(ids[: counts[0]].tolist(), tables) == text
+    # the same draws, each occurrence run by itself
+    flat = tables.chunk.findall(" " + text)
+    hashes = pieces.hashes_of([x.encode() for x in flat], 5)
+    expected, cuts = [], []
+    for key in row_keys:
+        places = np.arange(len(flat), dtype=np.uint64)
+        keys = pieces.mixed(hashes + pieces.mixed(key + places))
+        own, sizes = pieces.segmented([x.replace(" ", pieces.SPACE) for x in flat], keys, tables, 0.1)
+        expected += own.tolist()
+        cuts += [tuple(x.tolist()) for x in np.split(own, np.cumsum(sizes)[:-1])]
+    assert ids.tolist() == expected
+    # a word of one merge keeps it in nine of ten occurrences, longer ones vary freely
+    words = [c for c, x in zip(cuts, flat * 2) if x == " international"]
+    assert len(set(words)) > 20
+    short, sizes = pieces.encoded([" ".join(["a"] * 20_000)], row_keys[:1], tables, 0, 0.1)
+    assert 0.09 < sizes[0] / 20_000 - 1 < 0.11
+
+
 @pytest.mark.parametrize("wrap", ["percent", "unicode", "base64", "gzip", "nested"])
 def test_wrapped_secrets(wrap):
     plain = "see password=hunter2secret ok"
