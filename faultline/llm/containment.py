@@ -11,7 +11,10 @@ Jaccard similarity of at least
 
 which is 0.25. ``HASHES`` one-row bands miss that with a probability under 1e-6.
 An item scattered over a document shares minima with several windows, each less
-likely. Every candidate (document, item) is then verified on the exact shingle
+likely. The bound needs more than half the upper size, and the first partition
+starts above ``WHOLE`` shingles: an item of so few is contained only with all of
+them, so every document with its least shingle is a candidate, without sampling.
+Every candidate (document, item) is then verified on the exact shingle
 sets of the whole texts.
 
 The items go to the tasks in blocks of at most ``ITEM_BLOCK``, the bound of what
@@ -37,6 +40,7 @@ from faultline.llm.tokens import byte_texts, carried, mixed, shingles, text_slic
 SHINGLE = 5
 CONTAINMENT = 0.8
 HASHES = 48
+WHOLE = 4  # items of up to so many shingles must be found whole
 SMALLEST = 8  # upper size of the first partition
 ITEM_BLOCK = 20_000
 
@@ -57,6 +61,8 @@ class Items(NamedTuple):
     ids: list
     shingles: list[np.ndarray]  # sorted, distinct
     partitions: list[Partition]
+    least: np.ndarray  # of the items of up to ``WHOLE`` shingles, sorted
+    owners: np.ndarray
 
 
 def _high(x: np.ndarray, bits: int) -> np.ndarray:
@@ -69,7 +75,10 @@ def sketched(ids: list, texts: list[bytes]) -> Items:
     ends = np.cumsum(counts)
     sets = [np.unique(found[e - c : e]) for e, c in zip(ends, counts, strict=True)]
     sizes = np.array([len(x) for x in sets], np.int64)
-    partitions, upper, lower = [], SMALLEST, 0
+    few = np.flatnonzero((sizes > 0) & (sizes <= WHOLE))
+    least_few = np.array([sets[i][0] for i in few], np.uint64)
+    few = few[np.argsort(least_few, kind="stable")]
+    partitions, upper, lower = [], SMALLEST, WHOLE
     while lower < sizes.max(initial=0):
         inside = np.flatnonzero((sizes > lower) & (sizes <= upper))
         if len(inside):
@@ -85,7 +94,7 @@ def sketched(ids: list, texts: list[bytes]) -> Items:
                 owners.append(inside[order])
             partitions.append(Partition(upper, size, filters, minima, owners))
         lower, upper = upper, 2 * upper
-    return Items(ids, sets, partitions)
+    return Items(ids, sets, partitions, np.sort(least_few), few)
 
 
 def _window_starts(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,10 +131,22 @@ def candidates(found: np.ndarray, counts: np.ndarray, partition: Partition) -> n
     return np.unique(np.concatenate(pairs), axis=0)
 
 
+def whole_candidates(found: np.ndarray, counts: np.ndarray, items: Items) -> np.ndarray:
+    """Distinct (document, item) pairs that share a small item's least shingle."""
+    if not len(items.least) or not len(found):
+        return np.empty((0, 2), np.int64)
+    first = np.searchsorted(items.least, found, side="left")
+    n = np.searchsorted(items.least, found, side="right") - first
+    text_of = np.repeat(np.repeat(np.arange(len(counts)), counts), n)
+    place = np.arange(len(text_of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    return np.unique(np.column_stack([text_of, items.owners[place]]), axis=0)
+
+
 def contained(texts: list[bytes], items: Items) -> list[tuple[int, int, int]]:
     """(document, item, item shingles found) for every item contained enough."""
     found, counts = shingles(texts, SHINGLE)
     pairs = [candidates(found, counts, p) for p in items.partitions]
+    pairs.append(whole_candidates(found, counts, items))
     ends, rows = np.cumsum(counts), []
     for document, item in np.concatenate([np.empty((0, 2), np.int64), *pairs]).tolist():
         own = found[ends[document] - counts[document] : ends[document]]

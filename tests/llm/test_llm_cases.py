@@ -239,3 +239,16 @@ def test_archives_are_the_same_bytes(spark, tmp_path):
     # the empty page without a key revisits the other empty one
     revisited = {r.refers_to for r in back if r.record_type == "revisit"}
     assert revisited == {"3", *(str(i) for i in range(53, 60))}
+
+
+@pytest.mark.parametrize("n", [5, 6])
+def test_short_items_in_many_long_texts(n):
+    short = [" ".join(f"item{k}x{i}" for i in range(n)) for k in range(2000)]
+    items = containment.sketched(list(range(2000)) + [None], [x.encode() for x in [*short, "a b"]])
+    texts = []
+    for d in range(6000):
+        words = [f"d{d}w{i}" for i in range(100)]
+        texts.append(" ".join([*words[: d % 90], short[d % 2000], *words[d % 90 :]]).encode())
+    # all but the last word
+    texts.append((short[0].rsplit(" ", 1)[0] + " end").encode())
+    assert containment.contained(texts, items) == [(d, d % 2000, n - 4) for d in range(6000)]
