@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import (
     containment,
+    filter_audit,
     linechunks,
     lm_score,
     personal_data,
@@ -101,6 +102,12 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         query.__name__: query
@@ -115,6 +122,7 @@ def queries() -> dict[str, Query]:
             op8_personal_data,
             op9_pieces,
             op10_lm_scores,
+            op13_filter_audit,
         )
     }
 
@@ -125,4 +133,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": linechunks.ORACLE,
         "op4_warc": warc.ORACLE,
         "op6_contamination": containment.ORACLE,
+        "op13_filter_audit": filter_audit.ORACLE,
     }

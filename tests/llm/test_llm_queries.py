@@ -20,7 +20,7 @@ ORACLES = {k: v for k, v in entry_point.oracle_sql().items() if k.startswith("op
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     connection = duckdb.connect()
-    for name in "documents pages benchmark conversations".split():
+    for name in "documents pages benchmark conversations labels embeddings".split():
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return connection
 
