@@ -17,6 +17,7 @@ from faultline.llm import (
     probminhash,
     quality,
     quotes,
+    recompression,
     secret_scan,
     warc,
 )
@@ -102,6 +103,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.removal_counts(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -122,6 +127,7 @@ def queries() -> dict[str, Query]:
             op8_personal_data,
             op9_pieces,
             op10_lm_scores,
+            op11_substring_dedup,
             op13_filter_audit,
         )
     }
