@@ -1,5 +1,6 @@
 from faultline.sources.scratch import (
     clear_scratch,
+    discard,
     lasting_path,
     scratch_path,
     scratch_scope,
@@ -10,6 +11,7 @@ from faultline.sources.tables import read_table
 
 __all__ = [
     "clear_scratch",
+    "discard",
     "lasting_path",
     "overwrite_table",
     "read_table",

@@ -49,7 +49,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a path of ``scratch_path`` or ``lasting_path`` that no frame needs."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.delete(folder, True)
@@ -67,9 +68,9 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scope.reset(token)
-        _delete(spark, folder)
+        discard(spark, folder)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once no frame needs them."""
-    _delete(spark, f"{application_folder(spark)}/intermediate")
+    discard(spark, f"{application_folder(spark)}/intermediate")
