@@ -19,6 +19,7 @@ from faultline.llm import (
     quotes,
     recompression,
     secret_scan,
+    vector_codes,
     warc,
 )
 from faultline.sources.scratch import lasting_path
@@ -107,6 +108,10 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.removal_counts(_table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -128,6 +133,7 @@ def queries() -> dict[str, Query]:
             op9_pieces,
             op10_lm_scores,
             op11_substring_dedup,
+            op12_vector_codes,
             op13_filter_audit,
         )
     }
@@ -139,5 +145,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": linechunks.ORACLE,
         "op4_warc": warc.ORACLE,
         "op6_contamination": containment.ORACLE,
+        "op12_vector_codes": vector_codes.ORACLE,
         "op13_filter_audit": filter_audit.ORACLE,
     }
