@@ -9,16 +9,20 @@ round does with a symbol hangs on its two neighbours only. So a window of
 ``WINDOW`` words forces a run of interior symbols in each round, whatever stands
 around it: its outermost runs are dropped in a run round, a right symbol at its
 front and a left one at its end in a pair round. The window's anchor is the
-symbol with the least hash in the last round that still has interior symbols.
-Equal windows have equal anchors, and neighbouring windows mostly share one.
-
-1. Every text tells its distinct anchors. Grouped by name, combined before the
+interior symbol that stands for most words, of all rounds from where ``FEW`` of
+them are left. Equal windows have equal anchors, and neighbouring windows mostly
+share one.
+
+1. A text's last symbol stands for all of it: texts of the same words are grouped
+   by their SHA-256, and all but those with the least key lose every word, or
+   none if they are shorter than a window. Only the first ones go on.
+2. Every text tells its distinct anchors. Grouped by name, combined before the
    shuffle, those of two or more documents are shared; all other windows are
    unique and done with.
-2. Texts with shared anchors give their occurrences: the anchor and the extent of
+3. Texts with shared anchors give their occurrences: the anchor and the extent of
    consecutive windows that hang on it. An extent whose words stand in a smaller
    document is repeated as a whole.
-3. Where an anchor has extents of several kinds, as at the edges of every repeat,
+4. Where an anchor has extents of several kinds, as at the edges of every repeat,
    the windows of each kind (those of its least document) are compared one by one.
 
 Names only propose. What is removed is decided by the 128-bit BLAKE2b of the exact
@@ -62,8 +66,11 @@ from faultline.sources.scratch import stored
 
 WINDOW = 50
 
-# A run round goes before every fourth pair round.
-RUN_EVERY = 4
+# A run round goes before every eighth pair round.
+RUN_EVERY = 8
+
+# Interior symbols from which on a window looks for its longest one.
+FEW = 8
 
 # Windows followed through the rounds together.
 BLOCK = 1 << 20
@@ -77,24 +84,25 @@ class Round(NamedTuple):
     """One round over the symbols of several texts."""
 
     symbols: np.ndarray  # before the round
+    length: np.ndarray  # words of each symbol
     group: np.ndarray  # place of each symbol's name after it
     right: np.ndarray | None  # class of each symbol; None in a run round
 
 
 def rounds(symbols: np.ndarray, owner: np.ndarray) -> Iterator[Round]:
     """Endless rounds; symbols of different owners are never joined."""
-    step = 0
+    step, length = 0, np.ones(len(symbols), np.int64)
     while True:
         if step % RUN_EVERY == 0:
             change = np.ones(len(symbols), bool)
             change[1:] = (symbols[1:] != symbols[:-1]) | (owner[1:] != owner[:-1])
             group = np.cumsum(change) - 1
             first = np.flatnonzero(change)
-            length = np.diff(first, append=len(symbols)).astype(np.uint64)
-            yield Round(symbols, group, None)
+            times = np.diff(first, append=len(symbols)).astype(np.uint64)
+            yield Round(symbols, length, group, None)
             one = symbols[first]
-            symbols = np.where(length > 1, mixed(one ^ _RUN) + mixed(length * _RUN), one)
-            owner = owner[first]
+            symbols = np.where(times > 1, mixed(one ^ _RUN) + mixed(times * _RUN), one)
+            length, owner = np.add.reduceat(length, first), owner[first]
         key = np.uint64(_CLASS * (step + 1) % (1 << 64))
         right = (mixed(symbols ^ key) >> np.uint64(63)).astype(bool)
         paired = np.zeros(len(symbols), bool)
@@ -103,24 +111,28 @@ def rounds(symbols: np.ndarray, owner: np.ndarray) -> Iterator[Round]:
         head[1:] = ~paired[:-1]
         group = np.cumsum(head) - 1
         first = np.flatnonzero(head)
-        yield Round(symbols, group, right)
+        yield Round(symbols, length, group, right)
         joined = first[paired[first]]
         named = symbols[first]
         named[paired[first]] = mixed(mixed(symbols[joined] ^ _PAIR) * _PAIR + symbols[joined + 1])
-        symbols, owner = named, owner[first]
+        symbols, length, owner = named, np.add.reduceat(length, first), owner[first]
         step += 1
 
 
-def _least(symbols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Place of the least-hashed symbol in each [a, b), the first of equal ones."""
-    best, place = mixed(symbols[a]), a.copy()
+def _longest(now: Round, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Place of the symbol with most words in each [a, b): among equals that of
+    the least name, then the first."""
+    place = a.copy()
+    size, name = now.length[a], now.symbols[a]
     j = 1
     left = np.flatnonzero(a + j < b)
     while len(left):
         at = a[left] + j
-        key = mixed(symbols[at])
-        less = key < best[left]
-        best[left[less]], place[left[less]] = key[less], at[less]
+        better = (now.length[at] > size[left]) | (
+            (now.length[at] == size[left]) & (now.symbols[at] < name[left])
+        )
+        moved, to = left[better], at[better]
+        place[moved], size[moved], name[moved] = to, now.length[to], now.symbols[to]
         j += 1
         left = left[a[left] + j < b[left]]
     return place
@@ -147,6 +159,7 @@ def occurrences(words: Words, size: int = WINDOW) -> Occurrences:
     more = rounds(hashes_of(words.distinct)[words.codes], owner)
     done: list[Round] = []
     name, level, place = np.empty(total, np.uint64), np.empty(total, np.int32), np.empty(total, np.int64)
+    words_in = np.zeros(total, np.int64)
     for low in range(0, total, BLOCK):
         who = np.arange(low, min(low + BLOCK, total))
         a, b = starts[who], starts[who] + size
@@ -161,9 +174,13 @@ def occurrences(words: Words, size: int = WINDOW) -> Occurrences:
                 a2 = now.group[a] + now.right[a]
                 b2 = now.group[b - 1] + now.right[b - 1]
             last = a2 >= b2
-            at = _least(now.symbols, a[last], b[last])
-            ended = who[last]
-            name[ended], level[ended], place[ended] = now.symbols[at], depth, at
+            looked = np.flatnonzero(last | (b - a <= FEW))
+            at = _longest(now, a[looked], b[looked])
+            mine = who[looked]
+            longer = now.length[at] > words_in[mine]
+            at, mine = at[longer], mine[longer]
+            name[mine], level[mine], place[mine] = now.symbols[at], depth, at
+            words_in[mine] = now.length[at]
             a, b, who = a2[~last], b2[~last], who[~last]
             depth += 1
     fresh = np.ones(total, bool)
@@ -304,9 +321,17 @@ def parsed_texts(df: DataFrame, text: str, key: str, size: int = WINDOW) -> Data
     return stored(parsed.select(*ROW, "_parsed.*"), "parsed")
 
 
+def first_texts(parsed: DataFrame) -> DataFrame:
+    """``parsed`` rows with a key, and ``_low``, the least key of the same words."""
+    known = parsed.filter("_key IS NOT NULL")
+    lows = known.groupBy("kept_sha256").agg(F.min("_key").alias("_low"))
+    return known.join(lows, "kept_sha256")
+
+
 def suspects(df: DataFrame, parsed: DataFrame, text: str, key: str, size: int) -> DataFrame:
-    """Texts that share an anchor with another document, and its extents there."""
-    told = parsed.filter("_key IS NOT NULL").select(*ROW, F.explode("names").alias("_name"))
+    """First texts that share an anchor with another document, and its extents there."""
+    first = first_texts(parsed).filter("_key = _low")
+    told = first.select(*ROW, F.explode("names").alias("_name"))
     shared = told.groupBy("_name").agg(F.min("_key").alias("_low"), F.max("_key").alias("_high"))
     own = (
         told.join(shared.filter("_low < _high").select("_name"), "_name")
@@ -359,7 +384,9 @@ def shortened_texts(
     cut = short.filter(F.size("_runs") > 0).select(
         *ROW, kept_column(F.col("_text"), F.col("_runs"), size).alias("_kept")
     )
-    return cut.select(*ROW, "_kept.*").dropDuplicates(ROW)
+    copies = first_texts(parsed).filter(f"_key > _low AND n_words >= {size}")
+    copies = copies.select(*ROW, F.lit("").alias("kept"), F.col("n_words").alias("n_removed"))
+    return cut.select(*ROW, "_kept.*").unionAll(copies).dropDuplicates(ROW)
 
 
 def removal_counts(
