@@ -1,5 +1,7 @@
+from faultline.learning.epochs import Epochs, fit_epochs
 from faultline.learning.model import (
     FLATTENED,
+    confusion_counts,
     evaluate,
     fault_pipeline,
     fit,
@@ -14,17 +16,30 @@ from faultline.learning.registry import (
     read_models,
     save_version,
 )
+from faultline.learning.regression import (
+    distance_frame,
+    distance_pipeline,
+    predict_distance,
+    regression_metrics,
+)
 
 __all__ = [
     "FLATTENED",
+    "Epochs",
+    "confusion_counts",
+    "distance_frame",
+    "distance_pipeline",
     "evaluate",
     "fault_pipeline",
     "fit",
+    "fit_epochs",
     "flattened_frame",
     "latest_model_path",
     "latest_models",
     "load_latest",
+    "predict_distance",
     "read_models",
+    "regression_metrics",
     "save_version",
     "score",
     "training_frame",

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from faultline.functions.vectors import argmax_label, class_probabilities
 from faultline.operators.features import summary_columns, summary_names
+from faultline.operators.sequence import batch_keys
 from faultline.operators.targets import count_columns, count_names
 from faultline.schema import CLASSES, MEASURES, check_schema
 
@@ -36,7 +37,7 @@ def training_frame(
     Summaries and class counts come out of one aggregation. Batches without any
     classified row have no label and are left out.
     """
-    grouped = df.groupBy("batch_id").agg(*summary_columns(measures), *count_columns(classes))
+    grouped = df.groupBy(*batch_keys(df)).agg(*summary_columns(measures), *count_columns(classes))
     shares = class_probabilities([F.col(n) for n in count_names(classes)])
     return (
         grouped.withColumn("label", argmax_label(shares).cast("double"))
@@ -146,17 +147,23 @@ def _of_length(name: str, vector: Column, length: int) -> Column:
     return F.when(F.size(values) == length, vector).otherwise(wrong)
 
 
+def confusion_counts(scored: DataFrame, by: str = "split") -> DataFrame:
+    """Rows of each part, class and predicted class, in one pass: (``by``, label,
+    prediction, n, loss), ``loss`` being the sum of the rows' log losses."""
+    own = F.get(vector_to_array("probability"), F.col("label").cast("int"))
+    loss = -F.ln(F.greatest(own, F.lit(_SMALLEST_PROBABILITY)))
+    return scored.groupBy(by, "label", "prediction").agg(
+        F.count("*").alias("n"), F.sum(loss).alias("loss")
+    )
+
+
 def evaluate(scored: DataFrame, by: str = "split") -> DataFrame:
     """(``by``, metric, value) rows: log_loss, accuracy and weighted f1.
 
     One pass over the scored rows leaves a confusion table, at most one row per
     part and pair of classes; everything else is worked out on that.
     """
-    own = F.get(vector_to_array("probability"), F.col("label").cast("int"))
-    loss = -F.ln(F.greatest(own, F.lit(_SMALLEST_PROBABILITY)))
-    confusion = scored.groupBy(by, "label", "prediction").agg(
-        F.count("*").alias("n"), F.sum(loss).alias("loss")
-    )
+    confusion = confusion_counts(scored, by)
     actual = F.sum("n").over(Window.partitionBy(by, "label"))
     predicted = F.sum("n").over(Window.partitionBy(by, "prediction"))
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)

@@ -13,13 +13,21 @@ from faultline.operators.sequence import (
     add_batches,
     add_keyed_batches,
     add_row_index,
+    batch_keys,
     check_unique,
+    colocated_batches,
     drop_batches,
     full_batch_ids,
     full_batches,
 )
 from faultline.operators.splits import assign_split
-from faultline.operators.sweep import log_sweep, run_ids, sweep_grouped, sweep_mapped
+from faultline.operators.sweep import (
+    log_sweep,
+    run_ids,
+    sweep_grouped,
+    sweep_mapped,
+    sweep_streamed,
+)
 from faultline.operators.targets import class_counts, class_counts_pivoted, class_target
 
 __all__ = [
@@ -28,6 +36,7 @@ __all__ = [
     "add_row_index",
     "assign_split",
     "attach_distance",
+    "batch_keys",
     "batch_summary",
     "build_dataset",
     "cached",
@@ -36,6 +45,7 @@ __all__ = [
     "class_counts_pivoted",
     "class_target",
     "code_counts",
+    "colocated_batches",
     "code_rows",
     "drop_batches",
     "feature_sizes",
@@ -50,5 +60,6 @@ __all__ = [
     "sequences",
     "sweep_grouped",
     "sweep_mapped",
+    "sweep_streamed",
     "with_distance",
 ]

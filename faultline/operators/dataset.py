@@ -13,7 +13,7 @@ from faultline.functions.vectors import (
     ordered_steps,
     transposed,
 )
-from faultline.operators.sequence import INDEX
+from faultline.operators.sequence import INDEX, PART, batch_keys
 from faultline.operators.targets import count_columns, count_names
 from faultline.schema import BATCH_SIZE, CLASSES, MEASURES
 
@@ -24,7 +24,9 @@ def join_target(features: DataFrame, target: DataFrame) -> DataFrame:
     Both sides come out of an aggregation by ``batch_id``, so the join adds no
     shuffle.
     """
-    return features.join(target, ["batch_id"], "left")
+    both = [c for c in batch_keys(features) if c in target.columns]
+    joined = features.join(target, both, "left")
+    return joined.drop(PART)
 
 
 def build_dataset(
@@ -33,7 +35,7 @@ def build_dataset(
     classes: Sequence[int] = CLASSES,
 ) -> DataFrame:
     """``features`` and ``fault_type`` per batch out of one aggregation."""
-    grouped = df.groupBy("batch_id").agg(
+    grouped = df.groupBy(*batch_keys(df)).agg(
         ordered_steps(F.col(INDEX), measures).alias("features"), *count_columns(classes)
     )
     shares = class_probabilities([F.col(n) for n in count_names(classes)])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.vectors import ordered_steps
-from faultline.operators.sequence import INDEX
+from faultline.operators.sequence import INDEX, PART, batch_keys
 from faultline.schema import MEASURES
 
 
@@ -27,7 +27,7 @@ def sequences(df: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
 
     A batch holds a fixed number of rows, so no group outgrows a task.
     """
-    return df.groupBy("batch_id").agg(ordered_steps(F.col(INDEX), measures).alias("features"))
+    return df.groupBy(*batch_keys(df)).agg(ordered_steps(F.col(INDEX), measures).alias("features"))
 
 
 def feature_sizes(df: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def feature_sizes(df: DataFrame) -> DataFrame:
     combined before the shuffle, and no measure is read.
     """
     if "features" not in df.columns:
-        df = df.groupBy("batch_id").agg(F.count("*").cast("int").alias("feature_size"))
+        df = df.groupBy(*batch_keys(df)).agg(F.count("*").cast("int").alias("feature_size"))
     else:
         df = df.select(F.size("features").alias("feature_size"))
     return df.groupBy("feature_size").agg(F.count("*").alias("n_batches"))
@@ -78,4 +78,4 @@ def batch_summary(df: DataFrame, measures: Sequence[str] = MEASURES) -> DataFram
     Aggregates on the map side, so far fewer bytes are shuffled than for
     ``sequences``.
     """
-    return df.groupBy("batch_id").agg(*summary_columns(measures))
+    return df.groupBy(*batch_keys(df)).agg(*summary_columns(measures)).drop(PART)

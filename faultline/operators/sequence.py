@@ -12,9 +12,13 @@ however many lost executors, agrees on which row is in which batch.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Sequence
+from typing import Any, NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from faultline.schema import BATCH_SIZE
@@ -25,6 +29,7 @@ RowLocal = Callable[[DataFrame], DataFrame]
 
 INDEX = "row_index"
 TOTAL = "row_total"
+PART = "batch_part"
 
 # monotonically_increasing_id() is documented as: partition number above bit 33,
 # place in the partition below it.
@@ -48,7 +53,8 @@ def add_row_index(
     ``order_by`` must tell rows apart, as equal rows would be numbered by the
     layout of files. ``ties`` says what about that:
 
-    * ``"fail"``: count the rows of each key first, and fail with one that repeats.
+    * ``"fail"``: fail with a key that repeats. It is looked for while the sorted
+      rows are stored, which takes neither a pass nor a shuffle of its own.
     * ``"promised"``: the caller knows that no two rows agree; nothing is counted.
     * ``"scan"``: rows that agree stay in scan order, which also spreads copies of
       one row over several partitions. That takes a frame made of a scan and
@@ -57,19 +63,22 @@ def add_row_index(
     if ties not in ("fail", "promised", "scan"):
         raise ValueError(f"ties must be fail, promised or scan, not {ties}")
     key = list(order_by)
-    rows = check_unique(df, key) if ties == "fail" else df
+    rows = df
     if ties == "scan":
         rows = rows.withColumn("_scan_order", F.monotonically_increasing_id())
         key.append("_scan_order")
 
     ordered = rows.repartitionByRange(*key).sortWithinPartitions(*key)
-    placed = ordered.withColumn("_place", F.monotonically_increasing_id())
+    place = F.monotonically_increasing_id()
+    if ties == "fail":
+        ordered, place = _alone(ordered, key, [], place)
+    placed = ordered.withColumn("_place", place)
     if derive is not None:
         placed = derive(placed)
     if keep is None:
-        keep = [c for c in placed.columns if c not in ("_scan_order", "_place")]
+        keep = [c for c in placed.columns if c not in ("_scan_order", "_place", "_same")]
 
-    placed = stored(placed.select(*keep, "_place"), "indexed").withColumns(
+    placed = _stored_alone(placed.select(*keep, "_place")).withColumns(
         {
             "_part": F.shiftright("_place", _PLACE_BITS),
             "_place": F.col("_place").bitwiseAND((1 << _PLACE_BITS) - 1),
@@ -104,6 +113,42 @@ def check_unique(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df
 
 
+def _alone(
+    ordered: DataFrame, key: Sequence[str], within: Sequence[str], place: Column
+) -> tuple[DataFrame, Column]:
+    """``place``, failing the query at a row whose ``key`` another row has as well.
+
+    ``ordered`` is partitioned by ``within`` and the key and sorted by them, so the
+    window over equal rows needs no shuffle and no sort.
+    """
+    ordered = ordered.withColumn("_same", F.count("*").over(Window.partitionBy(*within, *key)))
+    named = []
+    for c in key:
+        shown = F.col(c).cast("string")
+        if ordered.schema[c].dataType.typeName() == "string":
+            shown = F.concat(F.lit("'"), shown, F.lit("'"))
+        named.append(F.concat(F.lit(f"'{c}': "), F.coalesce(shown, F.lit("None"))))
+    message = F.concat(
+        F.col("_same").cast("string"),
+        F.lit(" rows have the key {"),
+        F.concat_ws(", ", *named),
+        F.lit("}"),
+    )
+    failed = F.raise_error(message).cast("bigint")
+    return ordered, F.when(F.col("_same") == 1, place).otherwise(failed)
+
+
+def _stored_alone(placed: DataFrame) -> DataFrame:
+    """``stored``, with a repeated key as a ValueError."""
+    try:
+        return stored(placed, "indexed")
+    except (Py4JJavaError, PySparkException) as error:
+        repeated = re.search(r"\d+ rows have the key \{.*\}", str(error))
+        if repeated is None:
+            raise
+        raise ValueError(repeated[0]) from error
+
+
 def _batch_of(index: str, size: int) -> Column:
     return F.expr(f"{index} div {size}") + 1
 
@@ -125,6 +170,89 @@ def add_batches(
     return rows.withColumn("batch_id", _batch_of(INDEX, size))
 
 
+class Colocated(NamedTuple):
+    """Rows of which every batch lies in one partition, and their number."""
+
+    rows: DataFrame
+    total: int
+
+
+def colocated_batches(
+    df: DataFrame,
+    order_by: Sequence[str],
+    size: int = BATCH_SIZE,
+    keep: Sequence[str] | None = None,
+    derive: RowLocal | None = None,
+    ties: str = "fail",
+    parts: int | None = None,
+) -> Colocated:
+    """``add_batches`` with one shuffle of the wide rows, which also serves any
+    aggregation by batch.
+
+    The key columns alone are numbered first (one narrow shuffle), which gives the
+    keys where each of ``parts`` (default: the session's shuffle partitions) equal
+    runs of whole batches begins: one key for each partition comes to the driver.
+    Each row then finds its part by a binary search among them and is sent there,
+    sorted, and numbered by its place. ``batch_part`` is the part; Spark knows that
+    it decides the partition, so ``groupBy(*batch_keys(rows))`` adds no exchange.
+
+    Nothing but the keys is stored. The numbers are the same in every run of the
+    plan as the key tells rows apart: ``ties`` is ``"fail"`` or ``"promised"``.
+    ``keep`` and ``derive`` are as in ``add_row_index``.
+    """
+    if ties not in ("fail", "promised"):
+        raise ValueError(f"ties must be fail or promised, not {ties}")
+    key = list(order_by)
+    numbered = add_row_index(df.select(*key), key, key, ties=ties)
+    total = numbered.agg(F.count("*")).first()[0]
+    if parts is None:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    batches = -(-total // size)
+    run = max(1, -(-batches // parts)) * size
+    borders = (
+        numbered.filter((F.col(INDEX) > 0) & (F.col(INDEX) % run == 0)).orderBy(INDEX).collect()
+    )
+    part = _part_of(df, key, borders)
+    sent = df.withColumn(PART, part).repartitionById(parts, F.col(PART))
+    ordered = sent.sortWithinPartitions(PART, *key)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << _PLACE_BITS) - 1)
+    rows = ordered.withColumn(INDEX, F.col(PART).cast("bigint") * run + place)
+    if derive is not None:
+        rows = derive(rows)
+    if keep is None:
+        keep = [c for c in rows.columns if c not in (PART, INDEX)]
+    rows = rows.select(*keep, PART, INDEX, F.lit(total).cast("bigint").alias(TOTAL))
+    return Colocated(rows.withColumn("batch_id", _batch_of(INDEX, size)), total)
+
+
+def _part_of(df: DataFrame, key: Sequence[str], borders: Sequence[Row]) -> Column:
+    """How many of the sorted ``borders`` are at or before the row's key."""
+    if not borders:
+        return F.lit(0)
+
+    def value(c: str, x: Any) -> Column:
+        return F.lit(x).cast(df.schema[c].dataType).alias(c)
+
+    listed = F.array(*[F.struct(*[value(c, row[c]) for c in key]) for row in borders])
+    own = F.struct(*[F.col(c) for c in key])
+    steps = [1 << i for i in reversed(range(len(borders).bit_length()))]
+
+    def step(low: Column, width: int) -> Column:
+        there = F.get(listed, low + (width - 1))
+        return F.when((low + width <= len(borders)) & (there <= own), low + width).otherwise(low)
+
+    search = F.aggregate(
+        F.array(*[F.lit(w) for w in steps]), F.lit(0), lambda low, w: step(low, w)
+    )
+    return search
+
+
+def batch_keys(df: DataFrame) -> list[str]:
+    """What to group ``df`` by to have one group for each batch, without a shuffle
+    if its batches are colocated."""
+    return [c for c in (PART, "batch_id") if c in df.columns]
+
+
 def add_keyed_batches(
     df: DataFrame,
     key: str,
@@ -157,11 +285,15 @@ def full_batches(df: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
     return df.filter(F.col("batch_id") <= F.expr(f"{TOTAL} div {size}"))
 
 
-def full_batch_ids(df: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
-    """The ``batch_id`` of every full batch, from the number of rows alone."""
-    first = df.select(TOTAL).first()
-    n = first[TOTAL] // size if first is not None else 0
-    return df.sparkSession.range(1, n + 1).withColumnRenamed("id", "batch_id")
+def full_batch_ids(
+    df: DataFrame, size: int = BATCH_SIZE, total: int | None = None
+) -> DataFrame:
+    """The ``batch_id`` of every full batch, from the number of rows alone, which
+    ``total`` gives if it is known."""
+    if total is None:
+        first = df.select(TOTAL).first()
+        total = first[TOTAL] if first is not None else 0
+    return df.sparkSession.range(1, total // size + 1).withColumnRenamed("id", "batch_id")
 
 
 def drop_batches(df: DataFrame, ids: Iterable[int]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Simulator = Callable[[pd.DataFrame], pd.DataFrame]
+StreamSimulator = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 # --- fixed values: exponents of the swept and values of the constant parameters
 EXPONENTS = {"Ron": 1.0, "Rg": 2.0}
@@ -69,9 +70,9 @@ def sweep_grouped(
     Rows are dealt out by key to ``tasks`` tasks (default: the session's shuffle
     partitions) and sorted there; each task cuts its stream where the key
     changes. A null key is a key. A task holds the rows of one key, which a hot
-    key must fit: a call sees its whole group by contract. If the runs are
-    independent, use ``sweep_mapped``, or give ``max_rows``, and a group is handed
-    over in slices of that many rows.
+    key must fit: a call sees its whole group by contract. ``sweep_streamed`` has
+    no such bound. If the runs are independent, use ``sweep_mapped``, or give
+    ``max_rows``, and a group is handed over in slices of that many rows.
     """
     _check_output(output, key, run_id)
     columns = params.sparkSession.createDataFrame([], output).toArrow().schema
@@ -132,6 +133,42 @@ def sweep_grouped(
     return spread.sortWithinPartitions(key, run_id).mapInArrow(stream, output)
 
 
+def sweep_streamed(
+    params: DataFrame,
+    simulate: StreamSimulator,
+    output: T.StructType,
+    key: str = "Ron",
+    run_id: str = "id",
+    tasks: int | None = None,
+) -> DataFrame:
+    """Call ``simulate`` once on the runs that share a ``key``, as a stream.
+
+    It takes an iterator over frames, the group's rows by ``run_id`` in pieces of
+    at most ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows, and yields
+    frames of results. What it does not keep is gone, so a group may be larger than
+    a worker's memory; its rows still pass through one task, in order, as the
+    group is one call's by contract. A null key is a key. Rows that ``simulate``
+    leaves unread are skipped.
+    """
+    _check_output(output, key, run_id)
+    columns = params.sparkSession.createDataFrame([], output).toArrow().schema
+
+    # the annotations tell Spark which form of the function this is
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for result in simulate(batch.to_pandas() for batch in batches):
+            if set(result.columns) != set(columns.names):
+                raise ValueError(f"got columns {list(result.columns)}, not {columns.names}")
+            yield pa.RecordBatch.from_pandas(result, schema=columns, preserve_index=False)
+
+    # postponed annotations are strings, which Spark does not look up
+    call.__annotations__ = {
+        "batches": Iterator[pa.RecordBatch],
+        "return": Iterator[pa.RecordBatch],
+    }
+    spread = params.repartition(_tasks(params, tasks), F.col(key)).sortWithinPartitions(key, run_id)
+    return spread.groupBy(key).applyInArrow(call, output)
+
+
 def sweep_mapped(
     params: DataFrame,
     simulate: Simulator,

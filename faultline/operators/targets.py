@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.vectors import class_probabilities
+from faultline.operators.sequence import batch_keys
 from faultline.schema import CLASSES
 
 CODE = "fault_type_coded"
@@ -25,7 +26,7 @@ def count_columns(classes: Sequence[int] = CLASSES, code: str = CODE) -> list[Co
 
 def class_counts(df: DataFrame, classes: Sequence[int] = CLASSES) -> DataFrame:
     """One row per batch with a count per class, in one partially aggregated pass."""
-    return df.groupBy("batch_id").agg(*count_columns(classes))
+    return df.groupBy(*batch_keys(df)).agg(*count_columns(classes))
 
 
 def class_counts_pivoted(df: DataFrame, classes: Sequence[int] = CLASSES) -> DataFrame:
@@ -34,7 +35,7 @@ def class_counts_pivoted(df: DataFrame, classes: Sequence[int] = CLASSES) -> Dat
     The list saves the job that would look for the classes, and keeps a column
     for a class that does not occur.
     """
-    counts = df.groupBy("batch_id").pivot(CODE, list(classes)).count().fillna(0)
+    counts = df.groupBy(*batch_keys(df)).pivot(CODE, list(classes)).count().fillna(0)
     return counts.withColumnsRenamed(
         {str(k): n for k, n in zip(classes, count_names(classes))}
     )
@@ -43,4 +44,4 @@ def class_counts_pivoted(df: DataFrame, classes: Sequence[int] = CLASSES) -> Dat
 def class_target(counts: DataFrame, classes: Sequence[int] = CLASSES) -> DataFrame:
     """Counts -> ``fault_type``, the array of class probabilities."""
     shares = class_probabilities([F.col(n) for n in count_names(classes)])
-    return counts.select("batch_id", shares.alias("fault_type"))
+    return counts.select(*batch_keys(counts), shares.alias("fault_type"))

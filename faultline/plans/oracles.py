@@ -131,6 +131,22 @@ FROM scored GROUP BY split
 UNION ALL SELECT split, 'f1', round(f1, 9) FROM f1s"""
 
 
+_DISTANCES = f"""scored AS (
+  SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS split,
+         distance_sub_station AS y,
+         distance_sub_station * (1 + (l_linenumber % 3 - 1) / 8.0::DOUBLE) AS p
+  FROM coded JOIN places ON coded.Bus_loc = places.Bus_loc
+   AND fault_type_coded IS DISTINCT FROM {UNFAULTED_CODE})"""
+
+_ERRORS = """
+SELECT split, 'rmse' AS metric, round(sqrt(avg((y - p) * (y - p))), 6) AS value
+FROM scored GROUP BY split
+UNION ALL SELECT split, 'mae', round(avg(abs(y - p)), 6) FROM scored GROUP BY split
+UNION ALL
+SELECT split, 'r2', round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6)
+FROM scored GROUP BY split"""
+
+
 def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
@@ -211,9 +227,17 @@ def oracle_sql() -> dict[str, str]:
         "q20_sweep_grouped": _SWEPT,
         "q21_sweep_map": _SWEPT,
         "q20b_sweep_groups": """
-            SELECT p_partkey, p_brand, count(*) OVER w AS n_group,
-                   round(p_retailprice - avg(p_retailprice) OVER w, 4) AS off_mean
-            FROM part WINDOW w AS (PARTITION BY p_brand)""",
+            WITH priced AS (
+              SELECT p_partkey, p_brand, CAST(round(p_retailprice * 100) AS BIGINT) AS cents
+              FROM part),
+            offs AS (
+              SELECT p_partkey, p_brand, count(*) OVER w AS n_group,
+                     CAST(count(*) OVER w * cents - sum(cents) OVER w AS BIGINT) AS off_mean
+              FROM priced WINDOW w AS (PARTITION BY p_brand))
+            SELECT *, CAST(sum(off_mean) OVER (
+                     PARTITION BY p_brand ORDER BY p_partkey
+                     ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_off
+            FROM offs""",
         "q22_sink": _with(
             _CODED,
             f"""SELECT {_SHOWN}, fault_class, Bus_loc, extracted_letters, fault_type_coded,
@@ -227,6 +251,12 @@ def oracle_sql() -> dict[str, str]:
         ),
         "q23_split": _with(_SPLIT, f"SELECT batch_id, label, {_PART} AS split FROM shuffled"),
         "q25c_evaluate": _with(f"{_LABELS}, {_EVALUATED}", _METRICS),
+        "q25e_confusion": _with(
+            f"{_LABELS}, {_EVALUATED}",
+            """SELECT split, label, prediction, count(*) AS n
+               FROM scored GROUP BY split, label, prediction""",
+        ),
+        "q28b_regression_metrics": _with(f"{_CODED}, {_PLACES}, {_DISTANCES}", _ERRORS),
         "q26_batch_score": _with(
             _LABELS,
             """SELECT batch_id, label, TRUE AS as_fitted, 8 AS n_probabilities

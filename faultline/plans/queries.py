@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import AbstractContextManager
 
 import numpy as np
@@ -17,12 +17,18 @@ from faultline import operators as ops
 from faultline.functions.vectors import argmax_label
 from faultline.learning import (
     FLATTENED,
+    confusion_counts,
+    distance_frame,
+    distance_pipeline,
     evaluate,
     fault_pipeline,
     fit,
+    fit_epochs,
     flattened_frame,
     latest_models,
     load_latest,
+    predict_distance,
+    regression_metrics,
     save_version,
     score,
     training_frame,
@@ -30,7 +36,7 @@ from faultline.learning import (
 from faultline.plans import views
 from faultline.plans.views import KEY, SHOWN_KEY
 from faultline.schema import BATCH_SIZE, CLASSES, LOCATIONS, MEASURES, SIMULATION, check_schema
-from faultline.sources import lasting_path, overwrite_table, schema_in_use, stored
+from faultline.sources import discard, lasting_path, overwrite_table, schema_in_use, stored
 from faultline.sources.scratch import application_folder
 from faultline.sources.sinks import PROVENANCE
 
@@ -61,6 +67,14 @@ def _batches(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:
     return ops.full_batches(ops.add_batches(rows, KEY, keep=keep, derive=ops.code_rows))
 
 
+def _wide_batches(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:
+    """As ``_batches``, for wide rows that are aggregated by batch next."""
+    found = ops.colocated_batches(
+        _simulation(spark, sf_dir), KEY, keep=keep, derive=ops.code_rows
+    )
+    return ops.full_batches(found.rows)
+
+
 def _shares(target: DataFrame, *others: str) -> DataFrame:
     parts = [F.get("fault_type", F.lit(i)).alias(f"p{k}") for i, k in enumerate(CLASSES)]
     return target.select("batch_id", *others, *parts)
@@ -130,7 +144,7 @@ def q10_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q10b_round_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = ["fault_type_coded", "extracted_letters", "Bus_loc"]
-    rows = _batches(spark, sf_dir, [*labels, *MEASURES])
+    rows = _wide_batches(spark, sf_dir, [*labels, *MEASURES])
     return ops.rounded(rows, ["batch_id", *labels])
 
 
@@ -151,7 +165,7 @@ def q12_class_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q13_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = ops.sequences(_batches(spark, sf_dir, MEASURES)).select(
+    steps = ops.sequences(_wide_batches(spark, sf_dir, MEASURES)).select(
         "batch_id", F.posexplode("features").alias("position", "step")
     )
     values = [F.get("step", F.lit(i)).alias(m) for i, m in enumerate(MEASURES)]
@@ -172,12 +186,12 @@ def _steps(dataset: DataFrame, *others: str) -> DataFrame:
 
 
 def q15_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _batches(spark, sf_dir, ["fault_type_coded", *MEASURES])
+    rows = _wide_batches(spark, sf_dir, ["fault_type_coded", *MEASURES])
     return _steps(ops.join_target(ops.sequences(rows), _target(rows)))
 
 
 def q15b_dataset_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _steps(ops.build_dataset(_batches(spark, sf_dir, ["fault_type_coded", *MEASURES])))
+    return _steps(ops.build_dataset(_wide_batches(spark, sf_dir, ["fault_type_coded", *MEASURES])))
 
 
 def q16_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +200,7 @@ def q16_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q17_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dataset = ops.build_dataset(_batches(spark, sf_dir, ["fault_type_coded", *MEASURES]))
+    dataset = ops.build_dataset(_wide_batches(spark, sf_dir, ["fault_type_coded", *MEASURES]))
     values = ops.long_steps(
         ops.model_rows(dataset), F.col("features"), ("channel", "position")
     )
@@ -249,31 +263,46 @@ def q21_sweep_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_runs(ops.sweep_mapped(params, simulate, SWEEP_OUTPUT))
 
 
-def q20b_sweep_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A function that needs its whole group: the distance to the group's mean."""
+def running_differences() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Cents of each part times the group's size less the group's cents, and the sum
+    of these so far, which is carried from frame to frame."""
 
-    def against_mean(group: pd.DataFrame) -> pd.DataFrame:
-        price = group["p_retailprice"]
-        return pd.DataFrame(
-            {
-                "p_partkey": group["p_partkey"],
-                "p_brand": group["p_brand"],
-                "n_group": len(group),
-                "off_mean": price - price.mean(),
-            }
-        )
+    def simulate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        so_far = 0
+        for part in frames:
+            off = part["n_group"] * part["cents"] - part["group_cents"]
+            running = so_far + off.cumsum()
+            so_far = running.iloc[-1]
+            yield part[["p_partkey", "p_brand", "n_group"]].assign(off_mean=off, running_off=running)
+
+    return simulate
 
+
+def q20b_sweep_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function that needs its whole group, in order: how far each part's price is
+    off its brand's mean, times the brand's parts, and the running sum of that.
+
+    All in whole cents. The brands' sums are aggregated before the shuffle and come
+    to the rows in a join; the function streams its group.
+    """
+    cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
+    parts = views.table(spark, sf_dir, "part").select("p_partkey", "p_brand", cents.alias("cents"))
+    brands = parts.groupBy(F.col("p_brand").alias("_brand")).agg(
+        F.count("*").alias("n_group"), F.sum("cents").alias("group_cents")
+    )
+    rows = parts.join(brands, F.col("p_brand").eqNullSafe(F.col("_brand"))).drop("_brand")
     output = T.StructType(
         [
             T.StructField("p_partkey", T.LongType()),
             T.StructField("p_brand", T.StringType()),
             T.StructField("n_group", T.LongType()),
-            T.StructField("off_mean", T.DoubleType()),
+            T.StructField("off_mean", T.LongType()),
+            T.StructField("running_off", T.LongType()),
         ]
     )
-    parts = views.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
-    swept = ops.sweep_grouped(parts, against_mean, output, key="p_brand", run_id="p_partkey")
-    return swept.withColumn("off_mean", F.round("off_mean", 4))
+    return ops.sweep_streamed(
+        rows, running_differences(), output, key="p_brand", run_id="p_partkey"
+    )
 
 
 # One schema for all sinks, whose tables every run replaces.
@@ -298,9 +327,9 @@ def q22b_dataset_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences with target and split, stored by split and read back."""
     rows = _simulation(spark, sf_dir)
     kept = ["fault_type_coded", *MEASURES]
-    batches = ops.add_batches(rows, KEY, keep=kept, derive=ops.code_rows)
-    ids = ops.full_batch_ids(batches)
-    dataset = ops.assign_split(ops.build_dataset(ops.full_batches(batches)), ids)
+    batches = ops.colocated_batches(rows, KEY, keep=kept, derive=ops.code_rows)
+    ids = ops.full_batch_ids(batches.rows, total=batches.total)
+    dataset = ops.assign_split(ops.build_dataset(ops.full_batches(batches.rows)), ids)
     with _sink(spark):
         overwrite_table(dataset, "dataset", partition_by=["split"])
     return _steps(spark.table(f"{SINK_SCHEMA}.dataset"), "split")
@@ -316,14 +345,14 @@ def q23_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q24_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = ops.batch_summary(_batches(spark, sf_dir, MEASURES))
+    summary = ops.batch_summary(_wide_batches(spark, sf_dir, MEASURES))
     return summary.select(
         "batch_id", *[F.round(c, 6).alias(c) for c in summary.columns if c != "batch_id"]
     )
 
 
 def _training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _batches(spark, sf_dir, ["fault_type_coded", *MEASURES])
+    rows = _wide_batches(spark, sf_dir, ["fault_type_coded", *MEASURES])
     return stored(training_frame(rows), "training")
 
 
@@ -339,26 +368,45 @@ def q25_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q25b_train_eval_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _batches(spark, sf_dir, ["fault_type_coded", *MEASURES])
+    rows = _wide_batches(spark, sf_dir, ["fault_type_coded", *MEASURES])
     frame = stored(flattened_frame(ops.model_rows(ops.build_dataset(rows))), "training")
     width = BATCH_SIZE * len(MEASURES)
     return _train_and_evaluate(frame, fault_pipeline([FLATTENED], width, max_iter=5))
 
 
-def q25c_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of a frame scored by rule: class shares as probabilities, and a
-    prediction that is off by one class in every third batch."""
+def _scored_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class shares as probabilities, and a prediction that is off by one class in
+    every third batch."""
     batches = _batches(spark, sf_dir, ["fault_type_coded"])
     shares = _target(batches).withColumn("label", argmax_label(F.col("fault_type")))
     off = F.when(F.col("batch_id") % 3 == 0, 1).otherwise(0)
     part = F.when(F.col("batch_id") % 2 == 0, "even").otherwise("odd")
-    scored = shares.filter("label IS NOT NULL").select(
+    return shares.filter("label IS NOT NULL").select(
         part.alias("split"),
         F.col("label").cast("double").alias("label"),
         array_to_vector("fault_type").alias("probability"),
         ((F.col("label") + off) % len(CLASSES)).cast("double").alias("prediction"),
     )
-    return evaluate(scored).withColumn("value", F.round("value", 9))
+
+
+def q25c_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of a frame scored by rule."""
+    return evaluate(_scored_by_rule(spark, sf_dir)).withColumn("value", F.round("value", 9))
+
+
+def q25d_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses on training and validation batches after each of five epochs."""
+    frame = _training_frame(spark, sf_dir)
+    frame = ops.assign_split(frame, frame.select("batch_id"))
+    return fit_epochs(fault_pipeline(max_iter=4), frame, epochs=5).losses
+
+
+def q25e_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by class and predicted class of a frame scored by rule."""
+    counts = confusion_counts(_scored_by_rule(spark, sf_dir))
+    return counts.select(
+        "split", F.col("label").cast("int"), F.col("prediction").cast("int"), "n"
+    )
 
 
 def q26_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,6 +416,7 @@ def q26_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = fit(fault_pipeline(), frame)
     save_version(fitted, spark, root, "fault_prediction")
     scored = score(load_latest(spark, root, "fault_prediction"), frame)
+    discard(spark, root)
     own = fitted.transform(frame).select("batch_id", F.col("prediction").alias("_fitted"))
     return scored.join(own, "batch_id").select(
         "batch_id",
@@ -381,6 +430,41 @@ def q27_latest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_models(views.models(spark, sf_dir))
 
 
+def q28_distance_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest that tells the distance of a fault from its row's measures: fitted on
+    the rows of the training batches, saved, reloaded and scored on all parts."""
+    places = check_schema(views.locations(spark, sf_dir), LOCATIONS)
+    found = ops.colocated_batches(
+        _simulation(spark, sf_dir),
+        KEY,
+        keep=["fault_type_coded", "Bus_loc", *MEASURES],
+        derive=ops.code_rows,
+    )
+    frame = stored(distance_frame(ops.full_batches(found.rows), places), "distances")
+    ids = ops.full_batch_ids(found.rows, total=found.total)
+    frame = ops.assign_split(frame, ids)
+    fitted = fit(distance_pipeline(), frame.filter(F.col("split") == "train"))
+    root = lasting_path(spark, "registry")
+    save_version(fitted, spark, root, "fault_distance")
+    model = load_latest(spark, root, "fault_distance")
+    discard(spark, root)
+    return regression_metrics(predict_distance(model, frame))
+
+
+def q28b_regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of distances predicted by rule: too small, right or too large by an
+    eighth, as the row's line number has it."""
+    places = check_schema(views.locations(spark, sf_dir), LOCATIONS)
+    rows = ops.attach_distance(_coded(spark, sf_dir), places)
+    off = 1 + (F.col("l_linenumber") % 3 - 1) / 8
+    scored = rows.select(
+        F.when(F.col("l_orderkey") % 2 == 0, "even").otherwise("odd").alias("split"),
+        F.col("distance_sub_station").alias("label"),
+        (F.col("distance_sub_station") * off).alias("prediction"),
+    )
+    return regression_metrics(scored).withColumn("value", F.round("value", 6))
+
+
 def queries() -> dict[str, Query]:
     return {
         query.__name__: query
@@ -419,7 +503,11 @@ def queries() -> dict[str, Query]:
             q25_train_eval,
             q25b_train_eval_steps,
             q25c_evaluate,
+            q25d_epochs,
+            q25e_confusion,
             q26_batch_score,
             q27_latest_model,
+            q28_distance_fit,
+            q28b_regression_metrics,
         )
     }

@@ -50,11 +50,11 @@ def prepare_dataset(
     """
     simulation = read_table(spark, source, SIMULATION)
     with scratch_scope(spark):
-        rows = ops.add_batches(
+        batches = ops.colocated_batches(
             simulation, order_by, size, keep=["fault_type_coded", *MEASURES], derive=ops.code_rows
         )
-        ids = ops.full_batch_ids(rows, size)
-        rows = ops.full_batches(rows, size)
+        ids = ops.full_batch_ids(batches.rows, size, batches.total)
+        rows = ops.full_batches(batches.rows, size)
         dataset = ops.assign_split(ops.build_dataset(rows), ids, train=train, val=val, seed=seed)
         return overwrite_table(dataset, table, partition_by=["split"])
 

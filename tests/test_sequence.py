@@ -11,6 +11,7 @@ from faultline.operators import (
     add_row_index,
     check_unique,
     code_rows,
+    colocated_batches,
     drop_batches,
     full_batches,
 )
@@ -173,6 +174,39 @@ def test_only_the_offsets_meet_in_one_task(spark, sf_dir):
     assert any(schema == "struct<_place:bigint>" for schema in read_schemas(text))
 
 
+@settings(FEW, max_examples=5)
+@given(
+    leads=st.lists(st.one_of(st.none(), st.integers(-5, 5)), max_size=150),
+    size=st.integers(1, 20),
+    parts=st.integers(1, 9),
+)
+def test_colocated_batches_are_the_same(spark, leads, size, parts):
+    df = frame(spark, [(lead, i, float(i)) for i, lead in enumerate(leads)])
+    found = colocated_batches(df, ["a", "b"], size, parts=parts)
+    one = add_batches(df, ["a", "b"], size)
+    columns = ["a", "b", "v", "row_index", "row_total", "batch_id"]
+    assert found.total == len(leads)
+    assert sorted(map(str, found.rows.select(columns).collect())) == sorted(
+        map(str, one.select(columns).collect())
+    )
+    placed = found.rows.select("batch_id", "batch_part", F.spark_partition_id().alias("task"))
+    places = placed.groupBy("batch_id").agg(
+        F.count_distinct("task").alias("n"), F.count_distinct("batch_part").alias("m")
+    )
+    assert all(r.n == r.m == 1 for r in places.collect())
+
+
+def test_colocated_batches_are_checked(spark):
+    df = frame(spark, [(1, 1, 0.0), (1, 2, 0.0), (2, 1, 0.0)])
+    with pytest.raises(ValueError, match="2 rows have the key {'a': 1}"):
+        colocated_batches(df, ["a"])
+    with pytest.raises(ValueError, match="ties"):
+        colocated_batches(df, ["a", "b"], ties="scan")
+    named = spark.createDataFrame([("x", None), ("x", None), ("y", 1)], "k string, n int")
+    with pytest.raises(ValueError, match="2 rows have the key {'k': 'x', 'n': None}"):
+        add_row_index(named, ["k", "n"])
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_keyed_batches(spark, tmp_path, broadcast):
     # one user has a third of all rows; one has none but a null name

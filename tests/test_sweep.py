@@ -1,9 +1,17 @@
+import weakref
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.operators import log_sweep, run_ids, sweep_grouped, sweep_mapped
+from faultline.operators import (
+    log_sweep,
+    run_ids,
+    sweep_grouped,
+    sweep_mapped,
+    sweep_streamed,
+)
 from faultline.schema import SWEEP, check_schema
 from tests.helpers import plan, set_conf
 
@@ -131,3 +139,72 @@ def test_other_columns_than_declared_fail(spark, change):
     params = log_sweep(run_ids(spark, 2), 2)
     with pytest.raises(Exception, match="got columns"):
         sweep_grouped(params, wrong, OUTPUT).collect()
+
+
+STREAMED = T.StructType(
+    [
+        T.StructField("id", T.LongType()),
+        T.StructField("Ron", T.DoubleType()),
+        T.StructField("so_far", T.LongType()),
+        T.StructField("alive", T.LongType()),
+    ]
+)
+
+
+def counter():
+    def counting(frames):
+        """Rows of the group so far, and how many frames of it are still held."""
+        seen, so_far = [], 0
+        for frame in frames:
+            seen.append(weakref.ref(frame))
+            seen = [r for r in seen if r() is not None]
+            so_far += len(frame)
+            last = frame[["id", "Ron"]].tail(1)
+            yield last.assign(so_far=so_far, alive=len(seen))
+            del frame, last
+
+    return counting
+
+
+def test_a_group_may_be_larger_than_memory(spark):
+    n = 5_000_000
+    params = spark.range(n).select("id", F.lit(0.5).alias("Ron"))
+    with set_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="5000"):
+        got = sweep_streamed(params, counter(), STREAMED, tasks=2)
+        rows = got.agg(F.count("*"), F.max("so_far"), F.max("alive"), F.max("id")).first()
+    assert rows[0] >= n / 5000 and rows[1] == n and rows[2] <= 2 and rows[3] == n - 1
+
+
+def test_streamed_groups_are_whole_and_in_order(spark):
+    keys = [None, 1.0, 2.0]
+    rows = [(i, keys[i % 3]) for i in range(300)]
+    params = spark.createDataFrame(rows, "id long, Ron double").repartition(5)
+
+    def places(frames):
+        before = -1
+        for frame in frames:
+            assert (frame["id"].diff().dropna() > 0).all() and frame["id"].iloc[0] > before
+            before = frame["id"].iloc[-1]
+            yield frame.assign(so_far=frame["id"], alive=len(frame))
+
+    with set_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="7"):
+        got = sweep_streamed(params, places, STREAMED).collect()
+    assert sorted((r.id, r.Ron) for r in got if r.Ron) == sorted(r for r in rows if r[1])
+    assert sum(r.Ron is None for r in got) == 100
+    assert max(r.alive for r in got) <= 7
+
+
+def test_streamed_sweep_is_one_shuffle_and_one_sort(spark):
+    params = log_sweep(run_ids(spark, 10), 10)
+    text = plan(sweep_streamed(params, counter(), STREAMED)).split("\n\n")[0]
+    assert text.count("Exchange") == 1 and text.count("Sort") == 1
+
+
+def test_streamed_results_are_checked(spark):
+    params = log_sweep(run_ids(spark, 10), 10)
+    with pytest.raises(ValueError, match="keep id"):
+        sweep_streamed(params, counter(), T.StructType(STREAMED.fields[1:]))
+    wrong = lambda frames: (f for f in frames)
+    with pytest.raises(Exception, match="got columns"):
+        sweep_streamed(params, wrong, STREAMED).collect()
+    assert sweep_streamed(params.limit(0), counter(), STREAMED).count() == 0
