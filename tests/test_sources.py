@@ -16,7 +16,7 @@ from faultline.sources import (
     scratch_scope,
     stored,
 )
-from tests.helpers import plan
+from tests.helpers import plan, set_conf
 
 
 def test_missing_and_mistyped_columns_are_named(spark, tmp_path):
@@ -139,3 +139,56 @@ def test_clearing_deletes_this_folder_only(spark, tmp_path, monkeypatch):
     clear_scratch(spark)
     assert not (mine / "intermediate").exists() and other.exists()
     assert [p.name[:8] for p in mine.iterdir()] == ["registry"]
+
+
+def versions(spark, schema, name):
+    rows = spark.sql(f"SHOW TABLES IN {schema} LIKE '{name}__v*'").collect()
+    return {r.tableName for r in rows}
+
+
+def test_failed_writer_leaves_the_old_rows(spark):
+    late = F.when(F.col("id") == 90, F.raise_error(F.lit("broken off"))).otherwise(F.col("id"))
+    with schema_in_use(spark, "atomic_test"):
+        overwrite_table(spark.range(5), "t")
+        with pytest.raises(Exception, match="broken off"):
+            overwrite_table(spark.range(100).select(late.cast("long").alias("id")), "t")
+        assert [r.id for r in spark.table("t").orderBy("id").collect()] == [0, 1, 2, 3, 4]
+        assert len(versions(spark, "atomic_test", "t")) == 1
+
+
+def test_a_table_can_be_made_from_itself(spark):
+    with schema_in_use(spark, "self_test"):
+        overwrite_table(spark.range(4), "t")
+        overwrite_table(spark.table("t").selectExpr("id + 10 AS id"), "t")
+        assert {r.id for r in spark.table("self_test.t").collect()} == {10, 11, 12, 13}
+        overwrite_table(spark.table("t").selectExpr("id", "id * 2 AS twice"), "self_test.t")
+        assert {r.twice for r in spark.table("t").collect()} == {20, 22, 24, 26}
+
+
+def test_readers_see_old_or_new(spark):
+    with schema_in_use(spark, "reader_test"):
+        before = overwrite_table(spark.range(3), "t")
+        after = overwrite_table(spark.range(7), "t")
+        # a frame made before the switch still reads what it was made from
+        assert before.count() == 3 and after.count() == 7
+        assert len(versions(spark, "reader_test", "t")) == 2
+        overwrite_table(spark.range(1), "t")
+        assert len(versions(spark, "reader_test", "t")) == 2
+
+
+def test_plain_table_is_replaced(spark):
+    with schema_in_use(spark, "plain_test"):
+        spark.range(3).write.saveAsTable("t")
+        assert overwrite_table(spark.table("t").filter("id > 0"), "t").count() == 2
+        assert overwrite_table(spark.range(9), "t").count() == 9
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    features = spark.range(500).selectExpr("id % 50 AS batch_id", "id * 0.5 AS x")
+    target = spark.range(50).selectExpr("id AS batch_id", "id % 8 AS label")
+    with schema_in_use(spark, "bucket_test"), set_conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        left = overwrite_table(features, "features", bucket_by=(4, "batch_id"))
+        right = overwrite_table(target, "target", bucket_by=(4, "batch_id"))
+        joined = left.join(right, "batch_id").groupBy("batch_id").agg(F.sum("x"), F.max("label"))
+        assert "Exchange" not in plan(joined)
+        assert joined.count() == 50
