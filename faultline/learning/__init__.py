@@ -7,6 +7,7 @@ from faultline.learning.model import (
     fit,
     flattened_frame,
     score,
+    signature,
     training_frame,
 )
 from faultline.learning.registry import (
@@ -14,6 +15,7 @@ from faultline.learning.registry import (
     latest_models,
     load_latest,
     read_models,
+    read_signature,
     save_version,
 )
 from faultline.learning.regression import (
@@ -39,8 +41,10 @@ __all__ = [
     "load_latest",
     "predict_distance",
     "read_models",
+    "read_signature",
     "regression_metrics",
     "save_version",
     "score",
+    "signature",
     "training_frame",
 ]

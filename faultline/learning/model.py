@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.classification import (
+    MultilayerPerceptronClassificationModel,
+    MultilayerPerceptronClassifier,
+)
+from pyspark.ml.feature import StandardScaler, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
@@ -66,16 +69,25 @@ def fault_pipeline(
     seed: int = 0,
     solver: str = "l-bfgs",
     step_size: float = 0.03,
+    lengths: Mapping[str, int] | None = None,
 ) -> Pipeline:
     """Scale ``inputs`` (default: the summaries) and fit a perceptron on them.
 
-    ``width`` is the number of values in ``inputs`` when some are vectors.
+    ``lengths`` has the number of values of each input that is a vector; it is kept
+    in the pipeline and checked wherever that is used. For a single vector,
+    ``width``, the number of values in all ``inputs``, does as well.
     ``step_size`` is used by the gradient descent solver, ``"gd"``.
     """
     inputs = list(summary_names() if inputs is None else inputs)
-    layers = [width or len(inputs), *hidden, n_classes]
+    lengths = dict(lengths or {})
+    strangers = [name for name in lengths if name not in inputs]
+    if strangers:
+        raise ValueError(f"not among the inputs: {', '.join(strangers)}")
+    known = sum(lengths.values()) + len(inputs) - len(lengths)
+    layers = [width or known, *hidden, n_classes]
     return Pipeline(
         stages=[
+            *[VectorSizeHint(inputCol=name, size=n) for name, n in lengths.items()],
             VectorAssembler(inputCols=inputs, outputCol="assembled"),
             StandardScaler(inputCol="assembled", outputCol="scaled", withMean=True),
             MultilayerPerceptronClassifier(
@@ -102,6 +114,45 @@ def fit(pipeline: Pipeline, rows: DataFrame, tasks: int | None = None) -> Pipeli
     return pipeline.fit(rows.coalesce(tasks))
 
 
+# Role is "input" or "output"; a scalar has length 1.
+SIGNATURE = T.StructType(
+    [
+        T.StructField("role", T.StringType()),
+        T.StructField("name", T.StringType()),
+        T.StructField("type", T.StringType()),
+        T.StructField("length", T.IntegerType()),
+    ]
+)
+
+
+def _inputs(model: PipelineModel) -> list[str]:
+    return next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
+
+
+def _lengths(model: PipelineModel) -> dict[str, int]:
+    return {s.getInputCol(): s.getSize() for s in model.stages if isinstance(s, VectorSizeHint)}
+
+
+def signature(model: PipelineModel) -> list[tuple[str, str, str, int | None]]:
+    """Rows of ``SIGNATURE``: what a fitted pipeline takes and gives.
+
+    A single vector whose length is not given has what the classifier's first layer
+    leaves for it.
+    """
+    inputs, lengths, last = _inputs(model), _lengths(model), model.stages[-1]
+    rows: list[tuple[str, str, str, int | None]] = []
+    classifier = isinstance(last, MultilayerPerceptronClassificationModel)
+    if classifier and not lengths and last.getLayers()[0] != len(inputs) == 1:
+        lengths = {inputs[0]: last.getLayers()[0]}
+    for name in inputs:
+        kind = "vector" if name in lengths else "double"
+        rows.append(("input", name, kind, lengths.get(name, 1)))
+    if classifier:
+        rows.append(("output", "probabilities", "array<float>", last.getLayers()[-1]))
+    rows.append(("output", "prediction", "double", 1))
+    return rows
+
+
 def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
     """``frame`` with ``prediction`` (0-based class) and ``probabilities``.
 
@@ -109,7 +160,7 @@ def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
     length, and results with another number of probabilities than the model's
     classes, fail by name in the task that meets them.
     """
-    inputs = model.stages[0].getInputCols()
+    inputs, lengths = _inputs(model), _lengths(model)
     layers = model.stages[-1].getLayers()
     wanted = [
         T.StructField(name, frame.schema[name].dataType)
@@ -119,14 +170,19 @@ def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
     ]
     check_schema(frame, T.StructType(wanted))
     vectors = [f.name for f in wanted if isinstance(f.dataType, VectorUDT)]
+    scalars = [name for name in lengths if name not in vectors]
+    if scalars:
+        raise ValueError(f"expected vectors: {', '.join(scalars)}")
     if not vectors and len(inputs) != layers[0]:
         raise ValueError(f"{len(inputs)} inputs for a model of {layers[0]}")
-    checked = frame
-    if len(vectors) == 1:
-        length = layers[0] - (len(inputs) - 1)
-        checked = checked.withColumn(
-            vectors[0], _of_length(vectors[0], F.col(vectors[0]), length)
-        )
+    if len(vectors) == 1 and not lengths:
+        lengths = {vectors[0]: layers[0] - (len(inputs) - 1)}
+    unknown = [name for name in vectors if name not in lengths]
+    if unknown:
+        raise ValueError(f"fitted without the lengths of {', '.join(unknown)}")
+    checked = frame.withColumns(
+        {name: _of_length(name, F.col(name), length) for name, length in lengths.items()}
+    )
     scored = model.transform(checked).withColumn(
         "probabilities", vector_to_array("probability", "float32")
     )

@@ -226,6 +226,13 @@ def oracle_sql() -> dict[str, str]:
         ),
         "q20_sweep_grouped": _SWEPT,
         "q21_sweep_map": _SWEPT,
+        "q21b_cached_sweep": """
+            SELECT count(*) AS n_runs, count(*) AS n_simulated, count(*) * 11 AS n_rows,
+                   count(*) * 55 AS sum_steps
+            FROM part""",
+        "q22c_bucketed_join": _with(
+            _COUNTS, f"SELECT batch_id, CAST({BATCH_SIZE} AS BIGINT) AS n_steps, {_P} FROM shares"
+        ),
         "q20b_sweep_groups": """
             WITH priced AS (
               SELECT p_partkey, p_brand, CAST(round(p_retailprice * 100) AS BIGINT) AS cents

@@ -263,6 +263,29 @@ def q21_sweep_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_runs(ops.sweep_mapped(params, simulate, SWEEP_OUTPUT))
 
 
+def q21b_cached_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sweep that is read twice while it is cached: runs, runs that were simulated,
+    rows by the first reading, and the sum of the steps by the second."""
+    params = _sweep(spark, sf_dir)
+    steps, simulated = SWEEP_STEPS, spark.sparkContext.accumulator(0)
+    runs = closed_form_runs(steps)
+
+    def counted(frame: pd.DataFrame) -> pd.DataFrame:
+        simulated.add(len(frame))
+        return runs(frame)
+
+    with ops.cached(ops.sweep_mapped(params, counted, SWEEP_OUTPUT)) as held:
+        n_rows = held.count()
+        n_steps = held.agg(F.coalesce(F.sum("step"), F.lit(0))).first()[0]
+    counts = {
+        "n_runs": params.count(),
+        "n_simulated": simulated.value,
+        "n_rows": n_rows,
+        "sum_steps": n_steps,
+    }
+    return spark.range(1).select(*[F.lit(n).cast("bigint").alias(c) for c, n in counts.items()])
+
+
 def running_differences() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Cents of each part times the group's size less the group's cents, and the sum
     of these so far, which is carried from frame to frame."""
@@ -335,6 +358,28 @@ def q22b_dataset_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _steps(spark.table(f"{SINK_SCHEMA}.dataset"), "split")
 
 
+# Buckets of the stored features and of their target.
+BUCKETS = 8
+
+
+def q22c_bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and target, each stored in buckets by batch, joined and aggregated
+    by batch without a shuffle."""
+    rows = _wide_batches(spark, sf_dir, ["fault_type_coded", *MEASURES])
+    by_batch = (BUCKETS, "batch_id")
+    with _sink(spark):
+        features = overwrite_table(
+            ops.sequences(rows).select("batch_id", "features"), "features", bucket_by=by_batch
+        )
+        target = overwrite_table(
+            _target(rows).select("batch_id", "fault_type"), "target", bucket_by=by_batch
+        )
+    joined = features.join(target, "batch_id").groupBy("batch_id").agg(
+        F.sum(F.size("features")).alias("n_steps"), F.first("fault_type").alias("fault_type")
+    )
+    return _shares(joined, "n_steps")
+
+
 def q23_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ops.add_batches(
         _simulation(spark, sf_dir), KEY, keep=["fault_type_coded"], derive=ops.code_rows
@@ -496,8 +541,10 @@ def queries() -> dict[str, Query]:
             q20_sweep_grouped,
             q20b_sweep_groups,
             q21_sweep_map,
+            q21b_cached_sweep,
             q22_sink,
             q22b_dataset_sink,
+            q22c_bucketed_join,
             q23_split,
             q24_summary,
             q25_train_eval,

@@ -1,9 +1,13 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from faultline.learning import (
+    confusion_counts,
     evaluate,
     fault_pipeline,
     fit,
@@ -12,8 +16,10 @@ from faultline.learning import (
     latest_models,
     load_latest,
     read_models,
+    read_signature,
     save_version,
     score,
+    signature,
     training_frame,
 )
 from faultline.operators import add_batches, assign_split, build_dataset, cached, model_rows
@@ -123,6 +129,64 @@ def test_score_shape_and_contract(scored):
         score(model, wrong)
 
 
+def test_swapped_vectors_fail_by_name(spark, tmp_path):
+    def rows(n_a, n_b):
+        ones = lambda n: array_to_vector(F.array(*[F.col("id") / (i + 1.0) for i in range(n)]))
+        return spark.range(20).select(
+            "id", ones(n_a).alias("a"), ones(n_b).alias("b"), (F.col("id") % 2 + 0.0).alias("label")
+        )
+
+    lengths = {"a": 2, "b": 3}
+    pipeline = fault_pipeline(["a", "b"], hidden=(2,), n_classes=2, max_iter=1, lengths=lengths)
+    model = fit(pipeline, rows(2, 3))
+    root = str(tmp_path / "registry")
+    assert save_version(model, spark, root, "two") == 1
+    again = load_latest(spark, root, "two")
+    assert signature(again) == signature(model) == [
+        ("input", "a", "vector", 2),
+        ("input", "b", "vector", 3),
+        ("output", "probabilities", "array<float>", 2),
+        ("output", "prediction", "double", 1),
+    ]
+    saved = read_signature(spark, root, "two", 1).collect()
+    assert [tuple(r) for r in saved] == signature(model)
+    assert score(again, rows(2, 3)).count() == 20
+    with pytest.raises(Exception, match="(a: expected 2 values, got 3|b: expected 3 values, got 2)"):
+        score(again, rows(3, 2)).collect()
+    with pytest.raises(ValueError, match="not among the inputs: c"):
+        fault_pipeline(["a"], lengths={"c": 1})
+    blind = fit(fault_pipeline(["a", "b"], 5, hidden=(2,), n_classes=2, max_iter=1), rows(2, 3))
+    with pytest.raises(ValueError, match="without the lengths of a, b"):
+        score(blind, rows(2, 3))
+
+
+def test_writers_get_different_versions(spark, scored, tmp_path):
+    model, rows = scored
+    root = str(tmp_path / "registry")
+    # a writer that failed after its claim
+    claim = tmp_path / "registry" / "_claims" / "faults" / "1"
+    claim.parent.mkdir(parents=True)
+    claim.touch()
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda _: save_version(model, spark, root, "faults"), range(4)))
+    assert sorted(got) == [2, 3, 4, 5]
+    models = read_models(spark, root)
+    assert {r.version for r in models.collect()} == set(got)
+    for row in models.collect():
+        own = rows.select(*model.stages[0].getInputCols()).limit(1)
+        assert PipelineModel.load(row.path).transform(own).count() == 1
+
+
+def test_confusion_counts(scored):
+    _, rows = scored
+    counts = {(r.split, r.label, r.prediction): r.n for r in confusion_counts(rows).collect()}
+    by_hand = {}
+    for r in rows.collect():
+        at = r.split, r.label, r.prediction
+        by_hand[at] = by_hand.get(at, 0) + 1
+    assert counts == by_hand
+
+
 def test_latest_of_each_name(spark):
     models = spark.createDataFrame(
         [("a", 1, "p1"), ("a", 10, "p10"), ("a", 9, "p9"), ("b", 3, "q3")],

@@ -3,7 +3,7 @@
 import pytest
 
 from faultline.plans.queries import queries
-from tests.helpers import plan
+from tests.helpers import plan, set_conf
 
 PYTHON_NODES = ["BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsIn", "MapIn"]
 LEARNED = {"q25_train_eval", "q25b_train_eval_steps", "q25d_epochs", "q26_batch_score", "q28_distance_fit"}
@@ -39,6 +39,12 @@ def test_single_tasks_only_for_offsets(plans):
         assert text.count("SinglePartition") == offsets, name
 
 
+def test_bucketed_tables_are_not_shuffled(spark, sf_dir):
+    with set_conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        text = plan(queries()["q22c_bucketed_join"](spark, sf_dir))
+    assert "Exchange" not in text and "SortMergeJoin" in text
+
+
 def test_row_local_queries_do_not_shuffle(plans):
     for name in ("q01_scan", "q02_sweep", "q03_normalise", "q04_bus", "q05_letters", "q06_code", "q10_round", "q16_distance"):
         assert "Exchange" not in plans[name], name
