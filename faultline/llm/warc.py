@@ -21,9 +21,13 @@ on narrow rows; hot payloads are combined before the shuffle.
 The folder must be one that all executors share. Tasks write through Arrow's
 file systems, so it may be local to one machine only in a local session.
 
+The first key of each shard comes to the driver and goes to every task: at most
+``MAX_SHARDS`` of them, as shards grow beyond that.
+
 Defined cases. A null payload is an empty one; a null address gives no target
 header. Rows without key sort first and are responses unless a row with a key
-has their payload. Rows that repeat the response's key and payload are responses
+has their payload; their records are named by the payload's digest and come back
+with a null key.  Rows that repeat the response's key and payload are responses
 too. Rows equal in key and payload lie in one shard.
 """
 
@@ -45,6 +49,8 @@ from faultline.operators.sequence import INDEX, add_row_index
 from faultline.sources.scratch import stored
 
 SHARD_BYTES = 16 << 20  # payload bytes of one shard, on average
+MAX_SHARDS = 20_000  # beyond that shards grow, as their first keys come to the driver
+PIECE = 1 << 16  # compressed bytes unpacked together
 ROLL_BYTES = 4 << 20  # compressed bytes of one file
 LEVEL = 4  # of compression
 DATE = "1970-01-01T00:00:00Z"
@@ -67,8 +73,13 @@ def _escaped(uri: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri)
 
 
+def _record_id(key: str | None, digest: str) -> str:
+    """A null key is no key: its record is named by its payload."""
+    return f"urn:payload:{digest}" if key is None else f"urn:page:{key}"
+
+
 def record_bytes(
-    key: str, uri: str | None, size: int, digest: str, payload: bytes | None, refers_to: str | None
+    key: str | None, uri: str | None, size: int, digest: str, payload: bytes | None, refers_to: str | None
 ) -> bytes:
     """One record; without ``payload`` a revisit of ``refers_to``."""
     http = (
@@ -79,7 +90,7 @@ def record_bytes(
     header = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{key}>",
+        f"WARC-Record-ID: <{_record_id(key, digest)}>",
         f"WARC-Date: {DATE}",
     ]
     if uri is not None:
@@ -99,13 +110,17 @@ def gzip_member(data: bytes) -> bytes:
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    while data:
-        unpack = zlib.decompressobj(31)
-        out = unpack.decompress(data)
-        if not unpack.eof:
-            raise ValueError("the archive ends inside a record")
-        yield out
-        data = unpack.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        unpack, out = zlib.decompressobj(31), []
+        # in pieces, so that what follows a record is not copied for each record
+        while not unpack.eof:
+            if at == len(view):
+                raise ValueError("the archive ends inside a record")
+            piece = view[at : at + PIECE]
+            out.append(unpack.decompress(piece))
+            at += len(piece) - len(unpack.unused_data)
+        yield b"".join(out)
 
 
 def parsed(record: bytes) -> dict:
@@ -124,7 +139,12 @@ def parsed(record: bytes) -> dict:
     kind = fields["WARC-Type"]
     if kind == "response" and (len(payload) != size or base32_sha1(payload) != digest):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
-    key = lambda name: fields[name][len("<urn:page:") : -1] if name in fields else None
+    page = "<urn:page:"
+
+    def key(name: str) -> str | None:
+        found = fields.get(name, "")
+        return found[len(page) : -1] if found.startswith(page) else None
+
     return {
         "key": key("WARC-Record-ID"),
         "uri": fields.get("WARC-Target-URI"),
@@ -228,9 +248,10 @@ def write_archives(
     narrow = pages.select("key", "sha1", "size")
     numbered = add_row_index(narrow, ["key", "sha1"], ties="scan")
     n, total = numbered.agg(F.count("*"), F.sum("size")).first()
+    shard_bytes = max(shard_bytes, (total or 0) // MAX_SHARDS)
     per_shard = max(1, n * shard_bytes // max(total or 0, shard_bytes)) if n else 1
     cut_rows = numbered.filter((F.col(INDEX) % per_shard == 0) & (F.col(INDEX) > 0))
-    # one per shard: as many as there are files at least
+    # at most about MAX_SHARDS keys
     cuts = sorted((r["key"] is not None, r["key"], r["sha1"]) for r in cut_rows.collect())
     shards = len(cuts) + 1
 
@@ -256,11 +277,8 @@ def write_archives(
                         done += files.done
                     files = _Files(root, x["shard"], attempt, roll_bytes)
                 digest = base64.b32encode(bytes.fromhex(x["sha1"])).decode()
-                named = lambda k: "null" if k is None else str(k)
-                refers = None if x["refers_to"] is None else named(x["refers_to"])
-                record = record_bytes(
-                    named(x["key"]), x["uri"], x["size"], digest, x["payload"], refers
-                )
+                own, refers = (None if x[c] is None else str(x[c]) for c in ("key", "refers_to"))
+                record = record_bytes(own, x["uri"], x["size"], digest, x["payload"], refers)
                 files.add(gzip_member(record))
         if files is not None:
             files.close()
