@@ -19,8 +19,7 @@ from each line on, and back from each line, the least run of lines with over
 ``PASSAGE_WORDS`` words is a window, known by its SHA-256. Whatever stands beside
 a passage, its windows are the same and cover it, so every run of whole lines of
 over ``PASSAGE_WORDS`` words goes everywhere but in its first place. Windows and
-chunks may overlap; of a run that repeats itself the first period stays. The
-query ``op3_line_dedup`` leaves it off, as its SQL has the chunk rule alone.
+chunks may overlap; of a run that repeats itself the first period stays.
 
 Defined cases. A null text has no chunks and stays null. Lines are separated by
 ``\\n``; a chunk of empty lines counts like any other but needs ``MIN_WORDS``
@@ -45,6 +44,7 @@ from faultline.llm.tokens import byte_texts, carried
 from faultline.sources.scratch import stored
 
 DIVISOR = 4
+MIX = (0x9E3779B1, 0x85EBCA6B)  # odd factors of the rolling hash
 MIN_LINES = 2
 MIN_WORDS = 10
 LONG_LINE = 50
@@ -60,6 +60,14 @@ def line_hash(line: bytes) -> int:
     return int.from_bytes(hashlib.md5(line).digest()[:4], "big")
 
 
+def is_cut(before: int, now: int) -> bool:
+    """Whether a chunk ends at a line, by the hashes of the line before and of it.
+
+    The upper bits of the sum depend on all bits of both, also where they are equal.
+    """
+    return (before * MIX[0] + now * MIX[1]) % (1 << 32) * DIVISOR >> 32 == 0
+
+
 def line_chunks(lines: list[bytes]) -> list[tuple[int, int, int]]:
     """(first line, number of lines, words) of each chunk of a text."""
     chunks, start, before, words = [], 0, 0, 0
@@ -69,7 +77,7 @@ def line_chunks(lines: list[bytes]) -> list[tuple[int, int, int]]:
             chunks.append((start, i - start, words))
             start, words = i, 0
         words += own
-        if own >= LONG_LINE or (before * 31 + now) % DIVISOR == 0 or i == len(lines) - 1:
+        if own >= LONG_LINE or is_cut(before, now) or i == len(lines) - 1:
             chunks.append((start, i + 1 - start, words))
             start, words = i + 1, 0
         before = now
@@ -287,19 +295,21 @@ def line_dedup(
     return joined.select(*columns)
 
 
-# The same rule in plain SQL, with the chunk's own bytes in place of its digest.
+# The same rules in plain SQL, with the lines themselves in place of digests.
 ORACLE = f"""
 WITH lines AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
   FROM documents WHERE text IS NOT NULL),
-hashed AS (
-  SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h,
+hashed AS MATERIALIZED (
+  SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT::HUGEINT AS h,
          len(list_filter(regexp_split_to_array(line, '[ \\t\\n\\x0b\\f\\r]+'),
              lambda x: x <> '')) AS words
   FROM lines),
 ends AS (
-  SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % {DIVISOR} = 0 OR words >= {LONG_LINE}
+  SELECT *, ((coalesce(lag(h) OVER w, 0) * {MIX[0]} + h * {MIX[1]}) % {1 << 32}) * {DIVISOR}
+              < {1 << 32}
+         OR words >= {LONG_LINE}
          OR coalesce(lead(words) OVER w, 0) >= {LONG_LINE} AS cut
   FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (
@@ -307,25 +317,54 @@ numbered AS (
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
   FROM ends),
 chunks AS (
-  SELECT doc_id, chunk, min(i) AS first, count(*) AS n, sum(words) AS words,
+  SELECT doc_id, min(i) AS first, count(*) AS n, sum(words) AS words,
          string_agg(line, chr(10) ORDER BY i) AS body
   FROM numbered GROUP BY doc_id, chunk),
-long AS (
-  SELECT * FROM chunks
-  WHERE words >= CASE WHEN n >= {MIN_LINES} THEN {MIN_WORDS} ELSE {LONG_LINE} END),
-removed AS (
-  SELECT doc_id, chunk, n FROM (
-    SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS place FROM long)
+removed_chunks AS (
+  SELECT doc_id, first, n FROM (
+    SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS place
+    FROM chunks
+    WHERE words >= CASE WHEN n >= {MIN_LINES} THEN {MIN_WORDS} ELSE {LONG_LINE} END)
+  WHERE place > 1),
+upto AS MATERIALIZED (
+  SELECT doc_id, i, words, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM hashed),
+starts AS (
+  SELECT doc_id, upto - words AS before, max(i) AS i FROM upto GROUP BY doc_id, upto - words),
+stops AS (SELECT doc_id, upto, min(i) AS i FROM upto GROUP BY doc_id, upto),
+runs AS (
+  SELECT a.doc_id, a.i AS first, b.i AS last
+  FROM (SELECT *, upto - words + {PASSAGE_WORDS} AS least FROM upto) a
+  ASOF JOIN stops b ON a.doc_id = b.doc_id AND a.least < b.upto
+  UNION
+  SELECT a.doc_id, b.i, a.i
+  FROM (SELECT *, upto - {PASSAGE_WORDS} AS most FROM upto) a
+  ASOF JOIN starts b ON a.doc_id = b.doc_id AND a.most > b.before),
+bodies AS (
+  SELECT r.doc_id, first, last, string_agg(line, chr(10) ORDER BY i) AS body
+  FROM runs r JOIN lines l ON r.doc_id = l.doc_id AND l.i BETWEEN first AND last
+  WHERE first < last GROUP BY r.doc_id, first, last),
+removed_runs AS (
+  SELECT doc_id, first, last - first + 1 AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS place FROM bodies)
   WHERE place > 1),
+removed AS MATERIALIZED (
+  SELECT doc_id, first, n FROM removed_chunks UNION SELECT doc_id, first, n FROM removed_runs),
+merged AS (
+  SELECT doc_id, count(*) FILTER (first >= reached) AS n_removed_chunks FROM (
+    SELECT *, coalesce(max(first + n) OVER (PARTITION BY doc_id ORDER BY first, n
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached
+    FROM removed)
+  GROUP BY doc_id),
+gone AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(range(first, first + n)) AS i FROM removed),
 left_over AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text
-  FROM numbered l ANTI JOIN removed r USING (doc_id, chunk) GROUP BY l.doc_id),
-totals AS (
-  SELECT doc_id, count(*) AS n_removed_chunks, sum(n)::BIGINT AS n_removed_lines
-  FROM removed GROUP BY doc_id)
+  FROM lines l ANTI JOIN gone g USING (doc_id, i) GROUP BY l.doc_id),
+totals AS (SELECT doc_id, count(*) AS n_removed_lines FROM gone GROUP BY doc_id)
 SELECT d.doc_id,
        CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text,
-       coalesce(t.n_removed_chunks, 0) AS n_removed_chunks,
+       coalesce(m.n_removed_chunks, 0) AS n_removed_chunks,
        coalesce(t.n_removed_lines, 0) AS n_removed_lines
-FROM documents d LEFT JOIN left_over o USING (doc_id) LEFT JOIN totals t USING (doc_id)
+FROM documents d LEFT JOIN left_over o USING (doc_id) LEFT JOIN merged m USING (doc_id)
+LEFT JOIN totals t USING (doc_id)
 """

@@ -22,7 +22,7 @@ from faultline.llm import (
     vector_codes,
     warc,
 )
-from faultline.sources.scratch import lasting_path
+from faultline.sources.scratch import discard, lasting_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,19 +43,22 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linechunks.line_dedup(documents, counts=True)
+    return linechunks.line_dedup(documents, counts=True, passages=True)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = lasting_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), root)
-    return warc.read_archives(spark, root, payloads=False).select(
+    records = warc.read_archives(spark, root, payloads=False).select(
         F.col("key").cast("bigint").alias("page_id"),
         "payload_bytes",
         "payload_digest",
         "record_type",
         F.col("refers_to").cast("bigint").alias("refers_to"),
     )
+    records = stored(records, "records")
+    discard(spark, root)
+    return records
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

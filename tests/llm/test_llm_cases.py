@@ -15,6 +15,7 @@ from faultline.llm import (
     pieces,
     probminhash,
     quality,
+    queries,
     secret_scan,
     warc,
 )
@@ -105,6 +106,16 @@ def test_long_lines_go_alone(spark):
     assert all((got[i].n_removed_chunks, got[i].n_removed_lines) == (1, 1) for i in (1, 2, 3))
 
 
+@pytest.mark.parametrize("junk", ["one line of ten words that stands here forty times", None])
+def test_runs_of_junk_leave_one_copy(spark, junk):
+    lines = [junk or f"junk line {i} of ten words in all, no more" for i in range(40)]
+    rows = [(d, f"own {d}\n" + "\n".join(lines) + f"\nend {d}") for d in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linechunks.line_dedup(df, passages=True).collect()}
+    assert all(got[d] == f"own {d}\nend {d}" for d in range(1, 50))
+    assert got[0].startswith("own 0\n" + lines[0]) and got[0].endswith("end 0")
+
+
 @pytest.mark.parametrize("n_lines", range(2, 11))
 def test_repeated_passages_go_whole(spark, n_lines):
     def line(tag, n):
@@ -234,13 +245,26 @@ def test_archives_are_the_same_bytes(spark, tmp_path):
     assert files[0] == files[1] and len(files[0]) > 3
     back = warc.read_archives(spark, root).collect()
     assert len(back) == 63
-    first = [r for r in back if r.record_type == "response" and r.key not in ("null", None)]
+    first = [r for r in back if r.record_type == "response" and r.key is not None]
     assert {r.key for r in first} >= {str(i) for i in range(53, 60)}
     # the empty page without a key revisits the other empty one
     revisited = {r.refers_to for r in back if r.record_type == "revisit"}
     assert revisited == {"3", *(str(i) for i in range(53, 60))}
 
 
+def test_archive_query_takes_any_rows(spark, tmp_path):
+    schema = "page_id long, url string, html string, key int, sha1 string"
+    rows = [(None, None, None, 1, "x"), (None, "u", "only here", 1, "x"), (3, "a", "", 1, None)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op4_warc(spark, str(tmp_path)).collect()
+    assert sorted(map(str, [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got])) == sorted(
+        map(str, [(None, 0, "revisit", 3), (None, 9, "response", None), (3, 0, "response", None)])
+    )
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], schema).write.parquet(str(empty / "pages.parquet"))
+    assert queries.op4_warc(spark, str(empty)).count() == 0
+
+
 @pytest.mark.parametrize("n", [5, 6])
 def test_short_items_in_many_long_texts(n):
     short = [" ".join(f"item{k}x{i}" for i in range(n)) for k in range(2000)]
