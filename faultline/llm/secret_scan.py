@@ -4,18 +4,27 @@ The text itself is scanned for three kinds of spans. Then a worklist unwraps
 what is encoded in it: percent escapes, Unicode and character-reference escapes,
 base64 runs, and gzip, zlib, bzip2 or xz data inside those. Every layer is
 scanned in turn and unwrapped again, until nothing new appears. A layer already
-seen at the same place is not taken up again, so cycles (data that unpacks to
-itself) end. Each character of a layer knows the span of the original text it
-came from, and what is found in a layer is reported there.
+seen at the same place (by its digest) is not taken up again, so cycles (data that
+unpacks to itself) end. Each character of a layer knows the span of the original
+text it came from, and what is found in a layer is reported there.
 
 Escapes are replaced inside the whole layer, so that a secret is found when only
-a part of it is escaped. A base64 run becomes a layer of its own.
+a part of it is escaped. An escape sign that is escaped again and again
+(``%252525..``, ``&#38;#38;..``) is one step. A base64 run becomes a layer of its
+own; lines of one width that follow each other are one run. A run that is no text
+from its first character on is read in all four alignments, as what it holds may
+begin anywhere in it. Bytes that are no text stand for characters that end a match
+and drop nothing else. UTF-16 is read as such. Packed data may have several
+members; it is looked for at the start of what was decoded and, but for zlib,
+inside of it. What it unpacks to is read in windows of ``WINDOW`` bytes that
+overlap by ``OVERLAP``, so its length has no bound.
 
 Defined cases. A null text is an empty one. Equal spans of one kind are reported
-once. Positions are code points, ends exclusive. Data that unpacks to more than
-``MAX_INFLATED`` bytes is scanned that far and counted in ``n_truncated``: what
-it would unpack to has no bound. Any other layer is whole. Rows are independent,
-so repeated rows, ties and other columns need no rule.
+once. Positions are code points, ends exclusive; what packed data holds has the
+span of the whole run. Packed data that breaks off or is damaged is read as far as
+it goes. In data beyond one window, a match or an inner layer that is longer than
+the overlap may be seen in parts. Rows are independent, so repeated rows, ties and
+other columns need no rule.
 """
 
 from __future__ import annotations
@@ -23,10 +32,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
 from collections import deque
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -52,9 +63,18 @@ _ESCAPE = re.compile(
     r"|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});"
 )
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+_NEXT_LINE = re.compile(r"\r?\n([A-Za-z0-9+/_-]+={0,2})(?![A-Za-z0-9+/_=-])")
+# Characters that no text has: what they stand for ends a match.
+_NO_TEXT = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ud800-\udfff]")
+# An escape sign that is escaped once or more before another escape.
+_NESTED = re.compile(
+    r"%(?:25)+(?=[0-9A-Fa-f]{2})|&(?:#38;|#[xX]26;)+(?=#)|\\(?:u005[cC]|x5[cC])+(?=[uUx])"
+)
+_PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00")
 
-MAX_INFLATED = 64 << 20
+# Unpacked bytes that are read together, and how many of them again with the next.
+WINDOW = 64 << 20
+OVERLAP = 1 << 20
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
@@ -63,6 +83,7 @@ class Layer(NamedTuple):
     text: str
     starts: np.ndarray  # of each character's span in the original text
     ends: np.ndarray
+    sure: bool = True  # no guess was needed to get here
 
 
 def scan(text: str) -> list[Span]:
@@ -85,7 +106,7 @@ def scan(text: str) -> list[Span]:
     return sorted(found)
 
 
-def _replaced(layer: Layer, parts: list[tuple[int, int, str, list[int]]]) -> Layer:
+def _replaced(layer: Layer, parts: list[tuple]) -> Layer:
     """``layer`` with each (start, end, decoded, widths) replaced.
 
     ``widths`` says how many characters each decoded one took.
@@ -100,16 +121,25 @@ def _replaced(layer: Layer, parts: list[tuple[int, int, str, list[int]]]) -> Lay
     texts.append(layer.text[at:])
     starts.append(layer.starts[at:])
     ends.append(layer.ends[at:])
-    return Layer("".join(texts), np.concatenate(starts), np.concatenate(ends))
+    return Layer("".join(texts), np.concatenate(starts), np.concatenate(ends), layer.sure)
+
+
+def _byte_lengths(text: str) -> np.ndarray:
+    """Bytes of each character; an escaped byte is one."""
+    codes = np.frombuffer(text.encode("utf-32-le", errors="surrogatepass"), np.uint32)
+    sizes = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+    return np.where((codes >= 0xD800) & (codes < 0xE000), 1, sizes).astype(np.int64)
+
+
+def _nested_parts(text: str):
+    for m in _NESTED.finditer(text):
+        yield m.start(), m.end(), m[0][0], [m.end() - m.start()]
 
 
 def _percent_parts(text: str):
     for m in _PERCENT.finditer(text):
-        try:
-            decoded = bytes.fromhex(m[0].replace("%", "")).decode()
-        except UnicodeDecodeError:
-            continue
-        yield m.start(), m.end(), decoded, [3 * len(c.encode()) for c in decoded]
+        decoded = bytes.fromhex(m[0].replace("%", "")).decode(errors="surrogateescape")
+        yield m.start(), m.end(), decoded, 3 * _byte_lengths(decoded)
 
 
 def _escape_parts(text: str):
@@ -130,90 +160,193 @@ def _escape_parts(text: str):
         yield start, end, chr(code), [end - start]
 
 
-def _inflated(data: bytes) -> tuple[bytes, bool] | None:
-    """Unpacked data and whether it goes on; None if it is not packed."""
+def _unpacker(data: bytes):
+    """What unpacks ``data``; None if it is not packed."""
     if data[:2] == b"\x1f\x8b":
-        unpack = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and int.from_bytes(data[:2], "big") % 31 == 0:
-        unpack = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        unpack = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        unpack = lzma.LZMADecompressor()
-    else:
-        return None
-    try:
-        out = unpack.decompress(data, MAX_INFLATED)
-    except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
-        return None
-    return out, not unpack.eof and len(out) >= MAX_INFLATED
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 1 and int.from_bytes(data[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """What ``data`` unpacks to, member after member, as far as it goes."""
+    while (unpack := _unpacker(data)) is not None:
+        zipped = not isinstance(unpack, (bz2.BZ2Decompressor, lzma.LZMADecompressor))
+        while not unpack.eof:
+            try:
+                out = unpack.decompress(data, OVERLAP)
+            except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
+                return
+            data = unpack.unconsumed_tail if zipped else b""
+            if out:
+                yield out
+            elif not unpack.eof and (not data if zipped else unpack.needs_input):
+                if zipped and (rest := unpack.flush()):
+                    yield rest
+                return
+        data = unpack.unused_data
+
+
+def _windows(data: bytes) -> Iterator[bytes]:
+    """What ``data`` unpacks to in overlapping windows."""
+    held: list[bytes] = []
+    size = fresh = 0
+    for piece in _pieces(data):
+        held.append(piece)
+        size, fresh = size + len(piece), fresh + len(piece)
+        if size >= WINDOW:
+            whole = b"".join(held)
+            yield whole
+            held, size, fresh = [whole[-OVERLAP:]], OVERLAP, 0
+    if fresh:
+        yield b"".join(held)
+
+
+def _texts(data: bytes) -> Iterator[tuple[str, np.ndarray]]:
+    """``data`` as text, with the bytes of each character; UTF-16 too if it may be."""
+    text = data.decode(errors="surrogateescape")
+    yield text, _byte_lengths(text)
+    sample = data[:4096]
+    for name, mark, zeros in (
+        ("utf-16-le", b"\xff\xfe", sample[1::2]),
+        ("utf-16-be", b"\xfe\xff", sample[0::2]),
+    ):
+        if data[:2] == mark or zeros.count(0) * 2 > len(zeros):
+            wide = data[: len(data) // 2 * 2].decode(name, errors="replace")
+            codes = np.frombuffer(wide.encode("utf-32-le", errors="surrogatepass"), np.uint32)
+            yield wide, np.where(codes > 0xFFFF, 4, 2)
+
+
+def _promising(text: str) -> bool:
+    """Whether a layer with bytes that are no text is worth keeping."""
+    return bool(
+        scan(text)
+        or _PERCENT.search(text)
+        or _ESCAPE.search(text)
+        or _BASE64.search(text)
+    )
 
 
-def _text_of(data: bytes) -> str | None:
+def _runs(text: str) -> Iterator[tuple[int, int, str, np.ndarray]]:
+    """Base64 runs: begin, end, their characters without line ends, and the place
+    of each. Lines of the first one's width, and one shorter after them, belong to
+    the run; its first line is a run as well."""
+    for m in _BASE64.finditer(text):
+        yield m.start(), m.end(), m[0], np.arange(m.start(), m.end())
+        width, end = m.end() - m.start(), m.end()
+        lines = [(m.start(), m.end())]
+        while (following := _NEXT_LINE.match(text, end)) is not None:
+            length = following.end(1) - following.start(1)
+            if length > width or text[end - 1] == "=":
+                break
+            lines.append(following.span(1))
+            end = following.end()
+            if length < width:
+                break
+        if len(lines) > 1:
+            places = np.concatenate([np.arange(*line) for line in lines])
+            yield m.start(), end, "".join(text[a:b] for a, b in lines), places
+
+
+def _base64_layers(layer: Layer) -> Iterator[Layer]:
+    """A layer for each reading of a base64 run that holds text or packed data."""
+    for begin, end, run, places in _runs(layer.text):
+        raw = run.rstrip("=").replace("-", "+").replace("_", "/")
+        clean = False
+        # guesses are not built on guesses: what they hold is read plainly
+        for shift in range(4 if layer.sure else 1):
+            body = raw[shift:]
+            if len(body) % 4 == 1:
+                body = body[:-1]
+            try:
+                data = base64.b64decode(body + "=" * (-len(body) % 4))
+            except binascii.Error:
+                continue
+            at = places[shift : shift + len(body)]
+            for text, sizes in _texts(data):
+                whole = not _NO_TEXT.search(text)
+                clean |= whole and shift == 0
+                plain = whole and shift == 0
+                if not text or not (plain or layer.sure and _promising(text)):
+                    continue
+                after = np.cumsum(sizes)
+                starts = layer.starts[at[(after - sizes) * 4 // 3]]
+                ends = layer.ends[at[np.minimum((after * 4 + 2) // 3, len(body)) - 1]]
+                yield Layer(text, starts, ends, layer.sure and plain)
+            inner = [m.start() for m in _PACKED.finditer(data)]
+            if _unpacker(data) is not None and 0 not in inner:
+                inner.insert(0, 0)
+            for offset in inner:
+                for window in _windows(data[offset:]):
+                    for text, _ in _texts(window):
+                        # no character of packed data has a place of its own
+                        first = np.full(len(text), layer.starts[begin])
+                        last = np.full(len(text), layer.ends[end - 1])
+                        clean = True
+                        yield Layer(text, first, last, layer.sure and not _NO_TEXT.search(text))
+            if clean:
+                break
+
+
+def _packed_layers(layer: Layer) -> Iterator[Layer]:
+    """Packed data that was packed again: a layer that is itself packed."""
+    if "\udc8b" not in layer.text[:2] and not layer.text.startswith(("BZh", "\udcfd7zXZ", "x")):
+        return
     try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if not text or _CONTROL.search(text) else text
-
-
-def _base64_layers(layer: Layer):
-    """(layer, truncated) of each base64 run that holds text or packed data."""
-    for m in _BASE64.finditer(layer.text):
-        raw = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(raw) % 4 == 1:
-            raw = raw[:-1]
-        try:
-            data = base64.b64decode(raw + "=" * (-len(raw) % 4))
-        except binascii.Error:
-            continue
-        begin, whole = m.start(), m.end()
-        truncated, packed = False, False
-        while (unpacked := _inflated(data)) is not None and unpacked[0] != data:
-            data, packed = unpacked[0], True
-            truncated |= unpacked[1]
-        text = data.decode(errors="ignore") if truncated else _text_of(data)
-        if not text:
-            continue
-        if packed:
-            # no character of packed data has a place of its own
-            starts = np.full(len(text), layer.starts[begin])
-            ends = np.full(len(text), layer.ends[whole - 1])
-        else:
-            sizes = np.array([len(c.encode()) for c in text])
-            after = np.cumsum(sizes)
-            starts = layer.starts[begin + (after - sizes) * 4 // 3]
-            ends = layer.ends[begin + np.minimum((after * 4 + 2) // 3, len(raw)) - 1]
-        yield Layer(text, starts, ends), truncated
-
-
-def unwrapped(text: str) -> tuple[list[Span], int, int]:
-    """Spans found below the surface, layers unwrapped, and how many were cut short."""
+        data = layer.text.encode(errors="surrogateescape")
+    except UnicodeEncodeError:
+        return
+    for window in _windows(data):
+        for text, _ in _texts(window):
+            first = np.full(len(text), layer.starts[0])
+            last = np.full(len(text), layer.ends[-1])
+            yield Layer(text, first, last, layer.sure and not _NO_TEXT.search(text))
+
+
+def _identity(layer: Layer) -> tuple[bytes, int, int]:
+    digest = hashlib.blake2b(layer.text.encode(errors="surrogatepass"), digest_size=16).digest()
+    return digest, int(layer.starts[0]), int(layer.ends[-1])
+
+
+def unwrapped(text: str) -> tuple[list[Span], int]:
+    """Spans found below the surface, and how many layers were unwrapped."""
     if not ("%" in text or "\\" in text or "&#" in text or _BASE64.search(text)):
-        return [], 0, 0
+        return [], 0
     places = np.arange(len(text) + 1)
-    work = deque([Layer(text, places[:-1], places[1:])])
-    seen = {(text, 0, len(text))}
-    found, n_layers, n_truncated = set(), 0, 0
+    surface = Layer(text, places[:-1], places[1:])
+    work, seen = deque([surface]), {_identity(surface)}
+    found, n_layers = set(), 0
     while work:
         layer = work.popleft()
-        children = []
-        for parts in (list(_percent_parts(layer.text)), list(_escape_parts(layer.text))):
-            if parts:
-                children.append((_replaced(layer, parts), False))
-        children += _base64_layers(layer)
-        for child, truncated in children:
+
+        def children(layer: Layer = layer) -> Iterator[Layer]:
+            nested = list(_nested_parts(layer.text))
+            if nested:
+                yield _replaced(layer, nested)
+            for parts in () if nested else (_percent_parts, _escape_parts):
+                replaced = list(parts(layer.text))
+                if replaced:
+                    yield _replaced(layer, replaced)
+            yield from _base64_layers(layer)
+            yield from _packed_layers(layer)
+
+        for child in children():
             if not child.text:
                 continue
-            identity = (child.text, int(child.starts[0]), int(child.ends[-1]))
+            identity = _identity(child)
             if identity in seen:
                 continue
             seen.add(identity)
-            n_layers, n_truncated = n_layers + 1, n_truncated + truncated
+            n_layers += 1
             for start, kind, end in scan(child.text):
                 found.add((int(child.starts[start]), kind, int(child.ends[end - 1])))
             work.append(child)
-    return sorted(found), n_layers, n_truncated
+    return sorted(found), n_layers
 
 
 def _listed(spans: list[Span]) -> str:
@@ -222,16 +355,16 @@ def _listed(spans: list[Span]) -> str:
 
 SECRETS_TYPE = (
     "struct<n_assign:bigint,n_access:bigint,n_hex:bigint,base:string,spans:string,"
-    "n_layers:int,n_truncated:int>"
+    "n_layers:int>"
 )
 
 
 def find_secrets(text: str) -> tuple:
     base = scan(text)
-    deeper, n_layers, n_truncated = unwrapped(text)
+    deeper, n_layers = unwrapped(text)
     counts = [sum(kind == k for _, kind, _ in base) for k in range(len(KINDS))]
     spans = sorted({*base, *deeper}) if deeper else base
-    return (*counts, _listed(base), _listed(spans), n_layers, n_truncated)
+    return (*counts, _listed(base), _listed(spans), n_layers)
 
 
 def secrets_column(text: Column) -> Column:
@@ -239,8 +372,8 @@ def secrets_column(text: Column) -> Column:
 
     def find(column: pa.Array) -> pa.Array:
         rows = [find_secrets(t or "") for t in column.to_pylist()]
-        kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int32()] * 2
-        names = ["n_assign", "n_access", "n_hex", "base", "spans", "n_layers", "n_truncated"]
+        kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int32()]
+        names = ["n_assign", "n_access", "n_hex", "base", "spans", "n_layers"]
         columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
         return pa.StructArray.from_arrays(columns, names)
 
@@ -248,7 +381,7 @@ def secrets_column(text: Column) -> Column:
 
 
 def secret_spans(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(``key``, counts, base_sha256, spans, n_layers, n_truncated) of every row."""
+    """(``key``, counts, base_sha256, spans, n_layers) of every row."""
     found = df.select(F.col(key), secrets_column(F.col(text)).alias("_s"))
     return found.select(
         key,
@@ -256,5 +389,4 @@ def secret_spans(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
         F.sha2(F.col("_s.base"), 256).alias("base_sha256"),
         "_s.spans",
         "_s.n_layers",
-        "_s.n_truncated",
     )

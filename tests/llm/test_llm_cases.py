@@ -218,7 +218,7 @@ def test_wrapped_secrets(wrap):
         "gzip": f"x {packed} y",
         "nested": urllib.parse.quote(base64.b64encode(code.encode()).decode()),
     }[wrap]
-    spans, _, _ = secret_scan.unwrapped(text)
+    spans, _ = secret_scan.unwrapped(text)
     assert len(spans) == 1 and 0 <= spans[0][0] < spans[0][2] <= len(text)
 
 
