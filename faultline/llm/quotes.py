@@ -10,6 +10,10 @@ All of it is DataFrame work. Messages get a global number in the order of
   quoted passage belongs to the earliest message of its conversation with the
   same hash, if that is earlier than the quoting one. Origins are the least
   number per hash, combined before the shuffle: no pairs are made.
+* A passage that is no such unit, as part of a paragraph was quoted or lines were
+  wrapped anew, belongs to the earliest message whose own words hold all of its
+  words in a run, if it has ``MIN_RUN`` words. For that, every run of as many words
+  as one of the conversation's unlinked passages has is hashed in the same way.
 * A message answers the origin of its outermost linked passages, the latest one
   if there are several. Without a linked passage it answers the message before.
 * Reply order is depth first, answers by turn. Messages that each answer the one
@@ -38,6 +42,9 @@ from faultline.sources.scratch import stored
 PREFIX = "^[ ]{0,3}(?:>[ ]?)+"
 BLANK = "[ \\t\\x0b\\f\\r]+"
 
+# Words of a passage that may lie inside of what a message wrote: fewer say little.
+MIN_RUN = 4
+
 # Messages whose running values one task works out.
 BLOCK = 100_000
 
@@ -97,21 +104,46 @@ def _origins(messages: DataFrame) -> DataFrame:
     return hashed.groupBy("conv", F.md5("unit").alias("hash")).agg(F.min("m").alias("origin"))
 
 
+def _run_origins(messages: DataFrame, passages: DataFrame) -> DataFrame:
+    """(conv, hash, origin): the earliest message whose own words hold a run of
+    words, of the lengths that ``passages`` (conv, n) have in its conversation."""
+    lengths = passages.select(F.col("conv").alias("_c"), "n").distinct()
+    own = F.transform(
+        F.filter("_passages", lambda x: (x["level"] == 0) & (x["body"] != "")), lambda x: x["body"]
+    )
+    words = messages.select("conv", "m", F.split(F.array_join(own, " "), " ").alias("words"))
+    sized = words.join(lengths, F.col("conv").eqNullSafe(F.col("_c"))).filter(F.size("words") >= F.col("n"))
+    firsts = F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)
+    runs = F.transform(firsts, lambda i: F.md5(F.array_join(F.slice("words", i, F.col("n")), " ")))
+    hashed = sized.select("conv", "m", F.explode(F.array_distinct(runs)).alias("hash"))
+    return hashed.groupBy("conv", "hash").agg(F.min("m").alias("origin"))
+
+
 def _links(messages: DataFrame) -> DataFrame:
     """(m, n_linked, parent) of messages with a linked passage."""
     quoted = F.filter("_passages", lambda p: p["level"] > 0)
-    quotes = messages.select("conv", "m", F.explode(quoted).alias("q")).select(
-        "conv", "m", F.col("q.level").alias("level"), F.md5("q.body").alias("hash")
+    quotes = messages.select("conv", "m", F.posexplode(quoted).alias("place", "q")).select(
+        "conv",
+        "m",
+        "place",
+        F.col("q.level").alias("level"),
+        F.md5("q.body").alias("hash"),
+        F.size(F.split("q.body", " ")).alias("n"),
     )
     conversations = quotes.select("conv").distinct()
     quoting = messages.join(
         conversations.withColumnRenamed("conv", "_c"), F.col("conv").eqNullSafe(F.col("_c")), "semi"
     )
-    origins = _origins(quoting).withColumnRenamed("conv", "_c").withColumnRenamed("hash", "_h")
-    found = quotes.join(
-        origins,
-        F.col("conv").eqNullSafe(F.col("_c")) & (F.col("hash") == F.col("_h")),
-    ).filter("origin < m")
+
+    def linked(passages: DataFrame, origins: DataFrame) -> DataFrame:
+        named = origins.withColumnsRenamed({"conv": "_c", "hash": "_h"})
+        same = F.col("conv").eqNullSafe(F.col("_c")) & (F.col("hash") == F.col("_h"))
+        return passages.join(named, same).filter("origin < m").select("m", "place", "level", "origin")
+
+    whole = stored(linked(quotes, _origins(quoting)), "links")
+    rest = quotes.filter(F.col("n") >= MIN_RUN).join(whole, ["m", "place"], "left_anti")
+    rest = stored(rest.select("conv", "m", "place", "level", "hash", "n"), "unlinked")
+    found = whole.unionAll(linked(rest, _run_origins(quoting, rest)))
     best = F.max(F.struct((-F.col("level")).alias("l"), "origin"))["origin"]
     return found.groupBy("m").agg(F.count("*").alias("n_linked"), best.alias("parent"))
 
@@ -289,11 +321,27 @@ units AS (
   UNION ALL SELECT conv_id, m, string_agg(body, ' ' ORDER BY p) FROM passages
             WHERE level = 0 GROUP BY conv_id, m),
 origins AS (SELECT conv_id, body, min(m) AS origin FROM units GROUP BY conv_id, body),
-linked AS (
-  SELECT q.m, q.level, o.origin
+units_linked AS (
+  SELECT q.m, q.p, q.level, o.origin
   FROM passages q JOIN origins o
     ON q.conv_id IS NOT DISTINCT FROM o.conv_id AND q.body = o.body AND o.origin < q.m
   WHERE q.level > 0),
+wholes AS (
+  SELECT conv_id, m, string_agg(body, ' ' ORDER BY p) AS body
+  FROM passages WHERE level = 0 GROUP BY conv_id, m),
+rest AS (
+  SELECT * FROM passages
+  WHERE level > 0 AND len(string_split(body, ' ')) >= 4
+    AND (m, p) NOT IN (SELECT m, p FROM units_linked)),
+runs_linked AS (
+  SELECT q.m, q.p, any_value(q.level) AS level, min(o.m) AS origin
+  FROM rest q JOIN wholes o
+    ON q.conv_id IS NOT DISTINCT FROM o.conv_id
+   AND contains(' ' || o.body || ' ', ' ' || q.body || ' ')
+  GROUP BY q.m, q.p),
+linked AS (
+  SELECT m, level, origin FROM units_linked
+  UNION ALL SELECT m, level, origin FROM runs_linked WHERE origin < m),
 best AS (
   SELECT m, count(*) AS n_linked, arg_max(origin, (-level, origin)) AS parent
   FROM linked GROUP BY m),
