@@ -17,8 +17,8 @@ from faultline.llm import containment, linechunks, pieces, probminhash, quality
 from faultline.llm.queries import PIECE_MODEL
 from faultline.sources.scratch import stored
 
-# MCD outliers and the texts of all stages have no SQL; tests/llm holds the
-# pipeline against a plain version of itself.
+# MCD outliers and keyed merge-dropout have no SQL. Each stage's operator is tested
+# on its own in tests/llm, the pipeline for what it keeps and for lossless pieces.
 ORACLE_SQL = None
 
 
