@@ -282,14 +282,16 @@ def _starts(scales: DataFrame, rows: DataFrame) -> DataFrame:
 def _concentrated(rows: DataFrame, fits: DataFrame, scales: DataFrame, best: bool) -> DataFrame:
     """One concentration step for every fit; ``best`` keeps one fit per stratum."""
     p = len(FEATURES)
-    binned = (
+    sums = (
         rows.join(fits.select("_stratum", "_start", *_fit_names()), "_stratum")
         .withColumn("_d2", _distance())
         .withColumn("_bin", _bin())
         .groupBy("_stratum", "_start", "_bin")
         .agg(*_moments("_x"))
-        .join(scales, "_stratum")
     )
+    # stored, so that the sums are added up by bin: else Spark would deal them out by
+    # stratum at once, and one task would get each map task's sums of a hot one
+    binned = stored(sums, "bins").join(scales, "_stratum")
     names = [*_fit_names(), "_logdet", "_median_d2"]
 
     def step(frame: pd.DataFrame) -> pd.DataFrame:
