@@ -1,6 +1,7 @@
 from faultline.operators.caching import cached
 from faultline.operators.coding import code_rows, code_counts
 from faultline.operators.dataset import build_dataset, join_target, model_rows
+from faultline.operators.exact import exact_places, exact_sums
 from faultline.operators.features import (
     batch_summary,
     feature_sizes,
@@ -48,6 +49,8 @@ __all__ = [
     "colocated_batches",
     "code_rows",
     "drop_batches",
+    "exact_places",
+    "exact_sums",
     "feature_sizes",
     "full_batch_ids",
     "full_batches",

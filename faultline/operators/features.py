@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.vectors import ordered_steps
+from faultline.operators.exact import exact_sums
 from faultline.operators.sequence import INDEX, PART, batch_keys
 from faultline.schema import MEASURES
 
@@ -56,7 +57,8 @@ def summary_columns(measures: Sequence[str] = MEASURES) -> list[Column]:
     """Aggregates: sum, minimum and maximum of each measure.
 
     Sums are of doubles: their last digits depend on the order in which partial
-    results arrive. NaN and infinity come through as such.
+    results arrive (``batch_summary`` has exact ones). NaN and infinity come through
+    as such.
     """
     columns = []
     for m in measures:
@@ -72,10 +74,17 @@ def summary_names(measures: Sequence[str] = MEASURES) -> list[str]:
     return [f"{m}_{part}" for m in measures for part in ("sum", "min", "max")]
 
 
-def batch_summary(df: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
+def batch_summary(
+    df: DataFrame, measures: Sequence[str] = MEASURES, places: range | None = None
+) -> DataFrame:
     """One row per batch with the summary of each measure.
 
     Aggregates on the map side, so far fewer bytes are shuffled than for
-    ``sequences``.
+    ``sequences``. With the ``places`` of the values (``exact_places``) sums are
+    exact: the same bits whatever the order of the rows.
     """
-    return df.groupBy(*batch_keys(df)).agg(*summary_columns(measures)).drop(PART)
+    keys = batch_keys(df)
+    if places is None:
+        return df.groupBy(*keys).agg(*summary_columns(measures)).drop(PART)
+    totals = exact_sums(df, keys, measures, places, ends=True)
+    return totals.select("batch_id", *summary_names(measures))

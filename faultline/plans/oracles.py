@@ -92,8 +92,16 @@ shuffled AS (
          row_number() OVER (ORDER BY md5(concat('0|', batch_id)), batch_id) - 1 AS place
   FROM labels)"""
 
+# Sums without rounding: values are whole numbers of 2**-64, at most 2**16 in size,
+# and the two parts of a total are doubles that hold them exactly.
+_STEPS = "CAST({m} * 18446744073709551616.0 AS HUGEINT)"
+_SPLIT = "CAST(1099511627776 AS HUGEINT)"
+_TOTAL = (
+    f"CAST(sum({_STEPS}) // {_SPLIT} AS DOUBLE) / 16777216.0"
+    f" + CAST(sum({_STEPS}) % {_SPLIT} AS DOUBLE) / 18446744073709551616.0"
+)
 _SUMMARY = ", ".join(
-    f"round(sum({m}), 6) AS {m}_sum, round(min({m}), 6) AS {m}_min, round(max({m}), 6) AS {m}_max"
+    f"{_TOTAL.format(m=m)} AS {m}_sum, min({m}) AS {m}_min, max({m}) AS {m}_max"
     for m in MEASURES
 )
 

@@ -390,10 +390,8 @@ def q23_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q24_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = ops.batch_summary(_wide_batches(spark, sf_dir, MEASURES))
-    return summary.select(
-        "batch_id", *[F.round(c, 6).alias(c) for c in summary.columns if c != "batch_id"]
-    )
+    places = ops.exact_places(_simulation(spark, sf_dir), MEASURES)
+    return ops.batch_summary(_wide_batches(spark, sf_dir, MEASURES), places=places)
 
 
 def _training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
