@@ -22,10 +22,14 @@ always zero would make it singular. Distances are put in proportion to the
 chi-square median, for finite samples.
 
 Defined cases. A null text is an empty one: it fails the fixed limits and has no
-vector. Null language or source is a group of its own. Groups under
-``min_rows`` are pooled by language, and what is still too small over all
-languages; rows of a pool that is still too small are never outliers. Equal rows
-get equal verdicts. Other columns pass through untouched.
+vector. Null language or source is a group of its own. A group under ``min_rows``
+is judged by the fit of its whole language, and where that is too small as well by
+the fit of the whole table, of whatever size, so every text with a word is judged.
+Equal rows get equal verdicts. Other columns pass through untouched.
+
+Fits, scales and group keys have one row for each group. They are broadcast up to
+``SENT`` rows (a few hundred bytes each); beyond that rows meet them by group and
+by partition of origin, so that a hot group is dealt over many tasks either way.
 """
 
 from __future__ import annotations
@@ -62,11 +66,15 @@ REPEAT_WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 
 GRID = 1024
-# Least scale of each feature: below it a spread means nothing.
-FLOORS = (0.4, 0.4, 0.3, 0.8, 0.8)
+# Least scale of each feature: below it a spread means nothing. At 0.4 a text of
+# nearly all duplicate lines is an outlier by that alone; repeats alone are left to
+# the base rule, whose limit is reached first.
+FLOORS = (0.4, 0.4, 0.3, 0.4, 0.4)
 SHARE = 0.75  # of a group's rows that the scatter is estimated on
 SHRINK = 0.1
 BINS_PER_OCTAVE = 8
+SENT = 20_000  # rows of a broadcast table, about 10 MB
+SALTS = 64
 
 
 def _repeated_words(texts: list[bytes]) -> np.ndarray:
@@ -158,25 +166,30 @@ def _level_keys(df: DataFrame, by: Sequence[str]) -> list[Column]:
 
 
 def _strata(keys: DataFrame, n_levels: int, min_rows: int) -> DataFrame:
-    """For each finest group, the level whose pool is large enough.
+    """For each finest group, the finest level whose pool is large enough.
 
     ``keys`` has one row for each finest group, with its keys ``_k0``.. and
-    ``_rows``. What a level takes is not counted again further up.
+    ``_rows``. A pool is all rows under its key; the last level takes any number.
     """
-    left = keys.withColumn("_stratum", F.lit(None).cast("string"))
+    found = keys.withColumn("_stratum", F.lit(None).cast("string"))
     for i in range(n_levels):
-        pools = (
-            left.filter("_stratum IS NULL").groupBy(f"_k{i}").agg(F.sum("_rows").alias("_pool"))
-        )
-        left = (
-            left.join(pools, f"_k{i}", "left")
-            .withColumn(
-                "_stratum",
-                F.coalesce(F.col("_stratum"), F.when(F.col("_pool") >= min_rows, F.col(f"_k{i}"))),
-            )
+        pools = keys.groupBy(f"_k{i}").agg(F.sum("_rows").alias("_pool"))
+        enough = F.lit(True) if i == n_levels - 1 else F.col("_pool") >= min_rows
+        found = (
+            found.join(pools, f"_k{i}")
+            .withColumn("_stratum", F.coalesce("_stratum", F.when(enough, F.col(f"_k{i}"))))
             .drop("_pool")
         )
-    return left.select(F.col("_k0").alias("_group"), "_stratum").filter("_stratum IS NOT NULL")
+    return found.select(F.col("_k0").alias("_group"), "_stratum")
+
+
+def _beside(rows: DataFrame, table: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a stored table of few rows for each group."""
+    if table.count() <= SENT:
+        return rows.join(F.broadcast(table), on, how)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    rows = rows.withColumn("_salt", F.spark_partition_id() % SALTS)
+    return rows.join(table.withColumn("_salt", salts), [on, "_salt"], how).drop("_salt")
 
 
 def _z(i: int) -> Column:
@@ -238,7 +251,7 @@ def _scatter(sums: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 def _starts(scales: DataFrame, rows: DataFrame) -> DataFrame:
     """Three fits per stratum to start from."""
     p = len(FEATURES)
-    joined = rows.join(scales, "_stratum")
+    joined = _beside(rows, scales, "_stratum")
     norm = F.sqrt(reduce(Column.__add__, [_z(i) * _z(i) for i in range(p)]) + 1e-9)
     bent = joined.select(
         "_stratum",
@@ -283,14 +296,13 @@ def _concentrated(rows: DataFrame, fits: DataFrame, scales: DataFrame, best: boo
     """One concentration step for every fit; ``best`` keeps one fit per stratum."""
     p = len(FEATURES)
     sums = (
-        rows.join(fits.select("_stratum", "_start", *_fit_names()), "_stratum")
+        _beside(rows, fits.select("_stratum", "_start", *_fit_names()), "_stratum")
         .withColumn("_d2", _distance())
         .withColumn("_bin", _bin())
         .groupBy("_stratum", "_start", "_bin")
         .agg(*_moments("_x"))
     )
-    # stored, so that the sums are added up by bin: else Spark would deal them out by
-    # stratum at once, and one task would get each map task's sums of a hot one
+    # stored, so that the sums are added up by bin before a stratum's task gets them
     binned = stored(sums, "bins").join(scales, "_stratum")
     names = [*_fit_names(), "_logdet", "_median_d2"]
 
@@ -338,9 +350,12 @@ def fit_outliers(vectors: DataFrame, min_rows: int, steps: int = 3) -> DataFrame
     xs = [f"_x{i}" for i in range(p)]
     levels = [c for c in vectors.columns if c.startswith("_k")]
     rows = vectors.filter(F.col("_x0").isNotNull())
-    sizes = rows.groupBy(*levels).agg(F.count("*").alias("_rows"))
+    sizes = stored(rows.groupBy(*levels).agg(F.count("*").alias("_rows")), "sizes")
     strata = stored(_strata(sizes, len(levels), min_rows), "strata")
-    rows = rows.withColumnRenamed("_k0", "_group").join(strata, "_group").select("_stratum", *xs)
+    # a row counts for every level that some group is judged by
+    needed = stored(strata.select("_stratum").distinct(), "needed")
+    rows = rows.select(F.explode(F.array(*levels)).alias("_stratum"), *xs)
+    rows = _beside(rows, needed, "_stratum")
 
     # exact: the grid bounds how many values there are
     medians = rows.groupBy("_stratum").agg(
@@ -353,7 +368,7 @@ def fit_outliers(vectors: DataFrame, min_rows: int, steps: int = 3) -> DataFrame
         ).alias(f"_s{i}")
         for i, x in enumerate(xs)
     ]
-    scales = rows.join(medians, "_stratum").groupBy("_stratum").agg(*spread)
+    scales = _beside(rows, medians, "_stratum").groupBy("_stratum").agg(*spread)
     scales = stored(scales.join(medians, "_stratum"), "scales")
 
     fits = stored(_starts(scales, rows), "starts")
@@ -382,9 +397,8 @@ def judged(vectors: DataFrame, fits: DataFrame, quantile: float) -> DataFrame:
     p = len(FEATURES)
     names = [*_fit_names(), "_median_d2"]
     scale = F.greatest(F.col("_median_d2") / chi_square(0.5, p), F.lit(1.0))
-    joined = vectors.join(
-        fits.withColumnRenamed("_group", "_k0").select("_k0", *names), "_k0", "left"
-    )
+    fits = fits.withColumnRenamed("_group", "_k0").select("_k0", *names)
+    joined = _beside(vectors, fits, "_k0", "left")
     base = failed_base(F.col("_counts"))
     distance = _distance() / scale
     near = F.coalesce(distance <= chi_square(quantile, p), F.lit(True))
