@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.base import Estimator
 from pyspark.ml.classification import (
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from faultline.functions.vectors import argmax_label, class_probabilities
 from faultline.operators.features import summary_columns, summary_names
-from faultline.operators.sequence import batch_keys
+from faultline.operators.sequence import PLACE_BITS, batch_keys
 from faultline.operators.targets import count_columns, count_names
 from faultline.schema import CLASSES, MEASURES, check_schema
 
@@ -27,6 +28,9 @@ HIDDEN_LAYERS = (120, 60)
 
 FLATTENED = "flattened"
 
+# What a learner keeps of the rows of one task, about.
+TASK_BYTES = 64 << 20
+
 _SMALLEST_PROBABILITY = 1e-15
 
 
@@ -107,11 +111,54 @@ def fit(pipeline: Pipeline, rows: DataFrame, tasks: int | None = None) -> Pipeli
     """Fit on ``rows``, which should be stored or cached.
 
     Every step of the optimiser is a job over all of them in which each task
-    sends a gradient as long as the weights. So the number of tasks is that of
-    the session's cores (``tasks`` gives another), whatever the rows.
+    sends a gradient as long as the weights, and reads its share of the rows as the
+    learner keeps them. So the number of tasks is that of the session's cores, and
+    with more rows one for each ``TASK_BYTES`` of them. ``tasks`` gives another.
+
+    Few files make few tasks, whatever their rows unpack to: if one would get over
+    1.5 times ``TASK_BYTES``, the rows are dealt out anew for the last stage.
     """
-    tasks = tasks or rows.sparkSession.sparkContext.defaultParallelism
-    return pipeline.fit(rows.coalesce(tasks))
+    if tasks:
+        return pipeline.fit(rows.coalesce(tasks))
+    *stages, learner = pipeline.getStages()
+    row_bytes = _row_bytes(stages, learner)
+    found = rows.groupBy(F.spark_partition_id().alias("part")).count().collect()
+    counts = {row["part"]: row["count"] for row in found}
+    total, largest = sum(counts.values()), max(counts.values(), default=0)
+    shares = max(
+        rows.sparkSession.sparkContext.defaultParallelism, -(-total * row_bytes // TASK_BYTES)
+    )
+    if largest * row_bytes <= 1.5 * TASK_BYTES:
+        return pipeline.fit(rows.coalesce(shares))
+    # a perceptron weighs its blocks of rows alike, so only the last may be short
+    block = learner.getBlockSize() if learner.hasParam("blockSize") else 1
+    fitted = Pipeline(stages=stages).fit(rows)
+    dealt = _dealt(rows, counts, -(-total // (shares * block)) * block)
+    return PipelineModel(stages=[*fitted.stages, learner.fit(fitted.transform(dealt))])
+
+
+def _dealt(rows: DataFrame, counts: Mapping[int, int], size: int) -> DataFrame:
+    """``rows`` in their order, ``size`` to a partition; ``counts`` has how many each
+    partition has now."""
+    starts = [sum(n for k, n in counts.items() if k < part) for part in range(max(counts) + 1)]
+    start = F.get(F.array(*[F.lit(n).cast("bigint") for n in starts]), F.spark_partition_id())
+    place = F.monotonically_increasing_id().bitwiseAND((1 << PLACE_BITS) - 1)
+    parts = -(-sum(counts.values()) // size)
+    share = F.least(F.expr(f"_place div {size}"), F.lit(parts - 1)).cast("int")
+    placed = rows.withColumn("_place", F.coalesce(start, F.lit(0)) + place)
+    return placed.repartitionById(parts, share).sortWithinPartitions("_place").drop("_place")
+
+
+def _row_bytes(stages: Sequence[Estimator], learner: Estimator) -> int:
+    """Of a row as ``learner`` keeps it, about: eight for each of its values and, as
+    the learner has them, for each class or tree."""
+    if learner.hasParam("layers"):
+        layers = learner.getLayers()
+        return 8 * (layers[0] + layers[-1])
+    sizes = {s.getInputCol(): s.getSize() for s in stages if isinstance(s, VectorSizeHint)}
+    inputs = [c for s in stages if isinstance(s, VectorAssembler) for c in s.getInputCols()]
+    trees = learner.getNumTrees() if learner.hasParam("numTrees") else 1
+    return 8 * (sum(sizes.get(c, 1) for c in inputs) + trees)
 
 
 # Role is "input" or "output"; a scalar has length 1.

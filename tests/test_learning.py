@@ -6,6 +6,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from faultline.learning import model as model_module
 from faultline.learning import (
     confusion_counts,
     evaluate,
@@ -214,3 +215,32 @@ def test_cache_ends_with_the_block(spark):
     with cached(df):
         assert df.storageLevel.useMemory
     assert not df.storageLevel.useMemory
+
+
+def _sizes_of_fit(monkeypatch, pipeline, rows):
+    """Rows in each partition that the pipeline's last stage is fitted on."""
+    sizes, learner = [], type(pipeline.getStages()[-1])
+    real = learner._fit
+
+    def counted(stage, dataset):
+        sizes.extend(dataset.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect())
+        return real(stage, dataset)
+
+    monkeypatch.setattr(learner, "_fit", counted)
+    return fit(pipeline, rows), sizes
+
+
+def test_a_task_reads_no_more_as_rows_grow(spark, batched, monkeypatch):
+    rows = training_frame(batched).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(60))))
+    rows = rows.drop("copy").coalesce(1)
+    # 36 summaries and 8 classes, in blocks of 128 rows
+    monkeypatch.setattr(model_module, "TASK_BYTES", 8 * (36 + 8) * 128, raising=False)
+    model, sizes = _sizes_of_fit(monkeypatch, fault_pipeline(hidden=(4,), max_iter=1), rows)
+    assert sizes == [128] * 18 + [96]
+    assert score(model, rows).count() == 2400
+
+
+def test_few_rows_are_not_dealt_out(batched, monkeypatch):
+    rows = training_frame(batched).coalesce(1)
+    _, sizes = _sizes_of_fit(monkeypatch, fault_pipeline(hidden=(4,), max_iter=1), rows)
+    assert sizes == [40]
