@@ -1,7 +1,9 @@
 import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
+from faultline.learning import model as model_module
 from faultline.learning import (
     distance_frame,
     distance_pipeline,
@@ -75,3 +77,19 @@ def test_metrics_of_odd_rows(spark):
     assert got["a", "rmse"] == pytest.approx(0.5**0.5) and got["a", "mae"] == 0.5
     assert got["a", "r2"] == pytest.approx(0.5) and got["b", "r2"] is None
     assert regression_metrics(df.limit(0)).count() == 0
+
+
+def test_a_task_of_a_forest_reads_no_more_as_rows_grow(spark, frame, monkeypatch):
+    pipeline, sizes = distance_pipeline(trees=2, depth=2), []
+    rows = frame.coalesce(1)
+    monkeypatch.setattr(model_module, "TASK_BYTES", 8 * (len(MEASURES) + 2) * 100, raising=False)
+    real = RandomForestRegressor._fit
+
+    def counted(stage, dataset):
+        sizes.extend(dataset.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect())
+        return real(stage, dataset)
+
+    monkeypatch.setattr(RandomForestRegressor, "_fit", counted)
+    first, second = fit(pipeline, rows), fit(pipeline, rows)
+    assert len(sizes) == 36 and max(sizes) <= 100 and sum(sizes) == 2 * 1740
+    assert first.stages[-1].toDebugString.split("\n")[1:] == second.stages[-1].toDebugString.split("\n")[1:]
