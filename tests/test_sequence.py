@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from faultline.operators import sequence as sequence_module
 from faultline.operators import (
     add_batches,
     add_keyed_batches,
@@ -196,6 +197,20 @@ def test_colocated_batches_are_the_same(spark, leads, size, parts):
     assert all(r.n == r.m == 1 for r in places.collect())
 
 
+def test_parts_of_colocated_batches_follow_the_rows(spark, monkeypatch):
+    df = frame(spark, [(i % 7, i, float(i)) for i in range(3000)])
+    # 100 rows of three numbers
+    monkeypatch.setattr(sequence_module, "PART_BYTES", 8 * 3 * 100, raising=False)
+    rows = colocated_batches(df, ["a", "b"], 10).rows
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sizes == [100] * 30
+    columns = ["a", "b", "v", "row_index", "row_total", "batch_id"]
+    one = add_batches(df, ["a", "b"], 10)
+    assert sorted(map(str, rows.select(columns).collect())) == sorted(
+        map(str, one.select(columns).collect())
+    )
+
+
 def test_colocated_batches_are_checked(spark):
     df = frame(spark, [(1, 1, 0.0), (1, 2, 0.0), (2, 1, 0.0)])
     with pytest.raises(ValueError, match="2 rows have the key {'a': 1}"):
